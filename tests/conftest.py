@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import datetime as dt
+import os
+import sys
+from decimal import Decimal
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
+
+from tillsight.session import build_session  # noqa: E402
+from tillsight.sources import schemas  # noqa: E402
+
+TESTDATA = "/root/testdata"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session(
+        "tillsight-tests",
+        master="local[8]",
+        spark__sql__shuffle__partitions="8",
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
+        spark__driver__memory="8g",
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def frame(spark):
+    """Builds a frame of a star table from dicts; absent columns are NULL."""
+
+    def build(table: str, rows: list[dict]):
+        schema = schemas.STAR[table]
+        money = {f.name for f in schema.fields if f.dataType == schemas.MONEY}
+
+        def value(name, v):
+            if v is not None and name in money:
+                return Decimal(str(v))
+            return v
+
+        return spark.createDataFrame(
+            [tuple(value(n, row.get(n)) for n in schema.fieldNames()) for row in rows], schema
+        )
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def at():
+    """A date-time from text, midnight if no time is given."""
+    return lambda text: dt.datetime.fromisoformat(text)

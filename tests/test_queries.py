@@ -1,0 +1,51 @@
+"""Every registered query against a second engine on the test tables."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import TESTDATA
+
+import __spark_entry__ as contract
+from comparison import connect, difference
+
+SMALL = f"{TESTDATA}/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def second_engine():
+    return connect(SMALL)
+
+
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+def test_query_equals_sql(spark, second_engine, name):
+    result = contract.queries()[name](spark, SMALL)
+    expected = second_engine.execute(contract.oracle_sql()[name])
+    columns = [d[0] for d in expected.description]
+    found = difference(
+        (result.columns, [tuple(r) for r in result.collect()]), (columns, expected.fetchall())
+    )
+    assert found is None, found
+
+
+def test_every_query_but_the_boosted_forecast_has_sql():
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {"customer_growth_forecast"}
+
+
+def test_entry_has_rows(spark):
+    assert contract.entry(spark).filter("is_anomaly").count() == 399
+
+
+def test_test_tables_have_complete_and_unique_keys(second_engine):
+    """The fact view leaves out joins that its columns do not need."""
+    lines = second_engine.execute("SELECT count(*) FROM lineitem").fetchone()
+    joined = second_engine.execute(
+        "SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        "JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey "
+        "JOIN region ON n_regionkey = r_regionkey"
+    ).fetchone()
+    assert lines == joined
+
+
+def test_growth_forecast_rows(spark):
+    rows = contract.queries()["customer_growth_forecast"](spark, SMALL).collect()
+    assert sorted(r.segment for r in rows) == ["Adult (41-55)", "Middle (28-40)", "Young (19-27)"]

@@ -1,0 +1,46 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillsight.functions import segments
+
+
+def values(spark, column, rows, schema):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
+
+
+def test_age_bands(spark):
+    ages = [18, 19, 27, 28, 40, 41, 55, 56]
+    rows = [(dt.date(2026 - a, 12, 31),) for a in ages] + [(None,)]
+    found = values(spark, segments.age_band(F.col("b"), 2026), rows, "b date")
+    young, middle, adult = "Young (19-27)", "Middle (28-40)", "Adult (41-55)"
+    assert found == [None, young, young, middle, middle, adult, adult, None, None]
+
+
+def test_price_tiers(spark):
+    rows = [(p,) for p in (24.99, 25.0, 45.0, 45.01, 80.0, 150.0, 150.01, None)]
+    found = values(spark, segments.price_tier(F.col("p")), rows, "p double")
+    assert found == [
+        "Budget", "Standard", "Standard", "Upper", "Upper", "Premium", "Luxury", "Luxury",
+    ]
+
+
+@pytest.mark.parametrize("first,name", [(1, "Winter"), (4, "Spring"), (7, "Summer"), (10, "Fall")])
+def test_seasons(spark, first, name):
+    rows = [(dt.datetime(2024, m, 28),) for m in range(first, first + 3)]
+    assert values(spark, segments.season(F.col("t")), rows, "t timestamp_ntz") == [name] * 3
+
+
+def test_trading_bands(spark):
+    rows = [(dt.datetime(2024, 1, 1, h, 59),) for h in (10, 11, 19, 20, 22, 23)]
+    found = values(spark, segments.trading_band(F.col("t")), rows, "t timestamp_ntz")
+    assert found == ["closed", "off_peak", "off_peak", "peak", "peak", "closed"]
+
+
+def test_rfm_segments(spark):
+    rows = [(s,) for s in (12.0, 10.0, 9.0, 7.0, 6.0, 5.0, 4.0)]
+    found = values(spark, segments.rfm_segment(F.col("s")), rows, "s double")
+    assert found == ["Champions", "Champions", "Loyal", "Loyal", "At-Risk", "At-Risk", "Lost"]

@@ -74,20 +74,8 @@ def exact_quantiles(
         .withColumns({"end": F.sum("slot_rows").over(upto), "n": F.sum("slot_rows").over(by_measure)})
         .withColumn("before", F.col("end") - F.col("slot_rows"))
     )
-    ranks = [F.lit(float(f)) * (F.col("n") - 1) for f in fractions]
-    wanted = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.col("before") <= F.ceil(rank)) & (F.floor(rank) < F.col("end")),
-                    F.struct(F.lit(i).alias("i"), rank.alias("rank")),
-                )
-                for i, rank in enumerate(ranks)
-            ]
-        )
-    )
-    enclosing = slots.select("measure", "slot", "before", wanted.alias("wanted")).filter(
-        F.size("wanted") > 0
+    enclosing = slots.filter(F.size(_ranks_between("before", "end", fractions)) > 0).select(
+        "measure", "slot", "before", "n"
     )
 
     # Values of the enclosing slots only, ties folded into one row.
@@ -95,18 +83,15 @@ def exact_quantiles(
     placed = (
         slotted.join(F.broadcast(enclosing), ["measure", "slot"])
         .groupBy("measure", "slot", "value")
-        .agg(
-            F.count("*").alias("value_rows"),
-            F.any_value("before").alias("before"),
-            F.any_value("wanted").alias("wanted"),
-        )
+        .agg(F.count("*").alias("value_rows"), F.max("before").alias("before"), F.max("n").alias("n"))
         .withColumn("end", F.col("before") + F.sum("value_rows").over(in_slot))
+        .withColumn("first_rank", F.col("end") - F.col("value_rows"))
         .select(
             "measure",
             "value",
-            (F.col("end") - F.col("value_rows")).alias("first_rank"),
+            "first_rank",
             (F.col("end") - 1).alias("last_rank"),
-            F.inline("wanted"),
+            F.inline(_ranks_between("first_rank", "end", fractions)),
         )
     )
     low, high = _value_at(F.floor("rank")), _value_at(F.ceil("rank"))
@@ -119,6 +104,22 @@ def exact_quantiles(
     return ends.agg(*[_edges_of(c).alias(c) for c in columns])
 
 
+def _ranks_between(first: str, end: str, fractions: Sequence[float]) -> Column:
+    """The wanted ranks (index, rank) with a neighbour in the ranks [first, end)."""
+    ranks = [F.lit(float(f)) * (F.col("n") - 1) for f in fractions]
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    (F.col(first) <= F.ceil(rank)) & (F.floor(rank) < F.col(end)),
+                    F.struct(F.lit(i).alias("i"), rank.alias("rank")),
+                )
+                for i, rank in enumerate(ranks)
+            ]
+        )
+    )
+
+
 def _edges_of(measure: str) -> Column:
     pairs = F.array_sort(F.collect_list(F.when(F.col("measure") == measure, F.struct("i", "q"))))
     return F.when(F.size(pairs) > 0, F.transform(pairs, lambda pair: pair["q"]))

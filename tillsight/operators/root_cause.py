@@ -35,15 +35,20 @@ MONITORED_SECTIONS = ("Women", "Men", "Kids")
 
 
 def staff_days(sales: DataFrame, products: DataFrame, sections: DataFrame) -> DataFrame:
-    """Net and discount per branch, section, day and employee; no line is lost."""
+    """Net and discount per branch, section, day and employee; no line is lost.
+
+    Section names are joined to the sums, not to the lines.
+    """
     return (
         sales.filter(F.col("timestamp").isNotNull())
-        .join(_section_names(products, sections), "product_id", "left")
-        .groupBy("branch_id", "section_name", F.to_date("timestamp").alias("day"), "employee_id")
+        .join(products.select("product_id", "section_id"), "product_id", "left")
+        .groupBy("branch_id", "section_id", F.to_date("timestamp").alias("day"), "employee_id")
         .agg(
             F.coalesce(F.sum("net_amount"), F.lit(0)).alias("net_amount"),
             F.coalesce(F.sum("discount_amount"), F.lit(0)).alias("discount_amount"),
         )
+        .join(sections, "section_id", "left")
+        .drop("section_id")
     )
 
 

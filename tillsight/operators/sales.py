@@ -27,21 +27,22 @@ def sales_enriched(
             "month_num": F.month("timestamp"),
             "total_cost": total_cost,
             "gross_profit": gross_profit,
-            "margin_pct": margin_pct(gross_profit, F.col("net_amount")),
+            "margin_pct": margin_pct(),
         }
     )
 
 
-def margin_pct(gross_profit: Column, net_amount: Column) -> Column:
-    return F.try_divide(gross_profit.cast("double"), net_amount.cast("double")) * 100
+def margin_pct() -> Column:
+    """Profit over net amount of a line; a ratio needs no decimal arithmetic."""
+    net = F.col("net_amount").cast("double")
+    return F.try_divide(net - F.col("quantity") * F.col("cost_jod").cast("double"), net) * 100
 
 
 def overview_kpis(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Net revenue, unweighted mean line margin and number of invoices."""
-    profit = F.col("net_amount") - F.col("quantity") * F.col("cost_jod")
     return sales.join(products.select("product_id", "cost_jod"), "product_id", "left").agg(
         F.coalesce(F.sum("net_amount"), F.lit(0)).alias("total_revenue"),
-        F.avg(margin_pct(profit, F.col("net_amount"))).alias("avg_margin_pct"),
+        F.avg(margin_pct()).alias("avg_margin_pct"),
         F.count_distinct("transaction_id").alias("transactions"),
     )
 

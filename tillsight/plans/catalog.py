@@ -117,8 +117,7 @@ def _scenario_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads the purchase events as a stream until all are taken in."""
-    stored = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(stored).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(tpch.table_schema("events")).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     daily = daily_revenue.stream_daily_revenue(tpch.purchases(events), DAILY_TARGET)
     path = new_shared_path(spark, "daily-revenue")
     daily_revenue.start_daily_revenue(

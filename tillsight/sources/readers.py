@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -102,37 +102,55 @@ def dimension_keys(dimension: DataFrame, key: str) -> DataFrame:
     return dimension.select(key)
 
 
-@dataclass(frozen=True)
 class Star:
-    """One star schema.  ``sales(*columns)`` projects the fact table."""
-
-    sales: Callable[..., DataFrame]
-    products: DataFrame
-    sections: DataFrame
-    branches: DataFrame
-    customers: DataFrame
-    employees: DataFrame
-    inventory: DataFrame
-
-
-def star_of(read: Callable[[str], DataFrame]) -> Star:
-    """A star from a function that reads one table by name."""
-    return Star(
-        sales=read("fact_sales").select,
-        products=read("dim_products"),
-        sections=read("dim_sections"),
-        branches=read("dim_branches"),
-        customers=read("dim_customers"),
-        employees=read("dim_employees"),
-        inventory=read("central_inventory"),
-    )
+    """One star schema.  Tables are read on first use.
+
+    ``sales(*columns)`` projects the fact table; ``read`` gives one of the
+    other tables by name.
+    """
+
+    def __init__(self, sales: Callable[..., DataFrame], read: Callable[[str], DataFrame]):
+        self.sales = sales
+        self._read = read
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._read("dim_products")
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        return self._read("dim_sections")
+
+    @cached_property
+    def branches(self) -> DataFrame:
+        return self._read("dim_branches")
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self._read("dim_customers")
+
+    @cached_property
+    def employees(self) -> DataFrame:
+        return self._read("dim_employees")
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return self._read("central_inventory")
 
 
 def parquet_star(spark: SparkSession, root: str) -> Star:
     """A star stored as one Parquet folder per table below ``root``."""
-    return star_of(lambda table: read_parquet_table(spark, f"{root}/{table}", table))
+
+    def read(table: str) -> DataFrame:
+        return read_parquet_table(spark, f"{root}/{table}", table)
+
+    return Star(lambda *columns: read("fact_sales").select(*columns), read)
 
 
 def jdbc_star(spark: SparkSession, options: Callable[[str], Mapping[str, str]]) -> Star:
     """A star in a database; ``options`` gives the scan options of a table."""
-    return star_of(lambda table: read_jdbc_table(spark, table, options(table)))
+
+    def read(table: str) -> DataFrame:
+        return read_jdbc_table(spark, table, options(table))
+
+    return Star(lambda *columns: read("fact_sales").select(*columns), read)
