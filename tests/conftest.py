@@ -21,7 +21,7 @@ def spark():
     session = build_session(
         "tillsight-tests",
         master="local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="2",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",

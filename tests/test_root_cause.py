@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 
 from tillsight.operators import root_cause as rca
+from tillsight.plans.root_cause import RootCauseRun
+from tillsight.sources.readers import Star
 
 DAY = dt.date(2024, 3, 1)
 PRODUCTS = [
@@ -21,6 +23,16 @@ def stamp(day: dt.date) -> dt.datetime:
     return dt.datetime.combine(day, dt.time(12))
 
 
+def run_over(sales, products, sections, branches, inventory) -> RootCauseRun:
+    tables = {
+        "dim_products": products,
+        "dim_sections": sections,
+        "dim_branches": branches,
+        "central_inventory": inventory,
+    }
+    return RootCauseRun(Star(sales.select, tables.__getitem__))
+
+
 @pytest.fixture(scope="module")
 def judge(spark):
     def run(history: dict[int, float], today: float):
@@ -100,13 +112,9 @@ def alert(spark, frame):
             "central_inventory",
             [{"branch_id": b, "product_id": p, "floor_qty": q, "total_qty": 50} for b, p, q in stock],
         )
-        rollup = rca.staff_days(sales, products, sections)
-        trigger = rca.profit_trigger(rca.daily_net(rollup))
-        drops = rca.branch_drops(trigger, rollup, branches)
-        section = rca.worst_section(rca.worst_branch(trigger, drops), rollup)
-        floor = rca.section_floor(inventory, products, sections)
-        found = rca.profit_diagnosis(section, rollup, floor).filter(f"day = DATE'{DAY}'")
-        scope = rca.anomaly_scope(drops).filter(f"day = DATE'{DAY}'")
+        run = run_over(sales, products, sections, branches, inventory)
+        found = run.profit_diagnosis().filter(f"day = DATE'{DAY}'")
+        scope = run.anomaly_scope().filter(f"day = DATE'{DAY}'")
         return found.first(), scope.first()
 
     return run
@@ -199,12 +207,9 @@ def section_alerts(spark, frame):
             "central_inventory",
             [{"branch_id": 101, "product_id": p, "floor_qty": q} for p, q in stock],
         )
-        rollup = rca.staff_days(sales, products, sections)
-        share = rca.section_contribution(rollup, branches)
-        fallen = rca.section_anomalies(share)
-        floor = rca.section_floor(inventory, products, sections)
-        traffic = rca.section_traffic(sales, products, sections)
-        found = rca.section_diagnosis(fallen, floor, traffic).filter(f"day = DATE'{DAY}'").collect()
+        run = run_over(sales, products, sections, branches, inventory)
+        share = run.section_contribution()
+        found = run.section_diagnosis().filter(f"day = DATE'{DAY}'").collect()
         return share.filter(f"day = DATE'{DAY}'").collect(), found
 
     return run

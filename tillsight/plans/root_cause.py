@@ -8,6 +8,7 @@ and a lost executor costs no second scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -19,14 +20,28 @@ _COLUMNS = ("branch_id", "product_id", "employee_id", "timestamp", "net_amount",
 
 
 class RootCauseRun:
-    """Analyses over one staged rollup of ``star``."""
+    """Analyses over one staged rollup of ``star``.
+
+    The findings per day are staged as well: they have a row per calendar
+    day at most, and every later step would compute them again.
+    """
 
     def __init__(self, star: Star, monitored: Sequence[str] = rca.MONITORED_SECTIONS):
         self.star = star
         self.monitored = tuple(monitored)
-        sales = star.sales(*_COLUMNS)
-        self.rollup = stage(rca.staff_days(sales, star.products, star.sections), "staff-days")
-        self.trigger = rca.profit_trigger(rca.daily_net(self.rollup))
+
+    @cached_property
+    def _staff_days(self) -> DataFrame:
+        sales = self.star.sales(*_COLUMNS)
+        return rca.staff_days(sales, self.star.products, self.star.sections)
+
+    @cached_property
+    def rollup(self) -> DataFrame:
+        return stage(self._staff_days, "staff-days")
+
+    @cached_property
+    def trigger(self) -> DataFrame:
+        return stage(rca.profit_trigger(rca.daily_net(self.rollup)), "profit-trigger")
 
     def branch_drops(self) -> DataFrame:
         return rca.branch_drops(self.trigger, self.rollup, self.star.branches)
@@ -34,8 +49,12 @@ class RootCauseRun:
     def worst_branch(self) -> DataFrame:
         return rca.worst_branch(self.trigger, self.branch_drops())
 
+    @cached_property
+    def staged_branch(self) -> DataFrame:
+        return stage(self.worst_branch(), "worst-branch")
+
     def worst_section(self) -> DataFrame:
-        return rca.worst_section(self.worst_branch(), self.rollup)
+        return rca.worst_section(self.staged_branch, self.rollup)
 
     def section_floor(self) -> DataFrame:
         return rca.section_floor(self.star.inventory, self.star.products, self.star.sections)
@@ -44,16 +63,18 @@ class RootCauseRun:
         return rca.floor_stock(self.worst_section(), self.section_floor())
 
     def discount_ratio(self) -> DataFrame:
-        return rca.discount_ratio(self.worst_branch(), self.rollup)
+        return rca.discount_ratio(self.staged_branch, self.rollup)
 
     def staffing(self) -> DataFrame:
-        return rca.staffing(self.worst_branch(), self.rollup)
+        return rca.staffing(self.staged_branch, self.rollup)
 
     def profit_diagnosis(self) -> DataFrame:
-        return rca.profit_diagnosis(self.worst_section(), self.rollup, self.section_floor())
+        section = stage(self.worst_section(), "worst-section")
+        return rca.profit_diagnosis(section, self.rollup, self.section_floor())
 
     def section_contribution(self) -> DataFrame:
-        return rca.section_contribution(self.rollup, self.star.branches)
+        """Reads the rollup once, so nothing is staged for it."""
+        return rca.section_contribution(self._staff_days, self.star.branches)
 
     def section_anomalies(self) -> DataFrame:
         return rca.section_anomalies(self.section_contribution(), self.monitored)
