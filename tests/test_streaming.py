@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from conftest import TESTDATA
+
+from tillsight.operators.sales import daily_target_attainment
+from tillsight.plans.catalog import DAILY_TARGET, QUERIES
+from tillsight.sources import schemas, tpch_star
+from tillsight.streaming import daily_revenue
+
+SMALL = f"{TESTDATA}/sf0.001"
+
+
+@pytest.fixture
+def feed(spark, frame, tmp_path):
+    """Writes batches of sale lines and takes in what is new."""
+    source, table, state = (str(tmp_path / n) for n in ("source", "table", "state"))
+
+    def push(rows):
+        frame("fact_sales", rows).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schemas.FACT_SALES).parquet(source)
+        query = daily_revenue.start_daily_revenue(
+            daily_revenue.stream_daily_revenue(stream, 100.0), table, state, available_now=True
+        )
+        query.awaitTermination()
+        dropped = sum(
+            op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]
+        )
+        days = daily_revenue.read_daily_revenue(spark, table).collect()
+        return {str(r.day): (float(r.gross_amount), r.reached) for r in days}, dropped
+
+    return push, run
+
+
+def sale(day: str, gross: float) -> dict:
+    return {"timestamp": dt.datetime.fromisoformat(day), "gross_amount": gross}
+
+
+def test_restart_continues_and_days_are_updated(feed):
+    push, run = feed
+    push([sale("2024-01-01T09:00", 60), sale("2024-01-02T00:00", 5)])
+    assert run()[0] == {"2024-01-01": (60.0, False), "2024-01-02": (5.0, False)}
+    push([sale("2024-01-01T23:59:59", 40), sale("2024-01-02T10:00", 1)])
+    assert run()[0] == {"2024-01-01": (100.0, True), "2024-01-02": (6.0, False)}
+    assert run()[0] == {"2024-01-01": (100.0, True), "2024-01-02": (6.0, False)}
+
+
+def test_rows_behind_the_watermark_are_dropped_and_counted(feed):
+    push, run = feed
+    push([sale("2024-01-01T09:00", 10), sale("2024-01-10T09:00", 20)])
+    run()
+    push([sale("2024-01-01T10:00", 500), sale("2024-01-09T10:00", 7)])
+    days, dropped = run()
+    assert days == {"2024-01-01": (10.0, False), "2024-01-09": (7.0, False), "2024-01-10": (20.0, False)}
+    assert dropped == 1
+
+
+def test_repeated_batch_overwrites_itself(feed, spark, tmp_path):
+    push, run = feed
+    push([sale("2024-01-01T09:00", 60)])
+    first, _ = run()
+    folder = str(tmp_path / "table" / "batch=0")
+    again = spark.read.parquet(folder)
+    rows = again.collect()
+    spark.createDataFrame(rows, again.schema).write.mode("overwrite").parquet(folder)
+    assert {str(r.day) for r in daily_revenue.read_daily_revenue(spark, str(tmp_path / "table")).collect()} == set(first)
+
+
+def test_stream_equals_batch(spark):
+    streamed = QUERIES["stream_daily_revenue"](spark, SMALL)
+    batch = daily_target_attainment(tpch_star.purchase_sales(spark, SMALL), DAILY_TARGET)
+    expected = {(r.day, float(r.gross_amount), r.reached) for r in batch.collect()}
+    assert {(r.day, r.gross_amount, r.reached) for r in streamed.collect()} == expected
+
+
+def test_days_do_not_depend_on_the_session_zone(feed, spark):
+    push, run = feed
+    push([sale("2024-01-01T00:30", 1), sale("2024-01-01T23:30", 2)])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Amman")
+    try:
+        assert run()[0] == {"2024-01-01": (3.0, False)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
