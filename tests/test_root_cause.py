@@ -3,9 +3,12 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 from tillsight.operators import root_cause as rca
 from tillsight.plans.root_cause import RootCauseRun
+from tillsight.sources import tpch_star
 from tillsight.sources.readers import Star
 
 DAY = dt.date(2024, 3, 1)
@@ -247,3 +250,14 @@ def test_bottleneck_order(section_alerts):
     _, found = section_alerts(quiet, stock=[(1, 4)])
     assert found[0].bottleneck == rca.LOW_TRAFFIC
     assert found[0].details == "Section traffic was 1 transactions (15-day average: 2.0)."
+
+
+def test_limited_run_finds_the_same(spark):
+    star = tpch_star.tpch_star(spark, f"{TESTDATA}/sf0.001")
+    first, last = dt.date(1997, 3, 1), dt.date(1997, 3, 20)
+    everything = RootCauseRun(star, tpch_star.MONITORED_SECTIONS)
+    limited = RootCauseRun(star, tpch_star.MONITORED_SECTIONS, days=(first, last))
+    for name in ("profit_diagnosis", "section_diagnosis"):
+        expected = getattr(everything, name)().filter(F.col("day").between(first, last)).collect()
+        found = getattr(limited, name)().collect()
+        assert len(found) > 0 and sorted(found, key=str) == sorted(expected, key=str)

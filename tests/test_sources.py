@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import types as T
 
-from tillsight.operators import forecast
+from tillsight.operators import customers, forecast
 from tillsight.session import shared_folder, stage
 from tillsight.sources import readers, schemas, writers
 
@@ -100,3 +100,20 @@ def test_staged_table_keeps_rows_and_types(spark):
     again = stage(df, "sample")
     assert again.schema == df.schema and again.collect() == df.collect()
     assert shared_folder(spark) in again.inputFiles()[0]
+
+
+def test_recent_window_skips_old_folders(spark, frame, at, tmp_path):
+    path = str(tmp_path / "fact_sales")
+    rows = [
+        {"customer_id": c, "timestamp": at(f"2024-0{m}-1{c}T10:00"), "net_amount": c * m}
+        for m in (1, 5, 6)
+        for c in (1, 2, 3)
+    ]
+    writers.append_sales(frame("fact_sales", rows), path)
+    stored = readers.parquet_star(spark, str(tmp_path)).dated_sales("customer_id", "timestamp", "net_amount")
+    recent = customers.recent_activity(stored)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(sale_date" in plan and "(sale_date#" in plan and ">= Subquery" in plan
+    plain = customers.recent_activity(frame("fact_sales", rows))
+    assert sorted(recent.collect()) == sorted(plain.collect())
+    assert {r.monetary for r in recent.collect()} == {Decimal(6), Decimal(12), Decimal(33)}

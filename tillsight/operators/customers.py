@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import segments
 from ..functions.quantiles import exact_quantiles, quartile_score
+from ..functions.recency import days_before_latest, sold_since
 from ..functions.scalars import attach
 
 WINDOW_DAYS = 30
@@ -19,8 +20,8 @@ def recent_activity(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFra
     The window ends at the latest sale of all; recency counts whole elapsed
     days back from the latest sale of a known customer inside it.
     """
-    newest = sales.agg(F.max("timestamp") - F.expr(f"INTERVAL {int(window_days)} DAYS")).scalar()
-    kept = sales.filter(F.col("customer_id").isNotNull() & (F.col("timestamp") >= newest))
+    recent = sold_since(sales, days_before_latest(sales, window_days))
+    kept = recent.filter(F.col("customer_id").isNotNull())
     reference = kept.agg(F.max("timestamp")).scalar()
     return (
         kept.groupBy("customer_id")
@@ -91,7 +92,9 @@ def churn_by_segment(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFr
     of ``rfm_scores``.
     """
     activity = recent_activity(sales, window_days)
-    edges = exact_quantiles(activity, ["monetary"], QUARTILES)
+    # Recency rides along so that both readers of the activity need the same
+    # columns and share one shuffle of the sales.
+    edges = exact_quantiles(activity, ["recency", "monetary"], QUARTILES)
     quartile = quartile_score(F.col("monetary").cast("double"), F.col("edges.monetary"))
     names = dict(zip((4, 3, 2, 1), segments.RFM_SEGMENTS))
     segment = F.when(quartile >= 4, names[4]).when(quartile >= 3, names[3]).when(

@@ -87,8 +87,10 @@ def holiday_forecast(performance: DataFrame, target_year: int) -> DataFrame:
                 F.lit(order).alias("event_order"),
             )
         )
+    # One filter for both readers, so that they share the aggregated sales.
+    performance = performance.filter(F.col("event").isin(*FORECAST_EVENTS))
     forecast = performance.agg(F.array(*fits).alias("fits")).select(F.inline("fits"))
-    actual = performance.filter(F.col("event").isin(*FORECAST_EVENTS)).select(
+    actual = performance.select(
         "year",
         "event",
         net.alias("net_amount"),

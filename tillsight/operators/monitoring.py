@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.recency import days_before_latest, sold_since
+
 FLOOR_LIMIT = 4
 FLOOR_TARGET = 8
 MARGIN_LIMIT_PCT = 5.0
@@ -72,7 +74,8 @@ def replenishment_list(
     The refill brings the floor up to the target as far as backstock lasts.
     """
     sold = (
-        sales.filter(F.col("timestamp") > snapshot)
+        sold_since(sales, snapshot)
+        .filter(F.col("timestamp") > snapshot)
         .groupBy("branch_id", "product_id")
         .agg(F.sum("quantity").alias("sold"))
     )
@@ -125,8 +128,8 @@ def low_stock_zero_sales(
     sales: DataFrame, inventory: DataFrame, days: int = QUIET_DAYS, limit: int = FLOOR_LIMIT
 ) -> DataFrame:
     """Items low on the floor that nobody bought in the last days."""
-    since = sales.agg(F.max("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")).scalar()
-    sold = sales.filter(F.col("timestamp") >= since).select("branch_id", "product_id").distinct()
+    recent = sold_since(sales, days_before_latest(sales, days))
+    sold = recent.select("branch_id", "product_id").distinct()
     return inventory.filter(F.col("floor_qty") < limit).join(
         sold, ["branch_id", "product_id"], "left_anti"
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.recency import days_before_latest, sold_since
 from ..functions.scalars import attach
 
 BASELINE_DAYS = 90
@@ -41,9 +42,11 @@ def baseline_metrics(
     ``as_of`` defaults to the latest sale.  With ``by`` there is a row per
     group, else exactly one row.
     """
-    interval = F.expr(f"INTERVAL {int(days)} DAYS")
-    start = sales.agg(F.max("timestamp") - interval).scalar() if as_of is None else as_of - interval
-    lines = sales.filter(F.col("timestamp") >= start).join(
+    if as_of is None:
+        start = days_before_latest(sales, days)
+    else:
+        start = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
+    lines = sold_since(sales, start).join(
         products.select("product_id", "price_jod", "cost_jod"), "product_id"
     )
     price, cost = _line_mean("price_jod"), _line_mean("cost_jod")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.recency import days_before_latest
 from ..operators import customers, forecast, inventory, monitoring, sales, segmentation, whatif
 from ..operators import root_cause as rca
 from ..session import new_shared_path
@@ -89,7 +90,7 @@ def _holidays(star: Star) -> DataFrame:
 
 
 def _activity(star: Star) -> DataFrame:
-    return star.sales("customer_id", "timestamp", "net_amount")
+    return star.dated_sales("customer_id", "timestamp", "net_amount")
 
 
 def _stockout(star: Star) -> DataFrame:
@@ -104,7 +105,7 @@ def _trigger(star: Star) -> DataFrame:
 
 
 def _baseline(star: Star) -> DataFrame:
-    lines = star.sales(
+    lines = star.dated_sales(
         "product_id", "timestamp", "net_amount", "quantity", "transaction_id", "customer_id"
     )
     return whatif.baseline_metrics(lines, star.products)
@@ -127,9 +128,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replenishment(star: Star) -> DataFrame:
-    lines = star.sales("branch_id", "product_id", "timestamp", "quantity")
-    week_ago = lines.agg(F.max("timestamp") - F.expr("INTERVAL 7 DAYS")).scalar()
-    return monitoring.replenishment_list(lines, star.inventory, week_ago)
+    lines = star.dated_sales("branch_id", "product_id", "timestamp", "quantity")
+    return monitoring.replenishment_list(lines, star.inventory, days_before_latest(lines, 7))
 
 
 def _price_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ QUERIES: dict[str, Query] = {
     ),
     "low_stock_zero_sales": _on_star(
         lambda s: monitoring.low_stock_zero_sales(
-            s.sales("branch_id", "product_id", "timestamp"), s.inventory
+            s.dated_sales("branch_id", "product_id", "timestamp"), s.inventory
         )
     ),
     "low_margin_flag": _on_star(_low_margin),

@@ -7,11 +7,13 @@ and a lost executor costs no second scan.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.recency import sold_before, sold_since
 from ..operators import root_cause as rca
 from ..session import stage
 from ..sources.readers import Star
@@ -26,13 +28,35 @@ class RootCauseRun:
     day at most, and every later step would compute them again.
     """
 
-    def __init__(self, star: Star, monitored: Sequence[str] = rca.MONITORED_SECTIONS):
+    def __init__(
+        self,
+        star: Star,
+        monitored: Sequence[str] = rca.MONITORED_SECTIONS,
+        days: tuple[dt.date, dt.date] | None = None,
+    ):
+        """Judge every day, or only those from the first to the last of ``days``.
+
+        A limited run reads only the sale lines its days and their history
+        need.
+        """
         self.star = star
         self.monitored = tuple(monitored)
+        self.days = days
+
+    def _sales(self, *columns: str) -> DataFrame:
+        sales = self.star.dated_sales(*columns)
+        if self.days is None:
+            return sales
+        first, last = (dt.datetime.combine(day, dt.time()) for day in self.days)
+        since = sold_since(sales, F.lit(first - dt.timedelta(days=rca.HISTORY_DAYS)))
+        return sold_before(since, F.lit(last + dt.timedelta(days=1)))
+
+    def _judged(self, found: DataFrame) -> DataFrame:
+        return found if self.days is None else found.filter(F.col("day") >= F.lit(self.days[0]))
 
     @cached_property
     def _staff_days(self) -> DataFrame:
-        sales = self.star.sales(*_COLUMNS)
+        sales = self._sales(*_COLUMNS)
         return rca.staff_days(sales, self.star.products, self.star.sections)
 
     @cached_property
@@ -41,7 +65,8 @@ class RootCauseRun:
 
     @cached_property
     def trigger(self) -> DataFrame:
-        return stage(rca.profit_trigger(rca.daily_net(self.rollup)), "profit-trigger")
+        found = rca.profit_trigger(rca.daily_net(self.rollup))
+        return stage(self._judged(found), "profit-trigger")
 
     def branch_drops(self) -> DataFrame:
         return rca.branch_drops(self.trigger, self.rollup, self.star.branches)
@@ -77,10 +102,10 @@ class RootCauseRun:
         return rca.section_contribution(self._staff_days, self.star.branches)
 
     def section_anomalies(self) -> DataFrame:
-        return rca.section_anomalies(self.section_contribution(), self.monitored)
+        return self._judged(rca.section_anomalies(self.section_contribution(), self.monitored))
 
     def section_diagnosis(self) -> DataFrame:
-        sales = self.star.sales("branch_id", "product_id", "timestamp", "transaction_id")
+        sales = self._sales("branch_id", "product_id", "timestamp", "transaction_id")
         traffic = rca.section_traffic(
             sales, self.star.products, self.star.sections, self.monitored
         )

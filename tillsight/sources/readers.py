@@ -106,12 +106,23 @@ class Star:
     """One star schema.  Tables are read on first use.
 
     ``sales(*columns)`` projects the fact table; ``read`` gives one of the
-    other tables by name.
+    other tables by name; ``partitions`` are the fact's partition columns.
     """
 
-    def __init__(self, sales: Callable[..., DataFrame], read: Callable[[str], DataFrame]):
+    def __init__(
+        self,
+        sales: Callable[..., DataFrame],
+        read: Callable[[str], DataFrame],
+        partitions: Sequence[str] = (),
+    ):
         self.sales = sales
         self._read = read
+        self._partitions = tuple(partitions)
+
+    def dated_sales(self, *columns: str) -> DataFrame:
+        """The columns and the partition columns, which cost nothing to read
+        and let time windows skip whole folders."""
+        return self.sales(*columns, *(p for p in self._partitions if p not in columns))
 
     @cached_property
     def products(self) -> DataFrame:
@@ -144,7 +155,8 @@ def parquet_star(spark: SparkSession, root: str) -> Star:
     def read(table: str) -> DataFrame:
         return read_parquet_table(spark, f"{root}/{table}", table)
 
-    return Star(lambda *columns: read("fact_sales").select(*columns), read)
+    fact = read("fact_sales")
+    return Star(fact.select, read, [c for c in fact.columns if c == SALE_DATE])
 
 
 def jdbc_star(spark: SparkSession, options: Callable[[str], Mapping[str, str]]) -> Star:
