@@ -1,0 +1,113 @@
+"""A third of all rows on one key, and shuffle joins only: same results."""
+
+from __future__ import annotations
+
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from conftest import TESTDATA
+
+import __spark_entry__ as contract
+from comparison import connect, difference
+from tillsight.operators import customers, sales
+from tillsight.sources import schemas
+
+SMALL = f"{TESTDATA}/sf0.001"
+ROWS = 30_000
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Sale lines with one hot customer, day, second and time stamp."""
+    rng = np.random.default_rng(5)
+    third = rng.random(ROWS) < 1 / 3
+    micros = rng.integers(0, 40 * 86_400, ROWS) * 1_000_000 + rng.integers(0, 1_000_000, ROWS)
+    hot_second = 20 * 86_400_000_000 + rng.integers(0, 900, ROWS)
+    stamps = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.where(third, hot_second, micros), unit="us")
+    data = pd.DataFrame(
+        {
+            "timestamp": stamps,
+            "customer_id": np.where(third, 7, rng.integers(8, 2000, ROWS)),
+            "gross_amount": rng.integers(-300, 1000, ROWS) / 100,
+        }
+    )
+    data["net_amount"] = data["gross_amount"]
+    lines = spark.createDataFrame(
+        data, "timestamp timestamp_ntz, customer_id bigint, gross_amount double, net_amount double"
+    ).repartition(8)
+    money = {c: lines[c].cast(schemas.MONEY) for c in ("gross_amount", "net_amount")}
+    return lines.withColumns(money), data
+
+
+def brute_force(data: pd.DataFrame, sql: str):
+    con = duckdb.connect()
+    con.register("raw", data)
+    con.execute(
+        "CREATE TABLE t AS SELECT timestamp AS ts, customer_id, "
+        "CAST(gross_amount AS DECIMAL(18,4)) AS gross FROM raw"
+    )
+    found = con.execute(sql)
+    return [d[0] for d in found.description], found.fetchall()
+
+
+def test_target_moments_of_a_hot_second(hot):
+    lines, data = hot
+    found = sales.daily_target_attainment(lines, 500.0).select("day", "reached", "first_reached")
+    expected = brute_force(
+        data,
+        """WITH r AS (SELECT CAST(ts AS DATE) AS day, ts, sum(gross) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS s FROM t),
+           d AS (SELECT CAST(ts AS DATE) AS day, sum(gross) >= 500 AS reached FROM t GROUP BY 1)
+           SELECT d.day, reached, (SELECT min(ts) FROM r WHERE r.day = d.day AND s >= 500) AS first_reached FROM d""",
+    )
+    assert difference((found.columns, [tuple(r) for r in found.collect()]), expected) is None
+
+
+def test_activity_and_quartiles_with_a_hot_customer(hot):
+    lines, data = hot
+    found = customers.rfm_scores(lines).select("customer_id", "recency", "frequency", "monetary_score")
+    expected = brute_force(
+        data,
+        """WITH k AS (SELECT * FROM t WHERE ts >= (SELECT max(ts) - INTERVAL 30 DAY FROM t)),
+           a AS (SELECT customer_id, CAST(floor(epoch_us((SELECT max(ts) FROM k)) / 86400000000.0
+                        - epoch_us(max(ts)) / 86400000000.0) AS BIGINT) AS recency,
+                        count(*) AS frequency, CAST(sum(gross) AS DOUBLE) AS m FROM k GROUP BY 1),
+           q AS (SELECT quantile_cont(m, [0.25, 0.5, 0.75]) AS e FROM a)
+           SELECT customer_id, recency, frequency,
+                  CAST(1 + (m > e[1])::INT + (m > e[2])::INT + (m > e[3])::INT AS DOUBLE) AS monetary_score FROM a, q""",
+    )
+    assert difference((found.columns, [tuple(r) for r in found.collect()]), expected) is None
+
+
+SHUFFLED = [
+    "sales_enriched",
+    "age_price_affinity",
+    "holiday_performance",
+    "stockout_risk",
+    "rca_profit_diagnosis",
+    "rca_section_diagnosis",
+    "low_stock_zero_sales",
+]
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_same_result_when_no_side_is_small_enough_to_broadcast(spark, name):
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        result = contract.queries()[name](spark, SMALL)
+        rows = [tuple(r) for r in result.collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    expected = connect(SMALL).execute(contract.oracle_sql()[name])
+    columns = [d[0] for d in expected.description]
+    assert difference((result.columns, rows), (columns, expected.fetchall())) is None

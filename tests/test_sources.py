@@ -111,9 +111,9 @@ def test_recent_window_skips_old_folders(spark, frame, at, tmp_path):
     ]
     writers.append_sales(frame("fact_sales", rows), path)
     stored = readers.parquet_star(spark, str(tmp_path)).dated_sales("customer_id", "timestamp", "net_amount")
-    recent = customers.recent_activity(stored)
+    recent = customers.recent_activity(stored, 31)
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "isnotnull(sale_date" in plan and "(sale_date#" in plan and ">= Subquery" in plan
-    plain = customers.recent_activity(frame("fact_sales", rows))
+    plain = customers.recent_activity(frame("fact_sales", rows), 31)
     assert sorted(recent.collect()) == sorted(plain.collect())
     assert {r.monetary for r in recent.collect()} == {Decimal(6), Decimal(12), Decimal(33)}
