@@ -280,7 +280,7 @@ _RFM_COLUMNS = """SELECT customer_id, recency, frequency, monetary, recency_scor
 
 ORACLE: dict[str, str] = {
     "sales_enriched": _q(
-        """SELECT product_id, branch_id, transaction_id, day AS timestamp, employee_id, customer_id, quantity,
+        """SELECT product_id, branch_id, transaction_id, ts AS timestamp, employee_id, customer_id, quantity,
         CAST(gross AS DOUBLE) AS gross_amount, CAST(discount AS DOUBLE) AS discount_amount,
         CAST(net AS DOUBLE) AS net_amount, section_id, product_name AS product_name_en, category,
         CAST(cost AS DOUBLE) AS cost_jod, CAST(price AS DOUBLE) AS price_jod, section AS section_name, branch_name,

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import segments
 
 MAX_DISCOUNT_RATE = 50
+# Month labels.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
 def sales_enriched(
@@ -23,7 +25,7 @@ def sales_enriched(
     return lines.withColumns(
         {
             "date": F.to_date("timestamp"),
-            "month": F.date_format("timestamp", "MMM"),
+            "month": F.element_at(F.array(*map(F.lit, MONTHS)), F.month("timestamp")),
             "month_num": F.month("timestamp"),
             "total_cost": total_cost,
             "gross_profit": gross_profit,

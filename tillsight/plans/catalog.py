@@ -11,20 +11,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.recency import days_before_latest
-from ..operators import customers, forecast, inventory, monitoring, sales, segmentation, whatif
-from ..operators import root_cause as rca
+from ..operators import monitoring
 from ..session import new_shared_path
 from ..sources import tpch_star as tpch
-from ..sources.readers import Star
 from ..streaming import daily_revenue
-from .root_cause import RootCauseRun
+from .analyses import ANALYSES, Settings, scenario_impact
 
-REF_YEAR = 2026
-TARGET_YEAR = 2003
 DAILY_TARGET = 600.0
+SETTINGS = Settings(
+    projection_year=2003,
+    forecast_year=tpch.HOLIDAY_FORECAST_YEAR,
+    holidays=tpch.HOLIDAYS,
+    monitored_sections=tpch.MONITORED_SECTIONS,
+    daily_target=DAILY_TARGET,
+)
+REF_YEAR = SETTINGS.ref_year
+
+# Analyses that need a time of day run over the purchase events, whose star
+# has the same dimensions.
+BY_TIME_OF_DAY = ("daily_target_attainment", "trading_band_sales", "hourly_staffing")
+
 RATIO_PLACES = 6
+# Amounts computed in doubles keep fewer decimals than ratios do.
 LARGE_PLACES = 2
+LARGE = ("daily_sales_forecast", "holiday_forecast", "discount_sensitivity")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,82 +53,27 @@ def comparable(df: DataFrame, places: int = RATIO_PLACES) -> DataFrame:
     return df.select(*[output(f) for f in df.schema.fields])
 
 
-def _on_star(build: Callable[[Star], DataFrame], places: int = RATIO_PLACES) -> Query:
-    return lambda spark, sf_dir: comparable(build(tpch.tpch_star(spark, sf_dir)), places)
-
-
-def _on_purchases(build: Callable[[DataFrame], DataFrame], places: int = RATIO_PLACES) -> Query:
-    return lambda spark, sf_dir: comparable(build(tpch.purchase_sales(spark, sf_dir)), places)
-
-
-def _on_run(build: Callable[[RootCauseRun], DataFrame], places: int = RATIO_PLACES) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        run = RootCauseRun(tpch.tpch_star(spark, sf_dir), tpch.MONITORED_SECTIONS)
-        return comparable(build(run), places)
-
-    return query
-
-
-def _enriched(star: Star) -> DataFrame:
-    lines = star.sales(
-        "transaction_id",
-        "timestamp",
-        "branch_id",
-        "product_id",
-        "employee_id",
-        "customer_id",
-        "quantity",
-        "gross_amount",
-        "discount_amount",
-        "net_amount",
-    )
-    return sales.sales_enriched(lines, star.products, star.sections, star.branches)
-
-
-def _daily_net(star: Star) -> DataFrame:
-    return (
-        star.sales("timestamp", "net_amount")
-        .groupBy(F.to_date("timestamp").alias("order_date"))
-        .agg(F.sum("net_amount").alias("total_net"))
-    )
-
-
-def _holidays(star: Star) -> DataFrame:
-    lines = star.sales("timestamp", "quantity", "net_amount")
-    calendar = segmentation.holiday_calendar(lines.sparkSession, tpch.HOLIDAYS)
-    return segmentation.holiday_performance(lines, calendar)
-
-
-def _activity(star: Star) -> DataFrame:
-    return star.dated_sales("customer_id", "timestamp", "net_amount")
-
-
-def _stockout(star: Star) -> DataFrame:
-    lines = star.sales("branch_id", "product_id", "quantity", "timestamp")
-    return inventory.stockout_risk(lines, star.inventory, star.products)
+def _query(name: str, build: Callable = tpch.tpch_star) -> Query:
+    places = LARGE_PLACES if name in LARGE else RATIO_PLACES
+    return lambda spark, sf_dir: comparable(ANALYSES[name](build(spark, sf_dir), SETTINGS), places)
 
 
-def _trigger(star: Star) -> DataFrame:
-    lines = star.sales("timestamp", "net_amount")
-    daily = rca.daily_net(lines.withColumn("day", F.to_date("timestamp")))
-    return rca.profit_trigger(daily).drop("history")
-
-
-def _baseline(star: Star) -> DataFrame:
-    lines = star.dated_sales(
-        "product_id", "timestamp", "net_amount", "quantity", "transaction_id", "customer_id"
-    )
-    return whatif.baseline_metrics(lines, star.products)
+def _scenario_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scenario_impact(tpch.tpch_star(spark, sf_dir), tpch.scenarios(spark, sf_dir))
+    return comparable(found, LARGE_PLACES)
 
 
-def _scenario_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline = _baseline(tpch.tpch_star(spark, sf_dir))
-    return comparable(whatif.scenario_impact(tpch.scenarios(spark, sf_dir), baseline), LARGE_PLACES)
+def _price_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(monitoring.price_string_clean(tpch.price_strings(spark, sf_dir)))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads the purchase events as a stream until all are taken in."""
-    events = spark.readStream.schema(tpch.table_schema("events")).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = (
+        spark.readStream.schema(tpch.table_schema("events"))
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
     daily = daily_revenue.stream_daily_revenue(tpch.purchases(events), DAILY_TARGET)
     path = new_shared_path(spark, "daily-revenue")
     daily_revenue.start_daily_revenue(
@@ -127,135 +82,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(daily_revenue.read_daily_revenue(spark, f"{path}/table"))
 
 
-def _replenishment(star: Star) -> DataFrame:
-    lines = star.dated_sales("branch_id", "product_id", "timestamp", "quantity")
-    return monitoring.replenishment_list(lines, star.inventory, days_before_latest(lines, 7))
-
-
-def _price_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(monitoring.price_string_clean(tpch.price_strings(spark, sf_dir)))
-
-
-def _low_margin(star: Star) -> DataFrame:
-    return monitoring.low_margin_flag(_enriched(star)).select(
-        "transaction_id", "product_id", "branch_id", "net_amount", "gross_profit", "margin_pct"
-    )
-
-
 QUERIES: dict[str, Query] = {
-    "sales_enriched": _on_star(lambda s: _enriched(s).withColumn("timestamp", F.to_date("timestamp"))),
-    "overview_kpis": _on_star(
-        lambda s: sales.overview_kpis(
-            s.sales("product_id", "quantity", "net_amount", "transaction_id"), s.products
-        )
-    ),
-    "branch_revenue": _on_star(
-        lambda s: sales.branch_revenue(s.sales("branch_id", "net_amount"), s.branches)
-    ),
-    "daily_sales_forecast": _on_star(lambda s: forecast.daily_sales_forecast(_daily_net(s)), LARGE_PLACES),
-    "holiday_forecast": _on_star(
-        lambda s: forecast.holiday_forecast(_holidays(s), tpch.HOLIDAY_FORECAST_YEAR), LARGE_PLACES
-    ),
-    "customer_growth_forecast": _on_star(
-        lambda s: forecast.customer_growth_forecast(s.customers, REF_YEAR)
-    ),
-    "customer_base_projection": _on_star(
-        lambda s: forecast.customer_base_projection(s.customers, TARGET_YEAR)
-    ),
-    "age_segment_quantity": _on_star(
-        lambda s: segmentation.age_segment_quantity(
-            s.sales("customer_id", "quantity"), s.customers, REF_YEAR
-        )
-    ),
-    "price_tier_revenue": _on_star(
-        lambda s: segmentation.price_tier_revenue(s.sales("product_id", "quantity"), s.products)
-    ),
-    "season_volume": _on_star(lambda s: segmentation.season_volume(s.sales("timestamp", "quantity"))),
-    "season_age_hotspots": _on_star(
-        lambda s: segmentation.season_age_hotspots(
-            s.sales("customer_id", "timestamp", "quantity", "net_amount"), s.customers, REF_YEAR
-        )
-    ),
-    "age_price_affinity": _on_star(
-        lambda s: segmentation.age_price_affinity(
-            s.sales("customer_id", "product_id", "quantity"), s.customers, s.products, REF_YEAR
-        )
-    ),
-    "season_age_revenue": _on_star(
-        lambda s: segmentation.season_age_revenue(_activity(s), s.customers, REF_YEAR)
-    ),
-    "holiday_performance": _on_star(_holidays),
-    "stockout_risk": _on_star(_stockout),
-    "stockout_kpis": _on_star(lambda s: inventory.stockout_kpis(_stockout(s))),
-    "rfm_scores": _on_star(lambda s: customers.rfm_scores(_activity(s))),
-    "rfm_scores_purchases": _on_purchases(customers.rfm_scores),
-    "rfm_segment_summary": _on_star(
-        lambda s: customers.rfm_segment_summary(customers.rfm_scores(_activity(s)))
-    ),
-    "rfm_segment_revenue": _on_star(
-        lambda s: customers.rfm_segment_revenue(customers.rfm_scores(_activity(s)))
-    ),
-    "churn_by_segment": _on_star(lambda s: customers.churn_by_segment(_activity(s))),
-    "rca_profit_trigger": _on_star(_trigger),
-    "rca_worst_branch": _on_run(lambda r: r.worst_branch().drop("history")),
-    "rca_worst_section": _on_run(
-        lambda r: r.worst_section().select(
-            "day",
-            "branch_id",
-            "section_name",
-            "section_avg_same_day",
-            "section_day_net",
-            "section_drop",
-        )
-    ),
-    "rca_floor_stock": _on_run(lambda r: r.floor_stock()),
-    "rca_discount_ratio": _on_run(lambda r: r.discount_ratio()),
-    "rca_staffing": _on_run(lambda r: r.staffing()),
-    "rca_profit_diagnosis": _on_run(lambda r: r.profit_diagnosis()),
-    "rca_section_contribution": _on_run(
-        lambda r: r.section_contribution().drop("staff")
-    ),
-    "rca_section_anomalies": _on_run(
-        lambda r: r.section_anomalies().select(
-            "branch_id",
-            "branch_name",
-            "section_name",
-            "day",
-            "contribution",
-            "expected_contribution",
-            "deviation",
-        )
-    ),
-    "rca_section_diagnosis": _on_run(lambda r: r.section_diagnosis()),
-    "baseline_metrics": _on_star(_baseline),
+    name: _query(name, tpch.purchase_star if name in BY_TIME_OF_DAY else tpch.tpch_star)
+    for name in ANALYSES
+} | {
+    "rfm_scores_purchases": _query("rfm_scores", tpch.purchase_star),
     "scenario_impact": _scenario_impact,
-    "discount_sensitivity": _on_star(
-        lambda s: sales.discount_sensitivity(
-            s.sales("gross_amount", "discount_amount", "net_amount")
-        ),
-        LARGE_PLACES,
-    ),
-    "daily_target_attainment": _on_purchases(
-        lambda p: sales.daily_target_attainment(p, DAILY_TARGET)
-    ),
-    "trading_band_sales": _on_purchases(sales.trading_band_sales),
     "stream_daily_revenue": _stream,
-    "hourly_staffing": _on_purchases(monitoring.hourly_staffing),
-    "velocity_alert": _on_star(
-        lambda s: monitoring.velocity_alert(s.sales("product_id", "timestamp", "quantity"))
-    ),
-    "replenishment_list": _on_star(_replenishment),
     "price_string_clean": _price_strings,
-    "rolling_metrics": _on_star(
-        lambda s: monitoring.rolling_metrics(
-            s.sales("product_id", "timestamp", "quantity", "net_amount", "transaction_id"), s.products
-        )
-    ),
-    "low_stock_zero_sales": _on_star(
-        lambda s: monitoring.low_stock_zero_sales(
-            s.dated_sales("branch_id", "product_id", "timestamp"), s.inventory
-        )
-    ),
-    "low_margin_flag": _on_star(_low_margin),
-    "anomaly_scope": _on_run(lambda r: r.anomaly_scope()),
 }

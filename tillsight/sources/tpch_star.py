@@ -66,6 +66,15 @@ def table_schema(name: str) -> str:
 
 def tpch_star(spark: SparkSession, sf_dir: str) -> Star:
     """A star over the test tables in ``sf_dir``."""
+    return Star(partial(_sales, spark, sf_dir), partial(_dimension, spark, sf_dir))
+
+
+def purchase_star(spark: SparkSession, sf_dir: str) -> Star:
+    """The same dimensions with purchase events as the fact."""
+    return Star(purchase_sales(spark, sf_dir).select, partial(_dimension, spark, sf_dir))
+
+
+def _dimension(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     tables = {
         "dim_products": _products,
         "dim_sections": _sections,
@@ -74,7 +83,7 @@ def tpch_star(spark: SparkSession, sf_dir: str) -> Star:
         "dim_employees": _employees,
         "central_inventory": _inventory,
     }
-    return Star(partial(_sales, spark, sf_dir), lambda table: tables[table](spark, sf_dir))
+    return tables[table](spark, sf_dir)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
