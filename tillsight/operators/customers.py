@@ -41,7 +41,11 @@ def recent_activity(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFra
 
 def rfm_scores(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
     """Quartile scores per customer and the segment of their sum."""
-    activity = recent_activity(sales, window_days)
+    return score_activity(recent_activity(sales, window_days))
+
+
+def score_activity(activity: DataFrame) -> DataFrame:
+    """``rfm_scores`` from an activity table, which is read several times."""
     edges = F.col("edges")
     measures = ("recency", "frequency", "monetary")
     scored = attach(activity, exact_quantiles(activity, measures, QUARTILES), "edges").withColumns(
@@ -91,7 +95,11 @@ def churn_by_segment(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFr
     These segments come from the monetary quartile alone and are not those
     of ``rfm_scores``.
     """
-    activity = recent_activity(sales, window_days)
+    return churn_of_activity(recent_activity(sales, window_days))
+
+
+def churn_of_activity(activity: DataFrame) -> DataFrame:
+    """``churn_by_segment`` from an activity table, which is read several times."""
     # Recency rides along so that both readers of the activity need the same
     # columns and share one shuffle of the sales.
     edges = exact_quantiles(activity, ["recency", "monetary"], QUARTILES)

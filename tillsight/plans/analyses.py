@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.recency import days_before_latest
 from ..operators import customers, forecast, inventory, monitoring, sales, segmentation, whatif
 from ..operators import root_cause as rca
+from ..session import stage
 from ..sources.holidays import HOLIDAYS
 from ..sources.readers import Star
 from .root_cause import RootCauseRun
@@ -75,12 +76,14 @@ def _holiday_forecast(star: Star, settings: Settings) -> DataFrame:
     return forecast.holiday_forecast(_holidays(star, settings), settings.forecast_year)
 
 
-def _activity(star: Star) -> DataFrame:
-    return star.dated_sales("customer_id", "timestamp", "net_amount")
+def activity(star: Star) -> DataFrame:
+    """The staged activity per customer, for scores, reports and churn alike."""
+    lines = star.dated_sales("customer_id", "timestamp", "net_amount")
+    return stage(customers.recent_activity(lines), "activity")
 
 
 def _scores(star: Star) -> DataFrame:
-    return customers.rfm_scores(_activity(star))
+    return customers.score_activity(activity(star))
 
 
 def _stockout(star: Star) -> DataFrame:
@@ -199,7 +202,7 @@ ANALYSES: dict[str, Analysis] = {
     "rfm_scores": lambda star, _: _scores(star),
     "rfm_segment_summary": lambda star, _: customers.rfm_segment_summary(_scores(star)),
     "rfm_segment_revenue": lambda star, _: customers.rfm_segment_revenue(_scores(star)),
-    "churn_by_segment": lambda star, _: customers.churn_by_segment(_activity(star)),
+    "churn_by_segment": lambda star, _: customers.churn_of_activity(activity(star)),
     "rca_profit_trigger": _trigger,
     "rca_worst_branch": _run(lambda run: run.worst_branch().drop("history")),
     "rca_worst_section": _run(

@@ -35,6 +35,8 @@ RATIO_PLACES = 6
 # Amounts computed in doubles keep fewer decimals than ratios do.
 LARGE_PLACES = 2
 LARGE = ("daily_sales_forecast", "holiday_forecast", "discount_sensitivity")
+# A root of summed squares of amounts in the millions.
+COLUMN_PLACES = {"std_net": 4}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +49,7 @@ def comparable(df: DataFrame, places: int = RATIO_PLACES) -> DataFrame:
         if isinstance(field.dataType, T.DecimalType):
             value = value.cast("double")
         elif isinstance(field.dataType, T.DoubleType):
-            value = F.round(value, places)
+            value = F.round(value, COLUMN_PLACES.get(field.name, places))
         return value.alias(field.name)
 
     return df.select(*[output(f) for f in df.schema.fields])
