@@ -397,7 +397,7 @@ ORACLE: dict[str, str] = {
         _rfm("sales"),
     ),
     "rca_profit_trigger": _q(
-        """SELECT day, net_amount, CAST(n AS INTEGER) AS history_days, round(m, 6) AS mean_net, round(s, 4) AS std_net,
+        """SELECT day, net_amount, CAST(n AS INTEGER) AS history_days, round(m, 6) AS mean_net, round(s, 5) AS std_net,
         round(drop_pct, 6) AS drop_pct,
         coalesce(drop_pct > 0.35 OR net_amount < m - 2 * s, false) AS is_anomaly FROM trig""",
         _TRIGGER,

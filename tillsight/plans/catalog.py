@@ -36,7 +36,7 @@ RATIO_PLACES = 6
 LARGE_PLACES = 2
 LARGE = ("daily_sales_forecast", "holiday_forecast", "discount_sensitivity")
 # A root of summed squares of amounts in the millions.
-COLUMN_PLACES = {"std_net": 4}
+COLUMN_PLACES = {"std_net": 5}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
