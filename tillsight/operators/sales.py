@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import segments
+from ..functions.counts import distinct
 
 MAX_DISCOUNT_RATE = 50
 # Month labels.
@@ -40,12 +41,15 @@ def margin_pct() -> Column:
     return F.try_divide(net - F.col("quantity") * F.col("cost_jod").cast("double"), net) * 100
 
 
-def overview_kpis(sales: DataFrame, products: DataFrame) -> DataFrame:
-    """Net revenue, unweighted mean line margin and number of invoices."""
+def overview_kpis(sales: DataFrame, products: DataFrame, rsd: float | None = None) -> DataFrame:
+    """Net revenue, unweighted mean line margin and number of invoices.
+
+    With ``rsd`` the invoices are counted by a sketch of that error.
+    """
     return sales.join(products.select("product_id", "cost_jod"), "product_id", "left").agg(
         F.coalesce(F.sum("net_amount"), F.lit(0)).alias("total_revenue"),
         F.avg(margin_pct()).alias("avg_margin_pct"),
-        F.count_distinct("transaction_id").alias("transactions"),
+        distinct("transaction_id", rsd).alias("transactions"),
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.counts import distinct
 from ..functions.recency import days_before_latest, sold_since
 from ..functions.scalars import attach
 
@@ -36,11 +37,13 @@ def baseline_metrics(
     as_of: Column | None = None,
     days: int = BASELINE_DAYS,
     by: Sequence[str] = (),
+    rsd: float | None = None,
 ) -> DataFrame:
     """Totals and line means of the last ``days`` days before ``as_of``.
 
     ``as_of`` defaults to the latest sale.  With ``by`` there is a row per
-    group, else exactly one row.
+    group, else exactly one row.  With ``rsd`` invoices and customers are
+    counted by sketches of that error.
     """
     if as_of is None:
         start = days_before_latest(sales, days)
@@ -56,9 +59,9 @@ def baseline_metrics(
         price.alias("avg_price"),
         cost.alias("avg_cost"),
         _line_mean(margin).alias("avg_margin"),
-        F.count_distinct("transaction_id").alias("total_transactions"),
+        distinct("transaction_id", rsd).alias("total_transactions"),
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("total_units"),
-        F.count_distinct("customer_id").alias("total_customers"),
+        distinct("customer_id", rsd).alias("total_customers"),
     )
     share = F.when(F.col("avg_price") > 0, F.col("avg_margin") / F.col("avg_price")).otherwise(0.0)
     return metrics.withColumn("margin_pct", share)
