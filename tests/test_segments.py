@@ -34,6 +34,10 @@ def test_seasons(spark, first, name):
     assert values(spark, segments.season(F.col("t")), rows, "t timestamp_ntz") == [name] * 3
 
 
+def test_missing_time_counts_as_the_last_season(spark):
+    assert values(spark, segments.season(F.col("t")), [(None,)], "t timestamp_ntz") == ["Fall"]
+
+
 def test_trading_bands(spark):
     rows = [(dt.datetime(2024, 1, 1, h, 59),) for h in (10, 11, 19, 20, 22, 23)]
     found = values(spark, segments.trading_band(F.col("t")), rows, "t timestamp_ntz")

@@ -47,8 +47,17 @@ def price_tier(price: Column) -> Column:
 
 
 def season(ts: Column) -> Column:
-    """Calendar quarter under its season name, January to March being winter."""
-    return F.element_at(F.array(*map(F.lit, SEASONS)), F.quarter(ts))
+    """Calendar quarter under its season name, January to March being winter.
+
+    A missing time falls through to the last season.
+    """
+    quarter = F.quarter(ts)
+    return (
+        F.when(quarter == 1, SEASONS[0])
+        .when(quarter == 2, SEASONS[1])
+        .when(quarter == 3, SEASONS[2])
+        .otherwise(SEASONS[3])
+    )
 
 
 def trading_band(ts: Column) -> Column:

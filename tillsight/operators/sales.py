@@ -26,7 +26,7 @@ def sales_enriched(
     return lines.withColumns(
         {
             "date": F.to_date("timestamp"),
-            "month": F.element_at(F.array(*map(F.lit, MONTHS)), F.month("timestamp")),
+            "month": F.get(F.array(*map(F.lit, MONTHS)), F.month("timestamp") - 1),
             "month_num": F.month("timestamp"),
             "total_cost": total_cost,
             "gross_profit": gross_profit,
