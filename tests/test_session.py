@@ -1,0 +1,28 @@
+from __future__ import annotations
+
+from types import SimpleNamespace
+
+import pytest
+
+from tillsight.session import new_shared_path, shared_folder
+
+
+def session(master: str, folder: str | None = None):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: folder or default),
+        sparkContext=SimpleNamespace(master=master),
+    )
+
+
+def test_named_folder_is_used():
+    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert new_shared_path(session("yarn", "hdfs:///shared/"), "rollup").startswith("hdfs:///shared/rollup-")
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"))
+
+
+def test_local_master_falls_back_to_one_folder():
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
