@@ -258,3 +258,23 @@ def test_baseline_and_scenarios_by_branch(spark, frame, at):
     scenarios = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 0.0, 0.0)], "scenario_id bigint, branch_id int, p double, d double, i double, w double, r double")
     found = whatif.scenario_impact(scenarios, by_branch, on="branch_id").collect()
     assert [(r.branch_id, r.revenue) for r in found] == [(1, 60.0)]
+
+
+# --- session zone ----------------------------------------------------------
+
+
+def test_wall_clock_times_ignore_the_session_zone(spark, frame, at):
+    """In this zone the clock skips from midnight to one o'clock that day."""
+    day = "2022-02-25T"
+    fact = lines(frame, [{"timestamp": at(day + t), "gross_amount": 10, "quantity": q, "net_amount": 1}
+                         for t, q in (("00:00", 1), ("00:30", 10), ("01:00", 100), ("01:30", 1000))])
+    calendar = segmentation.holiday_calendar(spark, [("Event", [("2022-02-20", "2022-02-25")])])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Amman")
+    try:
+        found = {r.event: r.quantity for r in segmentation.holiday_performance(fact, calendar).collect()}
+        reached = sales.daily_target_attainment(fact, 15).first().first_reached
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == {"Event": 1, "Regular Days": 1110}
+    assert reached == at(day + "00:30")

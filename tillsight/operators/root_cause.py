@@ -59,7 +59,8 @@ def _section_names(products: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def daily_net(rollup: DataFrame) -> DataFrame:
-    return rollup.groupBy("day").agg(F.sum("net_amount").cast("double").alias("net_amount"))
+    total = F.coalesce(F.sum("net_amount"), F.lit(0))
+    return rollup.groupBy("day").agg(total.cast("double").alias("net_amount"))
 
 
 def branch_days(rollup: DataFrame) -> DataFrame:

@@ -90,18 +90,18 @@ def daily_target_attainment(sales: DataFrame, target: float) -> DataFrame:
     most 86,400 seconds, so no window group grows with the data, whatever
     share of all rows falls on one day.
     """
+    clock = F.col("timestamp")
+    second_of_day = F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock)
     stamps = (
-        sales.filter(F.col("timestamp").isNotNull())
+        sales.filter(clock.isNotNull())
         .groupBy("timestamp")
         .agg(F.coalesce(F.sum("gross_amount"), F.lit(0)).alias("amount"))
-        .withColumn("second", F.date_trunc("second", "timestamp"))
+        .withColumns({"day": F.to_date(clock), "second": second_of_day})
     )
-    so_far = W.partitionBy("second").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
+    so_far = W.partitionBy("day", "second").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
     within = stamps.withColumn("within", F.sum("amount").over(so_far))
-    seconds = (
-        within.groupBy("second")
-        .agg(F.sum("amount").alias("amount"), F.max("within").alias("peak"))
-        .withColumn("day", F.to_date("second"))
+    seconds = within.groupBy("day", "second").agg(
+        F.sum("amount").alias("amount"), F.max("within").alias("peak")
     )
     earlier = W.partitionBy("day").orderBy("second").rowsBetween(W.unboundedPreceding, -1)
     reached = F.col("before") + F.col("peak") >= target
@@ -114,13 +114,11 @@ def daily_target_attainment(sales: DataFrame, target: float) -> DataFrame:
         )
     )
     # The one second per day in which the target was crossed.
-    crossing = days.filter(F.col("first").isNotNull()).select(
-        F.col("first.second").alias("second"), F.col("first.before").alias("before")
-    )
+    crossing = days.filter(F.col("first").isNotNull()).select("day", "first.second", "first.before")
     moments = (
-        within.join(crossing, "second")
+        within.join(crossing, ["day", "second"])
         .filter(F.col("before") + F.col("within") >= target)
-        .groupBy(F.to_date("second").alias("day"))
+        .groupBy("day")
         .agg(F.min("timestamp").alias("first_reached"))
     )
     return days.join(moments, "day", "left").select(

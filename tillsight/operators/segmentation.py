@@ -142,7 +142,7 @@ def holiday_performance(sales: DataFrame, calendar: DataFrame) -> DataFrame:
         sales.filter(F.col("timestamp").isNotNull())
         .groupBy(
             F.to_date("timestamp").alias("day"),
-            (F.date_trunc("day", "timestamp") == F.col("timestamp")).alias("at_midnight"),
+            (F.to_date("timestamp").cast("timestamp_ntz") == F.col("timestamp")).alias("at_midnight"),
         )
         .agg(F.sum("quantity").alias("quantity"), F.sum("net_amount").alias("net_amount"))
     )
