@@ -1,28 +1,28 @@
 from __future__ import annotations
 
+import os
 from types import SimpleNamespace
 
-import pytest
+from tillsight.session import drop_path, new_shared_path, shared_folder, stage
 
-from tillsight.session import new_shared_path, shared_folder
 
-
-def session(master: str, folder: str | None = None):
-    return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default=None: folder or default),
-        sparkContext=SimpleNamespace(master=master),
-    )
+def session(**conf: str):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.replace(".", "_"), default)))
 
 
 def test_named_folder_is_used():
-    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
-    assert new_shared_path(session("yarn", "hdfs:///shared/"), "rollup").startswith("hdfs:///shared/rollup-")
+    named = session(spark_checkpoint_dir="hdfs:///shared/", spark_sql_warehouse_dir="hdfs:///warehouse")
+    assert shared_folder(named) == "hdfs:///shared/"
+    assert new_shared_path(named, "rollup").startswith("hdfs:///shared/rollup-")
 
 
-def test_cluster_without_a_shared_folder_is_refused():
-    with pytest.raises(ValueError):
-        shared_folder(session("yarn"))
+def test_the_warehouse_stands_in_for_an_unset_folder():
+    assert shared_folder(session(spark_sql_warehouse_dir="hdfs:///warehouse")) == "hdfs:///warehouse"
 
 
-def test_local_master_falls_back_to_one_folder():
-    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+def test_a_staged_table_can_be_dropped(spark):
+    again = stage(spark.range(3), "sample")
+    file = again.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(file)
+    drop_path(spark, os.path.dirname(file))
+    assert not os.path.exists(os.path.dirname(file))
