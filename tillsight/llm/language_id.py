@@ -26,9 +26,10 @@ TRAIN_DOCS = 1500
 # One sampled document in so many sets the scale of the scores and the limits.
 CALIBRATE_EVERY = 5
 # A text is rejected if its cross-entropy is so many standard deviations above
-# the mean of its language, and past the middle between that mean and the
+# the mean of its language, and most of the way from that mean to the
 # entropy of letters drawn evenly, where no language is left to see.
 REJECT_AT = 6.0
+REJECT_FROM = 0.75
 # Characters that are looked up at a time.
 PIECE = 1 << 20
 SPACE = 32
@@ -203,7 +204,7 @@ class LanguageModel:
             return True
         mean, spread, per_char = self.limits[language]
         usual = mean + REJECT_AT * math.sqrt(spread**2 + per_char**2 / count)
-        return bool(entropy <= max(usual, (mean + self.even[language]) / 2))
+        return bool(entropy <= max(usual, mean + REJECT_FROM * (self.even[language] - mean)))
 
 
 def _discount(counts: np.ndarray) -> float:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, language_id, url_filter, vector_search
+from . import chat, language_id, toxicity, url_filter, vector_search
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(parts))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.remainder(F.col("doc_id"), 4) == 2
@@ -53,6 +61,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op5_chat_format": op5_chat_format,
+    "op7_toxicity": op7_toxicity,
     "op9_language_id": op9_language_id,
     "op10_vector_search": op10_vector_search,
 }
