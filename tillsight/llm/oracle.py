@@ -100,7 +100,30 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 5"""
 
 
+_NGRAM_JOIN = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s
+  FROM words),
+tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS overlap
+  FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * overlap >= 90 * (total - overlap)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+smallest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id,
+  (SELECT count(*) FROM links l WHERE l.a = s.doc_id)::BIGINT AS n_links
+FROM sets s JOIN smallest m ON m.a = s.doc_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_ngram_join": _NGRAM_JOIN.replace("\\\\", "\\"),
     "op2_url_filter": _url_filter(),
     "op5_chat_format": _chat_format(),
     "op10_vector_search": _VECTOR_SEARCH,
