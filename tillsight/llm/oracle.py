@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import INJECTED, URL_RULES
+from .mixing import NONE, PLACES, SWEEPS
+from .queries import INJECTED, MIX, URL_RULES
 from .url_filter import DAMPING, ITERATIONS, THRESHOLD
 
 
@@ -122,9 +123,53 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id,
 FROM sets s JOIN smallest m ON m.a = s.doc_id"""
 
 
+def _mixing() -> str:
+    weights = " ".join(f"WHEN '{lang}' THEN {weight}" for lang, weight in MIX.weights["lang"].items())
+    raw = {
+        "source": f"pow(of_source, {MIX.flatten['source']})",
+        "lang": f"CASE lang {weights} ELSE 0 END",
+        "topic": f"pow(of_topic, {MIX.flatten['topic']})",
+    }
+    steps, last = [], "c0"
+    for sweep in range(SWEEPS):
+        for dimension in raw:
+            name = f"c{sweep + 1}_{dimension}"
+            steps.append(
+                f"""{name} AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN drawn > 0 THEN least(1.0, p * w_{dimension} / drawn) ELSE p END AS p) FROM (
+    SELECT * EXCLUDE (drawn), sum(p * tokens) OVER (PARTITION BY {dimension}) AS drawn FROM {last}))"""
+            )
+            last = name
+    scaled = ", ".join(
+        f"{MIX.rate} * (SELECT sum(tokens) FROM cells) * w_{d} / sum(CASE WHEN of_{d} > 0 THEN w_{d} * tokens / of_{d} END) OVER () AS w_{d}"
+        for d in raw
+    )
+    return f"""WITH placed AS MATERIALIZED (
+  SELECT doc_id, source, lang, coalesce(source, '{NONE}') AS m_source, coalesce(lang, '{NONE}') AS m_lang,
+    CASE WHEN contains(text, 'Licensed under') THEN 'licensed' WHEN contains(text, ' | ') THEN 'table'
+      WHEN regexp_matches(text, '[!#$%&*][!#$%&*]') THEN 'marked' ELSE 'prose' END AS m_topic,
+    coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS n
+  FROM documents),
+cells AS MATERIALIZED (
+  SELECT m_source AS source, m_lang AS lang, m_topic AS topic, sum(n)::DOUBLE AS tokens FROM placed GROUP BY ALL),
+totals AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source) AS of_source, sum(tokens) OVER (PARTITION BY lang) AS of_lang,
+    sum(tokens) OVER (PARTITION BY topic) AS of_topic FROM cells),
+weighted AS (SELECT *, {", ".join(f"{e} AS w_{d}" for d, e in raw.items())} FROM totals),
+c0 AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, {MIX.rate}::DOUBLE AS p, 0::DOUBLE AS drawn, {scaled} FROM weighted),
+{",".join(steps)},
+fitted AS (SELECT source, lang, topic, round(p, {PLACES}) AS p FROM {last})
+SELECT d.doc_id, d.source, d.lang, d.m_topic AS mix_topic, d.n AS mix_tokens, f.p AS mix_probability,
+  round(1 / f.p, 6) AS mix_weight
+FROM placed d JOIN fitted f ON f.source = d.m_source AND f.lang = d.m_lang AND f.topic = d.m_topic
+WHERE ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0 < f.p"""
+
+
 ORACLE: dict[str, str] = {
     "op1_ngram_join": _NGRAM_JOIN.replace("\\\\", "\\"),
     "op2_url_filter": _url_filter(),
     "op5_chat_format": _chat_format(),
+    "op6_mixing": _mixing(),
     "op10_vector_search": _VECTOR_SEARCH,
 }

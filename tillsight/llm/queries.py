@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, language_id, ngram_join, toxicity, url_filter, vector_search
+from . import chat, decontamination, language_id, mixing, ngram_join, toxicity, url_filter, vector_search
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -42,6 +46,29 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(parts))
 
 
+def topic_of(text: Column) -> Column:
+    """What kind of text it is, by its form."""
+    return (
+        F.when(text.contains("Licensed under"), "licensed")
+        .when(text.contains(" | "), "table")
+        .when(text.rlike("[!#$%&*]{2}"), "marked")
+        .otherwise("prose")
+    )
+
+
+MIX = mixing.Mix(
+    rate=0.5,
+    weights={"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}},
+    flatten={"source": 0.5, "topic": 0.8},
+)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = mixing.sample(docs, topic_of(F.col("text")), MIX)
+    return drawn.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_probability", "mix_weight")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = language_id.remainder(F.col("doc_id"), 5) == 0
@@ -65,7 +92,9 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_filter": op2_url_filter,
+    "op3_decontamination": op3_decontamination,
     "op5_chat_format": op5_chat_format,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_language_id": op9_language_id,
     "op10_vector_search": op10_vector_search,
