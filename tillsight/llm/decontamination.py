@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 SEED = 5
-COVERAGE = 0.8
+COVERAGE = 0.6
 # Characters of test items that are sent to the executors at a time.
 BLOCK_CHARS = 8_000_000
 WORD = re.compile(r"[^\W_]+")

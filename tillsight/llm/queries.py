@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, language_id, mixing, ngram_join, toxicity, url_filter, vector_search
+from . import chat, decontamination, language_id, mixing, ngram_join, quality, toxicity, url_filter, vector_search
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for low quality, 1 for good but toxic, 2 for good and clean texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.remainder(F.col("doc_id"), 5) == 0
+    graded = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    ratings = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", graded.alias("grade"))
+    found = quality.grade(docs, quality.fit(docs, ratings, grades=3))
+    return found.select("doc_id", held_out.alias("held_out"), "expected_grade", "p_at_least_1", "p_at_least_2", "selected")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -93,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,

@@ -9,7 +9,6 @@ two, so that the mere mention of a group carries no weight.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,12 +17,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .hashed_text import SparseRows, bucket, chosen_features, labelled_sample, sigmoid
+
 # Labelled rows of either class that are learned from, at most about so many.
 TRAIN_ROWS = 6000
-BUCKETS = 1 << 22
-MAX_FEATURES = 4000
-LEAST_ROWS = 3
-LEAST_EVIDENCE = 4.0
 PREFIXES = (4, 5, 6)
 LASSO = 2e-4
 RIDGE = 1e-4
@@ -51,7 +48,7 @@ OUTPUT = [T.StructField("score", T.DoubleType(), False), T.StructField("predicte
 def buckets_of(word: str) -> list[int]:
     """Buckets of a word and of its beginnings."""
     keys = [f"={word}"] + [f"^{word[:n]}" for n in PREFIXES if len(word) >= n]
-    return [zlib.crc32(key.encode("utf-8", "surrogatepass")) % BUCKETS for key in keys]
+    return [bucket(key) for key in keys]
 
 
 def words_of(text: str) -> set[str]:
@@ -59,7 +56,7 @@ def words_of(text: str) -> set[str]:
 
 
 def features(text: str) -> set[int]:
-    return {bucket for word in words_of(text) for bucket in buckets_of(word)}
+    return {b for word in words_of(text) for b in buckets_of(word)}
 
 
 def swaps(terms: Sequence[Sequence[str]]) -> dict[str, str]:
@@ -97,35 +94,12 @@ class ToxicityModel:
                 if held:
                     found.update(held)
             total = self.bias + sum(sorted(self.weights[b] for b in found))
-            return float(1.0 / (1.0 + np.exp(-np.clip(total, -500.0, 500.0))))
+            return float(sigmoid(total))
 
         return score
 
 
-class _Rows:
-    """Sparse 0/1/-1 rows."""
-
-    def __init__(self, rows: list[list[tuple[int, float]]], width: int) -> None:
-        self.row = np.array([i for i, r in enumerate(rows) for _ in r], np.int64)
-        self.column = np.array([c for r in rows for c, _ in r], np.int64)
-        self.value = np.array([v for r in rows for _, v in r], np.float64)
-        self.height, self.width = len(rows), width
-
-    def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.column], minlength=self.height)
-
-    def transposed(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * r[self.row], minlength=self.width)
-
-    def norm(self) -> float:
-        """A bound of the largest squared singular value."""
-        if not self.value.size:
-            return 0.0
-        size = np.abs(self.value)
-        return float(np.bincount(self.row, size).max() * np.bincount(self.column, size).max())
-
-
-def optimise(x: _Rows, y: np.ndarray, pairs: _Rows, counterfactual: float = COUNTERFACTUAL) -> tuple[float, np.ndarray]:
+def optimise(x: SparseRows, y: np.ndarray, pairs: SparseRows, counterfactual: float = COUNTERFACTUAL) -> tuple[float, np.ndarray]:
     """Accelerated proximal gradient steps; the bias isn't shrunk."""
     n, m = len(y), max(1, pairs.height)
     step = 1.0 / (0.25 * (x.norm() + n) / n + 2 * counterfactual * pairs.norm() / m + RIDGE)
@@ -136,7 +110,7 @@ def optimise(x: _Rows, y: np.ndarray, pairs: _Rows, counterfactual: float = COUN
 
     def smooth(b: float, v: np.ndarray) -> tuple[float, float, np.ndarray]:
         logits = b + x.times(v)
-        p = 1.0 / (1.0 + np.exp(-np.clip(logits, -500, 500)))
+        p = sigmoid(logits)
         gap = pairs.times(v)
         loss = np.logaddexp(0, logits).mean() - (y * logits).mean()
         loss += counterfactual * (gap @ gap) / m + RIDGE / 2 * (v @ v)
@@ -183,39 +157,13 @@ def fit(
     usable = labels.where(F.col(label_col).isin(0, 1)).select(
         F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("label")
     )
-    numbers = {row["label"]: row["count"] for row in usable.groupBy("label").count().collect()}
-    if len(numbers) < 2:
-        rate = (numbers.get(1, 0) + 0.5) / (sum(numbers.values()) + 1)
-        return ToxicityModel(float(np.log(rate / (1 - rate))), {})
-    most = {label: min(1.0, train_rows / n) for label, n in numbers.items()}
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    taken = usable.where(draw < F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
-    # The sample is bounded by train_rows, so it can be sent to every executor.
-    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    sample = texts.join(F.broadcast(taken), "key").select("label", "text").cache()
-
-    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in batches:
-            for label, text in zip(block["label"], block["text"], strict=True):
-                found = list(features(text))
-                yield pd.DataFrame({"label": label, "bucket": found})
-
-    counts = (
-        sample.mapInPandas(present, "label int, bucket int")
-        .groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
-        .where(F.col("n") >= LEAST_ROWS)
-    )
-    sizes = sample.groupBy("label").count().collect()
-    held = {row["label"]: row["count"] for row in sizes}
-    p = held.get(1, 0) / max(1, sum(held.values()))
-    if not 0 < p < 1:
+    sample = labelled_sample(docs, usable, key_col, text_col, train_rows).cache()
+    held = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
+    if len(held) < 2:
+        sample.unpersist()
         rate = (held.get(1, 0) + 0.5) / (sum(held.values()) + 1)
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
-    evidence = F.abs(F.col("hits") - p * F.col("n")) / F.sqrt(p * (1 - p) * F.col("n"))
-    best = counts.select("bucket", evidence.alias("z")).where(F.col("z") >= LEAST_EVIDENCE)
-    chosen = [row["bucket"] for row in best.orderBy(F.desc("z"), "bucket").limit(MAX_FEATURES).collect()]
-    place = {bucket: number for number, bucket in enumerate(sorted(chosen))}
+    place = chosen_features(sample, features)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in batches:
@@ -231,8 +179,8 @@ def fit(
     table = sample.mapInPandas(rows, "label int, has array<int>, instead array<int>").toPandas()
     sample.unpersist()
     alone = table["instead"].isna()
-    x = _Rows([[(c, 1.0) for c in has] for has in table["has"][alone]], len(place))
-    pairs = _Rows(
+    x = SparseRows([[(c, 1.0) for c in has] for has in table["has"][alone]], len(place))
+    pairs = SparseRows(
         [
             [(c, 1.0) for c in has] + [(c, -1.0) for c in instead]
             for has, instead in zip(table["has"][~alone], table["instead"][~alone], strict=True)
@@ -240,7 +188,7 @@ def fit(
         len(place),
     )
     bias, w = optimise(x, table["label"][alone].to_numpy(np.float64), pairs, counterfactual)
-    return ToxicityModel(bias, {bucket: float(w[number]) for bucket, number in place.items() if w[number]})
+    return ToxicityModel(bias, {b: float(w[number]) for b, number in place.items() if w[number]})
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
