@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, language_id, mixing, ngram_join, quality, toxicity, url_filter, vector_search
+from . import chat, decontamination, language_id, mixing, ngram_join, quality, secret_scan, toxicity, url_filter, vector_search
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.remainder(F.col("doc_id"), 4) == 2
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_vector_search": op10_vector_search,
 }
