@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import random
+
+from helpers import documents, rows
+
+from tillsight.llm import decontamination
+from tillsight.llm.decontamination import ItemTables, running, tile, tokens
+
+
+def bench(spark, texts):
+    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "item_id long, text string, coverage string")
+
+
+ITEM = " ".join(f"q{i}" for i in range(30))
+
+
+def test_whole_edited_and_reordered_passages_are_found(spark):
+    words = ITEM.split()
+    reordered = " ".join(words[20:] + ["and"] + words[:10] + ["so"] + words[10:20])
+    half = " ".join(words[:12])
+    texts = ["start " + ITEM.upper() + ", end.", "x " + reordered, half, "nothing of it", None, "", ITEM + " " + ITEM]
+    found = rows(decontamination.leaks(documents(spark, texts), bench(spark, [ITEM, None, "", "other item text"])), "doc_id", "item_id", "coverage")
+    assert found == [(0, 0, 1.0), (1, 0, 1.0), (6, 0, 1.0)]
+
+
+def test_short_items_have_to_occur_whole(spark):
+    found = rows(decontamination.leaks(documents(spark, ["a b c", "b a c", "A, b!"]), bench(spark, ["a b"])), "doc_id", "covered")
+    assert found == [(0, 2), (2, 2)]
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark):
+    draw = random.Random(2)
+    items = [" ".join(draw.choices([f"v{i}" for i in range(300)], k=25)) for _ in range(40)]
+    texts = [f"lead {items[i]} tail" for i in range(0, 40, 3)] + [" ".join(draw.choices(items[0].split(), k=60)) for _ in range(5)]
+    docs, items = documents(spark, texts), bench(spark, items)
+    whole = rows(decontamination.leaks(docs, items), "doc_id", "item_id", "covered", "tiles")
+    assert rows(decontamination.leaks(docs, items, block_chars=500), "doc_id", "item_id", "covered", "tiles") == whole
+    gone = {r[0] for r in whole}
+    kept = decontamination.decontaminate(docs, items, block_chars=500)
+    assert kept.columns == docs.columns
+    assert rows(kept, "doc_id") == sorted((i,) for i in range(len(texts)) if i not in gone)
+
+
+def test_empty_tables(spark):
+    assert decontamination.leaks(documents(spark, []), bench(spark, [ITEM])).collect() == []
+    assert decontamination.leaks(documents(spark, [ITEM]), bench(spark, [])).collect() == []
+    assert decontamination.decontaminate(documents(spark, [ITEM]), bench(spark, [])).count() == 1
+
+
+def plain_tiles(text, item, length):
+    """Greedy tiling that searches all places anew for every tile."""
+    marked_text, marked_item, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(text)):
+            for j in range(len(item)):
+                n = 0
+                while (
+                    i + n < len(text)
+                    and j + n < len(item)
+                    and text[i + n] == item[j + n]
+                    and i + n not in marked_text
+                    and j + n not in marked_item
+                ):
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < length:
+            return out
+        marked_text.update(range(i, i + n))
+        marked_item.update(range(j, j + n))
+        out.append((i, j, n))
+
+
+def test_tiles_match_a_plain_search():
+    draw = random.Random(4)
+    for _ in range(150):
+        letters = "abcd" if draw.random() < 0.5 else "abcdefghijkl"
+        text = tokens(" ".join(draw.choices(letters, k=draw.randrange(5, 40))))
+        item = tokens(" ".join(draw.choices(letters, k=draw.randrange(5, 15))))
+        own, its = running(text, 3).tolist(), running(item, 3).tolist()
+        seeds = [(i, j) for i, a in enumerate(own) for j, b in enumerate(its) if a == b]
+        found = tile(text, item, seeds, 3) if seeds else []
+        assert found == plain_tiles(text.tolist(), item.tolist(), 3)
+
+
+def test_a_long_text_of_one_word():
+    items = ItemTables.of([(1, "go " * 20)], 5)
+    assert [m[:2] for m in items.matches("go " * 5000, 0.6)] == [(1, 1.0)]

@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tillsight.llm import vector_search
+
+
+def vectors(spark, data):
+    return spark.createDataFrame(data, "vec_id long, embedding array<float>, score string")
+
+
+def plain(data, k):
+    held = {}
+    for vec, values, _ in data:
+        if vec is not None and values is not None and all(v is not None and math.isfinite(v) for v in values):
+            whole = tuple(math.floor(256 * float(np.float32(v))) for v in values)
+            held[vec] = min(held.get(vec, whole), whole)
+    out = []
+    for query in held:
+        if query % 5 == 0:
+            scored = [(-sum(a * b for a, b in zip(held[query], held[o], strict=False)), o) for o in held if o != query]
+            out += [(query, n + 1, o, -s) for n, (s, o) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("queries", "candidates", "pivots"), [(2048, 16384, 32), (7, 40, 3), (7, 300, 0)])
+def test_top_k_matches_all_pairs(spark, queries, candidates, pivots):
+    draw = np.random.default_rng(1)
+    data = [(i, [float(x) for x in v], "clash") for i, v in enumerate(draw.normal(size=(400, 6)))]
+    data += [(400 + i, [0.5] * 6, None) for i in range(60)] + [(500, None, ""), (505, [1.0, None], ""), (510, [float("nan")] * 6, "")]
+    data += [(515, [float("inf")], ""), (None, [1.0] * 6, ""), (520, [], ""), (525, [1.0, 2.0], ""), (0, [9.0] * 6, "")]
+    data += data[:3]
+    found = vector_search.top_k(
+        vectors(spark, data), F.col("vec_id") % 5 == 0, 5, query_block=queries, candidate_block=candidates, pivots=pivots
+    )
+    assert sorted(tuple(r) for r in found.collect()) == plain(data, 5)
+
+
+def test_fewer_rows_than_k_and_none(spark):
+    found = vector_search.top_k(vectors(spark, [(0, [1.0], ""), (1, [2.0], "")]), F.col("vec_id") == 0)
+    assert [tuple(r) for r in found.collect()] == [(0, 1, 1, 256 * 512)]
+    assert vector_search.top_k(vectors(spark, []), F.col("vec_id") == 0).collect() == []
+
+
+def test_large_components_stay_exact(spark):
+    big = float(2**26)
+    found = vector_search.top_k(vectors(spark, [(0, [big, 1.0], ""), (1, [1.0, 3.0], "")]), F.col("vec_id") == 0)
+    assert found.first()["score"] == 2**34 * 256 + 256 * 768
+
+
+def test_far_candidates_are_not_evaluated():
+    """Clusters far apart: the bounds leave out all but the query's own."""
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(20, 8)) * 4000
+    rows = np.concatenate([c + draw.normal(size=(400, 8)) * 5 for c in centres]).astype(np.int64)
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True) * 10000).astype(np.int64)
+    pivots = vector_search.choose_pivots(rows[::37], 24)
+    table = vector_search.distances(rows, pivots)
+    evaluated = 0
+    plain_inner = vector_search.inner
+
+    def counted(matrix, vector):
+        nonlocal evaluated
+        evaluated += len(matrix)
+        return plain_inner(matrix, vector)
+
+    vector_search.inner = counted
+    try:
+        ids = np.arange(len(rows))
+        query, best, score = vector_search.search_block(ids[:5], rows[:5], table[:5], ids, rows, table, 5)
+    finally:
+        vector_search.inner = plain_inner
+    assert evaluated < 5 * len(rows) * 0.2
+    for q in range(5):
+        scores = rows @ rows[q]
+        scores[q] = np.iinfo(np.int64).min
+        assert score[query == q].tolist() == sorted(scores, reverse=True)[:5]

@@ -91,7 +91,7 @@ def tile(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], lengt
 
 
 @dataclass
-class TestItems:
+class ItemTables:
     """Items and, for each length of seeds, the sorted hashes of their runs."""
 
     ids: list[int]
@@ -99,7 +99,7 @@ class TestItems:
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], seed: int) -> TestItems:
+    def of(cls, rows: list[tuple[int, str | None]], seed: int) -> ItemTables:
         held = [(i, t) for i, text in rows if i is not None and len(t := tokens(text))]
         ids, texts = [i for i, _ in held], [t for _, t in held]
         by_length: dict[int, list[int]] = defaultdict(list)
@@ -141,14 +141,14 @@ class TestItems:
                     yield self.ids[number], covered / len(item), covered, len(item), len(tiles)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, seed: int, block_chars: int) -> Iterator[TestItems]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, seed: int, block_chars: int) -> Iterator[ItemTables]:
     """The benchmark in blocks of about ``block_chars`` characters each."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // block_chars))
     for number in range(count):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == number)
-        yield TestItems.of([(row["item"], row["text"]) for row in mine.collect()], seed)
+        yield ItemTables.of([(row["item"], row["text"]) for row in mine.collect()], seed)
 
 
 def leaks(
@@ -174,7 +174,7 @@ def leaks(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
 
-    def against(items: TestItems) -> DataFrame:
+    def against(items: ItemTables) -> DataFrame:
         shared = context.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def decontaminate(
     context = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
 
-    def without(rest: DataFrame, items: TestItems) -> DataFrame:
+    def without(rest: DataFrame, items: ItemTables) -> DataFrame:
         shared = context.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
