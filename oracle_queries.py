@@ -245,12 +245,7 @@ burn AS (
   FROM inventory i LEFT JOIN sold s ON s.branch_id = i.branch_id AND s.product_id = i.product_id
   JOIN products p ON p.product_id = i.product_id
 ),
-risk AS (
-  SELECT * FROM (
-    SELECT *, total_qty / nullif(daily_burn, 0) AS days_left FROM burn
-    ORDER BY days_left NULLS LAST, branch_id, product_id LIMIT 12)
-  WHERE days_left IS NOT NULL
-)
+risk AS (SELECT *, total_qty / nullif(daily_burn, 0) AS days_left FROM burn)
 """
 
 _BASELINE = """
@@ -278,6 +273,19 @@ def _q(body: str, *ctes: str) -> str:
 _RFM_COLUMNS = """SELECT customer_id, recency, frequency, monetary, recency_score, frequency_score,
        monetary_score, rfm_score, segment FROM rfm"""
 
+_STOCKOUT_COLUMNS = """SELECT branch_id, product_id, product_name AS product_name_en, total_qty,
+        round(daily_burn, 6) AS daily_burn, round(days_left, 6) AS days_left,
+        CASE WHEN days_left < 7 THEN 'Critical' WHEN days_left < 14 THEN 'Warning' ELSE 'OK' END AS risk_level
+        FROM risk"""
+
+_VELOCITY = """, daily_qty AS (SELECT product_id, day, CAST(sum(quantity) AS DOUBLE) AS q FROM sales GROUP BY ALL),
+        judged AS (
+          SELECT d.product_id, d.day,
+                 (SELECT avg(q) FROM daily_qty w WHERE w.product_id = d.product_id AND w.day BETWEEN d.day - 6 AND d.day) AS week_mean,
+                 (SELECT avg(q) FROM daily_qty w WHERE w.product_id = d.product_id AND w.day BETWEEN d.day - 34 AND d.day - 7) AS base_mean,
+                 (SELECT stddev_pop(q) FROM daily_qty w WHERE w.product_id = d.product_id AND w.day BETWEEN d.day - 34 AND d.day - 7) AS base_std
+          FROM daily_qty d)"""
+
 ORACLE: dict[str, str] = {
     "sales_enriched": _q(
         """SELECT product_id, branch_id, transaction_id, ts AS timestamp, employee_id, customer_id, quantity,
@@ -365,11 +373,20 @@ ORACLE: dict[str, str] = {
     "holiday_performance": _q(
         "SELECT CAST(year AS INTEGER) AS year, event, quantity, net_amount FROM holidays", _HOLIDAYS
     ),
+    "stockout_days": _q(_STOCKOUT_COLUMNS, _STOCKOUT),
     "stockout_risk": _q(
-        """SELECT branch_id, product_id, product_name AS product_name_en, total_qty,
-        round(daily_burn, 6) AS daily_burn, round(days_left, 6) AS days_left,
-        CASE WHEN days_left < 7 THEN 'Critical' WHEN days_left < 14 THEN 'Warning' ELSE 'OK' END AS risk_level
-        FROM risk""",
+        _STOCKOUT_COLUMNS + " WHERE days_left IS NOT NULL ORDER BY risk.days_left, branch_id, product_id LIMIT 12",
+        _STOCKOUT,
+    ),
+    "replenishment_trigger": _q(
+        _VELOCITY
+        + """, alerts AS (SELECT product_id, day FROM judged WHERE week_mean > base_mean + 2 * base_std),
+        marked AS (
+          SELECT branch_id, product_id, days_left, coalesce(days_left < 7, false) AS runs_out,
+                 EXISTS (SELECT 1 FROM alerts a WHERE a.product_id = risk.product_id
+                         AND a.day = (SELECT max(day) FROM alerts)) AS sells_fast FROM risk)
+        SELECT branch_id, product_id, round(days_left, 6) AS days_left, runs_out, sells_fast
+        FROM marked WHERE runs_out OR sells_fast""",
         _STOCKOUT,
     ),
     "stockout_kpis": _q(
@@ -541,13 +558,8 @@ ORACLE: dict[str, str] = {
         round(CAST(sum(net) AS DOUBLE) / count(DISTINCT employee_id), 6) AS net_per_employee FROM purchases GROUP BY 1"""
     ),
     "velocity_alert": _q(
-        """, daily_qty AS (SELECT product_id, day, CAST(sum(quantity) AS DOUBLE) AS q FROM sales GROUP BY ALL),
-        judged AS (
-          SELECT d.product_id, d.day,
-                 (SELECT avg(q) FROM daily_qty w WHERE w.product_id = d.product_id AND w.day BETWEEN d.day - 6 AND d.day) AS week_mean,
-                 (SELECT avg(q) FROM daily_qty w WHERE w.product_id = d.product_id AND w.day BETWEEN d.day - 34 AND d.day - 7) AS base_mean,
-                 (SELECT stddev_pop(q) FROM daily_qty w WHERE w.product_id = d.product_id AND w.day BETWEEN d.day - 34 AND d.day - 7) AS base_std
-          FROM daily_qty d)
+        _VELOCITY
+        + """
         SELECT product_id, day, round(week_mean, 6) AS week_mean, round(base_mean, 6) AS base_mean,
                round(base_std, 6) AS base_std FROM judged WHERE week_mean > base_mean + 2 * base_std"""
     ),
@@ -564,10 +576,10 @@ ORACLE: dict[str, str] = {
         WITH texts AS (
           SELECT p_partkey AS product_id, CASE p_partkey % 4 WHEN 0 THEN 'JOD ' || printf('%.2f', p_retailprice)
                    WHEN 1 THEN printf('%.2f', p_retailprice) || ' JOD'
-                   WHEN 2 THEN 'JD 1,' || lpad(printf('%.2f', p_retailprice), 7, '0')
+                   WHEN 2 THEN 'JD 1,' || printf('%.2f', p_retailprice)
                    ELSE 'on request' END AS price_text FROM part)
-        SELECT *, CAST(TRY_CAST(regexp_replace(price_text, '[^0-9.]', '', 'g') AS DECIMAL(18,4)) AS DOUBLE) AS price
-        FROM texts""",
+        SELECT product_id, price_text, CAST(round(CASE p_partkey % 4 WHEN 2 THEN 1000 + price WHEN 3 THEN NULL ELSE price END, 2) AS DOUBLE) AS price
+        FROM texts JOIN (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part) ON p_partkey = product_id""",
     "rolling_metrics": _q(
         """, per_day AS (SELECT day, sum(net) AS net, sum(gross_profit) AS profit,
                                 count(DISTINCT transaction_id) AS transactions FROM enriched GROUP BY day)
@@ -588,7 +600,8 @@ ORACLE: dict[str, str] = {
     ),
     "low_margin_flag": _q(
         """SELECT transaction_id, product_id, branch_id, CAST(net AS DOUBLE) AS net_amount,
-        CAST(gross_profit AS DOUBLE) AS gross_profit, round(margin, 6) AS margin_pct FROM enriched WHERE margin < 5""",
+        CAST(gross_profit AS DOUBLE) AS gross_profit, round(margin, 6) AS margin_pct FROM enriched
+        WHERE CAST(gross_profit AS DOUBLE) < abs(CAST(net AS DOUBLE)) * 0.05""",
         _ENRICHED,
     ),
     "anomaly_scope": _q(

@@ -186,12 +186,23 @@ def test_stockout_skips_items_without_burn(frame, at):
     stock = frame("central_inventory", [{"branch_id": b, "product_id": p, "total_qty": 13, "floor_qty": 1}
                                         for b in (1, 2) for p in (1, 2, 3)])
     products = frame("dim_products", [{"product_id": 1, "product_name_en": "a"}, {"product_id": 2, "product_name_en": "b"}])
-    risk = inventory.stockout_risk(fact, stock, products)
+    items = inventory.stockout_days(fact, stock, products)
+    assert {(r.branch_id, r.product_id, r.days_left) for r in items.collect()} == {
+        (1, 1, 6.5), (2, 1, 26.0), (1, 2, None), (2, 2, None)
+    }
+    risk = inventory.stockout_risk(items)
     assert [(r.branch_id, r.product_id, r.days_left, r.risk_level) for r in risk.collect()] == [
         (1, 1, 6.5, "Critical"), (2, 1, 26.0, "OK")
     ]
-    kpis = inventory.stockout_kpis(risk).first()
+    assert inventory.stockout_risk(items, top=1).count() == 1
+    kpis = inventory.stockout_kpis(items).first()
     assert tuple(kpis) == (1, 1, 16.25)
+    alerts = fact.sparkSession.createDataFrame([(2, 3), (2, 5), (1, 3)], "product_id long, day int")
+    alerts = alerts.select("product_id", F.date_from_unix_date("day").alias("day"))
+    wanted = inventory.replenishment_trigger(items, alerts).collect()
+    assert sorted((r.branch_id, r.product_id, r.runs_out, r.sells_fast) for r in wanted) == [
+        (1, 1, True, False), (1, 2, False, True), (2, 2, False, True)
+    ]
     refill = monitoring.replenishment_list(fact, stock, F.lit(at("2024-01-01")))
     assert {(r.floor_now, r.backstock, r.refill) for r in refill.collect()} == {(0, 12, 8), (1, 12, 7)}
     quiet = monitoring.low_stock_zero_sales(fact, stock).collect()
@@ -199,9 +210,42 @@ def test_stockout_skips_items_without_burn(frame, at):
 
 
 def test_price_strings(spark):
-    rows = [("JOD 1,234.50",), ("12 JOD",), ("on request",), (None,), ("1.2.3",)]
-    found = monitoring.price_string_clean(spark.createDataFrame(rows, "price_text string")).collect()
-    assert [r.price for r in found] == [Decimal("1234.5"), Decimal("12"), None, None, None]
+    expected = {
+        "JOD 1,234.50": "1234.5",
+        "12 JOD": "12",
+        "on request": None,
+        None: None,
+        "1.2.3": None,
+        "2 pcs 12.50": "12.5",
+        "12.50 (was 20)": "12.5",
+        "-5.00": "-5",
+        "JD. 12.50": "12.5",
+        "12.50.": "12.5",
+        "1.234,50 JOD": None,
+        "10.00 - 20.00": None,
+        "1,23 JOD": None,
+    }
+    texts = spark.createDataFrame([(t,) for t in expected], "price_text string")
+    found = monitoring.price_string_clean(texts).collect()
+    assert {r.price_text: r.price for r in found} == {t: p and Decimal(p) for t, p in expected.items()}
+    comma = monitoring.price_string_clean(texts.filter("price_text like '1.234%'"), decimal_comma=True)
+    assert comma.first().price == Decimal("1234.5")
+
+
+def test_margin_of_giveaways_and_returns(frame):
+    fact = lines(frame, [
+        {"transaction_id": n, "product_id": 1, "quantity": q, "net_amount": net}
+        for n, q, net in ((1, 1, 0), (2, 1, 100), (3, 1, 10.2), (4, -1, -100), (5, 1, None))
+    ])
+    products = frame("dim_products", [{"product_id": 1, "cost_jod": 10}])
+    flagged = monitoring.low_margin_flag(fact, products).collect()
+    assert sorted(r.transaction_id for r in flagged) == [1, 3, 4]
+
+
+def test_chosen_discount_rates(frame):
+    fact = lines(frame, [{"gross_amount": 200, "discount_amount": 0, "net_amount": 200}])
+    found = sales.discount_sensitivity(fact, rates=[0.5, 2.5]).collect()
+    assert [(r.rate, r.simulated_net) for r in found] == [(0.5, 199.0), (2.5, 195.0)]
 
 
 # --- what-if ---------------------------------------------------------------

@@ -6,6 +6,8 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from oracle_queries import ORACLE
+from tillsight.plans.catalog import QUERIES
 from comparison import connect, difference
 
 SMALL = f"{TESTDATA}/sf0.001"
@@ -16,10 +18,10 @@ def second_engine():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, second_engine, name):
-    result = contract.queries()[name](spark, SMALL)
-    expected = second_engine.execute(contract.oracle_sql()[name])
+    result = QUERIES[name](spark, SMALL)
+    expected = second_engine.execute(ORACLE[name])
     columns = [d[0] for d in expected.description]
     found = difference(
         (result.columns, [tuple(r) for r in result.collect()]), (columns, expected.fetchall())
@@ -28,7 +30,12 @@ def test_query_equals_sql(spark, second_engine, name):
 
 
 def test_every_query_but_the_boosted_forecast_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"customer_growth_forecast"}
+    assert set(QUERIES) - set(ORACLE) == {"customer_growth_forecast"}
+
+
+def test_entry_points_hold_all_queries():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry_has_rows(spark):

@@ -44,6 +44,7 @@ def stars(spark, tmp_path_factory):
         "low_stock_zero_sales",
         "replenishment_list",
         "rca_profit_diagnosis",
+        "stockout_days",
     ],
 )
 def test_stored_star_gives_the_same(stars, name):

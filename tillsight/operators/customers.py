@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import segments
 from ..functions.quantiles import exact_quantiles, quartile_score
-from ..functions.recency import days_before_latest, sold_since
+from ..functions.recency import days_before_latest, sold_before, sold_since
 from ..functions.scalars import attach
 
 WINDOW_DAYS = 30
@@ -14,28 +16,38 @@ CHURN_DECAY = 0.05
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def recent_activity(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
+def recent_activity(
+    sales: DataFrame,
+    window_days: int = WINDOW_DAYS,
+    as_of: dt.datetime | None = None,
+    last_day: dt.date | None = None,
+) -> DataFrame:
     """Recency, frequency and monetary value per customer in the window.
 
-    The window ends at the latest sale of all; recency counts whole elapsed
-    days back from the latest sale of a known customer inside it.
+    The window ends at ``as_of``, by default at the latest sale of all (see
+    ``days_before_latest``); recency counts whole elapsed days back from the
+    latest sale of a known customer inside it.
     """
-    recent = sold_since(sales, days_before_latest(sales, window_days))
-    kept = recent.filter(F.col("customer_id").isNotNull())
-    reference = kept.agg(F.max("timestamp")).scalar()
-    return (
-        kept.groupBy("customer_id")
+    recent = sold_since(sales, days_before_latest(sales, window_days, as_of, last_day))
+    if as_of is not None:
+        recent = sold_before(recent, F.lit(as_of + dt.timedelta(microseconds=1)).cast("timestamp_ntz"))
+    folded = (
+        recent.filter(F.col("customer_id").isNotNull())
+        .groupBy("customer_id")
         .agg(
             F.max("timestamp").alias("last_sale"),
             F.count("*").alias("frequency"),
             F.coalesce(F.sum("net_amount"), F.lit(0)).alias("monetary"),
         )
-        .select(
-            "customer_id",
-            F.timestamp_diff("DAY", F.col("last_sale"), reference).alias("recency"),
-            "frequency",
-            "monetary",
-        )
+    )
+    # The whole struct, so that this reader needs the same columns as the other
+    # one and both share one shuffle of the sales.
+    reference = folded.agg(F.max(F.struct("last_sale", "frequency", "monetary"))["last_sale"]).scalar()
+    return folded.select(
+        "customer_id",
+        F.timestamp_diff("DAY", F.col("last_sale"), reference).alias("recency"),
+        "frequency",
+        "monetary",
     )
 
 

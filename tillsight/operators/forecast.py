@@ -36,16 +36,24 @@ def _line(y: Column, x: Column, at: Column) -> Column:
     return F.regr_avgy(y, x) + slope * (at - F.regr_avgx(y, x))
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def daily_sales_forecast(table: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:
     """Linear trend of daily sales, continued for the next days.
 
     ``table`` may be any frame with a date-like and a sales-like column.
-    Fewer than two days give no forecast.
+    Fewer than two days give no forecast; NaN and what is no number are skipped.
     """
     date_column, sales_column = resolve_forecast_columns(table.columns)
     daily = (
-        table.select(F.to_date(F.col(date_column)).alias("day"), F.col(sales_column).alias("sales"))
+        table.select(
+            F.to_date(quoted(date_column)).alias("day"), quoted(sales_column).try_cast("double").alias("sales")
+        )
         .filter(F.col("day").isNotNull())
+        .withColumn("sales", F.nanvl("sales", F.lit(None)))
         .groupBy("day")
         .agg(F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("sales"))
     )

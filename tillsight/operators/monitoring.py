@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.recency import days_before_latest, sold_since
+from .sales import margin_pct
 
 FLOOR_LIMIT = 4
 FLOOR_TARGET = 8
@@ -95,10 +96,23 @@ def replenishment_list(
     )
 
 
-def price_string_clean(catalog: DataFrame, column: str = "price_text") -> DataFrame:
-    """A numeric price from text such as "JOD 1,234.50"; NULL if there is none."""
-    digits = F.regexp_replace(F.col(column), r"[^0-9.]", "")
-    return catalog.withColumn("price", digits.try_cast("decimal(18,4)"))
+def price_string_clean(catalog: DataFrame, column: str = "price_text", decimal_comma: bool = False) -> DataFrame:
+    """The price in a text such as "JOD 1,234.50"; NULL if there is none.
+
+    Of several numbers the first with decimals counts, else the first.  A minus
+    sign belongs to the number that follows it.  ``decimal_comma`` reads
+    "1.234,50".  A range of two numbers is no price.
+    """
+    group, point = (r"\.", ",") if decimal_comma else (",", r"\.")
+    whole = rf"(?:[0-9]{{1,3}}(?:{group}[0-9]{{3}})+|[0-9]+)"
+    number = rf"(?<![0-9.,])-?{whole}(?:{point}[0-9]+)?(?![0-9]|[.,][0-9])"
+    text = F.col(column)
+    ranged = text.rlike(rf"[0-9]\s*(?:-|\u2013|to)\s*{whole}")
+    found = F.regexp_extract_all(text, F.lit(number), F.lit(0))
+    best = F.coalesce(F.get(F.filter(found, lambda n: n.rlike(rf"{point}[0-9]+$")), F.lit(0)), F.get(found, F.lit(0)))
+    plain = F.regexp_replace(best, group, "")
+    plain = F.regexp_replace(plain, ",", ".") if decimal_comma else plain
+    return catalog.withColumn("price", F.when(~ranged, plain.try_cast("decimal(18,4)")))
 
 
 def rolling_metrics(sales: DataFrame, products: DataFrame) -> DataFrame:
@@ -125,16 +139,32 @@ def rolling_metrics(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def low_stock_zero_sales(
-    sales: DataFrame, inventory: DataFrame, days: int = QUIET_DAYS, limit: int = FLOOR_LIMIT
+    sales: DataFrame, inventory: DataFrame, since: Column | None = None, limit: int = FLOOR_LIMIT
 ) -> DataFrame:
-    """Items low on the floor that nobody bought in the last days."""
-    recent = sold_since(sales, days_before_latest(sales, days))
+    """Items low on the floor that nobody bought since ``since``, by default in the last 30 days."""
+    recent = sold_since(sales, days_before_latest(sales, QUIET_DAYS) if since is None else since)
     sold = recent.select("branch_id", "product_id").distinct()
     return inventory.filter(F.col("floor_qty") < limit).join(
         sold, ["branch_id", "product_id"], "left_anti"
     )
 
 
-def low_margin_flag(enriched: DataFrame, limit_pct: float = MARGIN_LIMIT_PCT) -> DataFrame:
-    """Sale lines sold below the margin limit."""
-    return enriched.filter(F.col("margin_pct") < limit_pct)
+def low_margin_flag(sales: DataFrame, products: DataFrame, limit_pct: float = MARGIN_LIMIT_PCT) -> DataFrame:
+    """Sale lines whose profit is below the limit's share of their net amount.
+
+    A line given away at a cost is flagged and has no margin; of a return, a
+    line below zero, the loss is judged like any other.  Lines of unknown cost
+    or amount are not judged.
+    """
+    net = F.col("net_amount")
+    costed = sales.join(products.select("product_id", "cost_jod"), "product_id", "left")
+    profit = net - F.col("quantity") * F.col("cost_jod")
+    below = profit.cast("double") < F.abs(net).cast("double") * (limit_pct / 100)
+    return costed.filter(below).select(
+        "transaction_id",
+        "product_id",
+        "branch_id",
+        "net_amount",
+        profit.alias("gross_profit"),
+        margin_pct().alias("margin_pct"),
+    )

@@ -1,9 +1,9 @@
 """Profit drops and section drops, and what lies behind them.
 
 Every day of the history is judged in one job.  The operators read one
-rollup, ``staff_days``: sums per branch, section, day and employee.  It
-holds the distinct employees as rows, so both branch and section head
-counts come from it, and it is far smaller than the sale lines.
+rollup, ``section_days``: sums per branch, section and day.  Employees and
+invoices are counted apart from it, and only where a finding needs them: for
+the branches and days that are compared, and for the monitored sections.
 """
 
 from __future__ import annotations
@@ -34,15 +34,15 @@ PRODUCT_MIX = "Product Mix/Assortment Failure"
 MONITORED_SECTIONS = ("Women", "Men", "Kids")
 
 
-def staff_days(sales: DataFrame, products: DataFrame, sections: DataFrame) -> DataFrame:
-    """Net and discount per branch, section, day and employee; no line is lost.
+def section_days(sales: DataFrame, products: DataFrame, sections: DataFrame) -> DataFrame:
+    """Net and discount per branch, section and day; no line is lost.
 
     Section names are joined to the sums, not to the lines.
     """
     return (
         sales.filter(F.col("timestamp").isNotNull())
         .join(products.select("product_id", "section_id"), "product_id", "left")
-        .groupBy("branch_id", "section_id", F.to_date("timestamp").alias("day"), "employee_id")
+        .groupBy("branch_id", "section_id", F.to_date("timestamp").alias("day"))
         .agg(
             F.coalesce(F.sum("net_amount"), F.lit(0)).alias("net_amount"),
             F.coalesce(F.sum("discount_amount"), F.lit(0)).alias("discount_amount"),
@@ -67,7 +67,6 @@ def branch_days(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy("branch_id", "day").agg(
         F.sum("net_amount").alias("net_amount"),
         F.sum("discount_amount").alias("discount_amount"),
-        F.count_distinct("employee_id").alias("staff"),
     )
 
 
@@ -231,27 +230,18 @@ def floor_stock(section: DataFrame, floor: DataFrame) -> DataFrame:
     )
 
 
-def _branch_reference(branch: DataFrame, rollup: DataFrame) -> DataFrame:
+def discount_ratio(branch: DataFrame, rollup: DataFrame) -> DataFrame:
+    """Discounts over sales of the worst branch, on the day and its history."""
     per_branch = branch_days(rollup).withColumnRenamed("day", "ref_day")
-    return _with_reference_days(branch, "branch_id").join(
-        per_branch, ["branch_id", "ref_day"], "left"
-    )
-
-
-def _branch_conditions(branch: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Discount ratio and staffing of the worst branch, one row per day."""
-    on_day = F.col("ref_day") == F.col("day")
-    sums = _branch_reference(branch, rollup).groupBy("day").agg(
+    compared = _with_reference_days(branch, "branch_id").join(per_branch, ["branch_id", "ref_day"], "left")
+    sums = compared.groupBy("day").agg(
         F.max("branch_id").alias("branch_id"),
         F.coalesce(F.sum("discount_amount"), F.lit(0)).cast("double").alias("total_discount"),
         F.sum("net_amount").cast("double").alias("total_sales"),
-        F.coalesce(F.max(F.when(on_day, F.col("staff"))), F.lit(0)).alias("day_staff"),
-        F.coalesce(F.avg(F.when(~on_day, F.col("staff"))), F.lit(0.0)).alias("avg_staff"),
     )
     # Missing or zero sales divide by 1; negative sales give no ratio.
     divisor = F.coalesce(F.nullif(F.col("total_sales"), F.lit(0.0)), F.lit(1.0))
     ratio = F.when(divisor > 0, F.col("total_discount") / divisor).otherwise(0.0)
-    short = F.col("day_staff") < F.col("avg_staff")
     return sums.select(
         "day",
         "branch_id",
@@ -259,30 +249,44 @@ def _branch_conditions(branch: DataFrame, rollup: DataFrame) -> DataFrame:
         "total_sales",
         ratio.alias("discount_ratio"),
         (ratio > DISCOUNT_LIMIT).alias("discount_issue"),
-        "day_staff",
-        "avg_staff",
-        F.when(short, UNDERSTAFFED).otherwise(ADEQUATE).alias("staffing_status"),
     )
 
 
-def discount_ratio(branch: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Discounts over sales of the worst branch, on the day and its history."""
-    return _branch_conditions(branch, rollup).select(
-        "day", "branch_id", "total_discount", "total_sales", "discount_ratio", "discount_issue"
-    )
+def staffing(branch: DataFrame, sales: DataFrame) -> DataFrame:
+    """Employees with sales on the day against the mean of days with sales.
 
-
-def staffing(branch: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Employees with sales on the day against the mean of days with sales."""
-    return _branch_conditions(branch, rollup).select(
-        "day", "branch_id", "day_staff", "avg_staff", "staffing_status"
+    Only the branches and days that are compared keep their lines.
+    """
+    compared = _with_reference_days(branch, "branch_id")
+    lines = sales.filter(F.col("timestamp").isNotNull()).select(
+        "branch_id", F.to_date("timestamp").alias("ref_day"), "employee_id"
+    )
+    heads = (
+        lines.join(compared.select("branch_id", "ref_day").distinct(), ["branch_id", "ref_day"], "left_semi")
+        .groupBy("branch_id", "ref_day")
+        .agg(F.count_distinct("employee_id").alias("staff"))
+    )
+    on_day = F.col("ref_day") == F.col("day")
+    counts = compared.join(heads, ["branch_id", "ref_day"], "left").groupBy("day").agg(
+        F.max("branch_id").alias("branch_id"),
+        F.coalesce(F.max(F.when(on_day, F.col("staff"))), F.lit(0)).alias("day_staff"),
+        F.coalesce(F.avg(F.when(~on_day, F.col("staff"))), F.lit(0.0)).alias("avg_staff"),
+    )
+    short = F.col("day_staff") < F.col("avg_staff")
+    return counts.select(
+        "day",
+        "branch_id",
+        "day_staff",
+        "avg_staff",
+        F.when(short, UNDERSTAFFED).otherwise(ADEQUATE).alias("staffing_status"),
     )
 
 
-def profit_diagnosis(section: DataFrame, rollup: DataFrame, floor: DataFrame) -> DataFrame:
+def profit_diagnosis(section: DataFrame, rollup: DataFrame, sales: DataFrame, floor: DataFrame) -> DataFrame:
     """One alert per anomalous day with its primary reason."""
     stock = floor_stock(section, floor).select("day", "avg_floor", "stock_issue")
-    conditions = _branch_conditions(section, rollup).drop("branch_id")
+    discounts = discount_ratio(section, rollup).drop("branch_id")
+    heads = staffing(section, sales).drop("branch_id")
     reason = (
         F.when(F.col("stock_issue"), LOW_FLOOR)
         .when(F.col("discount_issue"), HIGH_DISCOUNT)
@@ -291,7 +295,8 @@ def profit_diagnosis(section: DataFrame, rollup: DataFrame, floor: DataFrame) ->
     )
     return (
         section.join(stock, "day")
-        .join(conditions, "day")
+        .join(discounts, "day")
+        .join(heads, "day")
         .select(
             "day",
             "branch_id",
@@ -314,10 +319,7 @@ def section_contribution(rollup: DataFrame, branches: DataFrame) -> DataFrame:
     per_section = (
         rollup.filter(F.col("section_name").isNotNull())
         .groupBy("branch_id", "section_name", "day")
-        .agg(
-            F.sum("net_amount").cast("double").alias("section_revenue"),
-            F.count_distinct("employee_id").alias("staff"),
-        )
+        .agg(F.sum("net_amount").cast("double").alias("section_revenue"))
         .join(branches, "branch_id")
     )
     branch_day = W.partitionBy("branch_id", "day")
@@ -343,20 +345,19 @@ def section_anomalies(
             {
                 "expected_contribution": expected.over(trend),
                 "deviation": F.coalesce(deviation.over(trend), F.lit(0.0)),
-                "avg_staff": F.avg("staff").over(trend),
             }
         )
         .filter(F.col("contribution") < F.col("expected_contribution") - F.col("deviation"))
     )
 
 
-def section_traffic(
+def section_visits(
     sales: DataFrame,
     products: DataFrame,
     sections: DataFrame,
     monitored: Sequence[str] = MONITORED_SECTIONS,
 ) -> DataFrame:
-    """Invoices per branch, section and day with the mean of the last 15 days."""
+    """Employees and invoices per branch, section and day, and their means of the last 15 days."""
     names = _section_names(products, sections).filter(F.col("section_name").isin(*monitored))
     trend = (
         W.partitionBy("branch_id", "section_name")
@@ -367,15 +368,21 @@ def section_traffic(
         sales.filter(F.col("timestamp").isNotNull())
         .join(names, "product_id")
         .groupBy("branch_id", "section_name", F.to_date("timestamp").alias("day"))
-        .agg(F.count_distinct("transaction_id").alias("traffic"))
-        .withColumn("avg_traffic", F.avg("traffic").over(trend))
+        .agg(
+            F.count_distinct("employee_id").alias("staff"),
+            F.count_distinct("transaction_id").alias("traffic"),
+        )
+        .withColumns({"avg_staff": F.avg("staff").over(trend), "avg_traffic": F.avg("traffic").over(trend)})
     )
 
 
-def section_diagnosis(anomalies: DataFrame, floor: DataFrame, traffic: DataFrame) -> DataFrame:
-    """One alert per flagged section with its bottleneck and the evidence."""
+def section_diagnosis(anomalies: DataFrame, floor: DataFrame, visits: DataFrame) -> DataFrame:
+    """One alert per flagged section with its bottleneck and the evidence.
+
+    Numbers in the evidence are rounded as decimal text, ties to the even digit.
+    """
     checked = anomalies.join(floor, ["branch_id", "section_name"], "left").join(
-        traffic, ["branch_id", "section_name", "day"], "left"
+        visits, ["branch_id", "section_name", "day"], "left"
     )
     low_stock = F.coalesce("avg_floor", F.lit(FLOOR_UNKNOWN)) < FLOOR_LIMIT
     few_staff = F.col("staff") < F.col("avg_staff")

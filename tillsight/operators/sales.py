@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import segments
@@ -64,14 +66,17 @@ def branch_revenue(sales: DataFrame, branches: DataFrame) -> DataFrame:
     )
 
 
-def discount_sensitivity(sales: DataFrame, max_rate: int = MAX_DISCOUNT_RATE) -> DataFrame:
-    """Net revenue at each whole discount rate, volume held constant."""
+def discount_sensitivity(
+    sales: DataFrame, max_rate: int = MAX_DISCOUNT_RATE, rates: Sequence[float] | None = None
+) -> DataFrame:
+    """Net revenue at each whole discount rate, or at the given ``rates``, volume held constant."""
+    steps = F.sequence(F.lit(0), F.lit(max_rate)) if rates is None else F.array(*[F.lit(float(r)) for r in rates])
     totals = sales.agg(
         F.coalesce(F.sum("gross_amount"), F.lit(0)).cast("double").alias("gross"),
         F.coalesce(F.sum("discount_amount"), F.lit(0)).cast("double").alias("discount"),
         F.coalesce(F.sum("net_amount"), F.lit(0)).cast("double").alias("actual_net"),
     )
-    curve = totals.withColumn("rate", F.explode(F.sequence(F.lit(0), F.lit(max_rate))))
+    curve = totals.withColumn("rate", F.explode(steps))
     simulated = F.col("gross") * (1 - F.col("rate") / 100)
     return curve.select(
         "rate",
@@ -100,34 +105,29 @@ def daily_target_attainment(sales: DataFrame, target: float) -> DataFrame:
     )
     so_far = W.partitionBy("day", "second").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
     within = stamps.withColumn("within", F.sum("amount").over(so_far))
+    # Each second keeps where its stamps stood; at most a million of them.
     seconds = within.groupBy("day", "second").agg(
-        F.sum("amount").alias("amount"), F.max("within").alias("peak")
+        F.sum("amount").alias("amount"),
+        F.max("within").alias("peak"),
+        F.collect_list(F.struct("timestamp", "within")).alias("stamps"),
     )
     earlier = W.partitionBy("day").orderBy("second").rowsBetween(W.unboundedPreceding, -1)
     reached = F.col("before") + F.col("peak") >= target
-    days = (
-        seconds.withColumn("before", F.coalesce(F.sum("amount").over(earlier), F.lit(0)))
+    before = F.coalesce(F.sum("amount").over(earlier), F.lit(0))
+    crossing = F.filter("stamps", lambda s: F.col("before") + s["within"] >= target)
+    return (
+        seconds.withColumn("before", before)
+        .select("day", "amount", F.when(reached, F.array_min(F.transform(crossing, lambda s: s["timestamp"]))).alias("moment"))
         .groupBy("day")
-        .agg(
-            F.sum("amount").alias("gross_amount"),
-            F.min(F.when(reached, F.struct("second", "before"))).alias("first"),
+        .agg(F.sum("amount").alias("gross_amount"), F.min("moment").alias("first_reached"))
+        .select(
+            "day",
+            "gross_amount",
+            F.lit(float(target)).alias("target"),
+            (F.col("gross_amount") >= target).alias("reached"),
+            "first_reached",
         )
     )
-    # The one second per day in which the target was crossed.
-    crossing = days.filter(F.col("first").isNotNull()).select("day", "first.second", "first.before")
-    moments = (
-        within.join(crossing, ["day", "second"])
-        .filter(F.col("before") + F.col("within") >= target)
-        .groupBy("day")
-        .agg(F.min("timestamp").alias("first_reached"))
-    )
-    return days.join(moments, "day", "left").select(
-        "day",
-        "gross_amount",
-        F.lit(float(target)).alias("target"),
-        (F.col("gross_amount") >= target).alias("reached"),
-        "first_reached",
-    )
 
 
 def trading_band_sales(sales: DataFrame) -> DataFrame:

@@ -36,16 +36,19 @@ def baseline_metrics(
     products: DataFrame,
     as_of: Column | None = None,
     days: int = BASELINE_DAYS,
+    start: Column | None = None,
     by: Sequence[str] = (),
     rsd: float | None = None,
 ) -> DataFrame:
     """Totals and line means of the last ``days`` days before ``as_of``.
 
-    ``as_of`` defaults to the latest sale.  With ``by`` there is a row per
+    ``as_of`` defaults to the latest sale; ``start`` gives the first time itself.  With ``by`` there is a row per
     group, else exactly one row.  With ``rsd`` invoices and customers are
     counted by sketches of that error.
     """
-    if as_of is None:
+    if start is not None:
+        pass
+    elif as_of is None:
         start = days_before_latest(sales, days)
     else:
         start = as_of - F.expr(f"INTERVAL {int(days)} DAYS")

@@ -9,14 +9,14 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.recency import days_before_latest
 from ..operators import customers, forecast, inventory, monitoring, sales, segmentation, whatif
 from ..operators import root_cause as rca
-from ..session import stage
 from ..sources.holidays import HOLIDAYS
 from ..sources.readers import Star
+from ..sources.schemas import SALE_DATE
 from .root_cause import RootCauseRun
 
 
@@ -32,6 +32,8 @@ class Settings:
     judged_days: tuple[dt.date, dt.date] | None = None
     daily_target: float = 70_000.0
     refill_days: int = 7
+    # The time that recent windows end at; by default that of the latest sale.
+    as_of: dt.datetime | None = None
 
 
 Analysis = Callable[[Star, Settings], DataFrame]
@@ -76,19 +78,36 @@ def _holiday_forecast(star: Star, settings: Settings) -> DataFrame:
     return forecast.holiday_forecast(_holidays(star, settings), settings.forecast_year)
 
 
-def activity(star: Star) -> DataFrame:
-    """The staged activity per customer, for scores, reports and churn alike."""
+def activity(star: Star, settings: Settings = Settings()) -> DataFrame:
+    """The activity per customer, for scores, reports and churn alike.
+
+    It is persisted when a report first asks for it; reports over the same
+    table share it.
+    """
     lines = star.dated_sales("customer_id", "timestamp", "net_amount")
-    return stage(customers.recent_activity(lines), "activity")
+    return customers.recent_activity(lines, as_of=settings.as_of, last_day=star.last_day()).persist()
+
+
+def _scores(star: Star, settings: Settings) -> DataFrame:
+    return customers.score_activity(activity(star, settings))
 
 
-def _scores(star: Star) -> DataFrame:
-    return customers.score_activity(activity(star))
+def _since(star: Star, settings: Settings, lines: DataFrame, days: int) -> Column:
+    return days_before_latest(lines, days, settings.as_of, star.last_day())
 
 
 def _stockout(star: Star) -> DataFrame:
-    lines = star.sales("branch_id", "product_id", "quantity", "timestamp")
-    return inventory.stockout_risk(lines, star.inventory, star.products)
+    """Of a fact stored by days, the number of days comes from the folders' values."""
+    lines = star.dated_sales("branch_id", "product_id", "quantity", "timestamp")
+    days = None
+    if SALE_DATE in lines.columns:
+        days = lines.agg(F.count_distinct(SALE_DATE)).scalar()
+    return inventory.stockout_days(lines, star.inventory, star.products, days)
+
+
+def _refill(star: Star) -> DataFrame:
+    alerts = monitoring.velocity_alert(star.sales("product_id", "timestamp", "quantity"))
+    return inventory.replenishment_trigger(_stockout(star), alerts)
 
 
 def _hotspots(star: Star, settings: Settings) -> DataFrame:
@@ -124,15 +143,16 @@ def _run(build: Callable[[RootCauseRun], DataFrame]) -> Analysis:
     )
 
 
-def baseline(star: Star, by: Sequence[str] = ()) -> DataFrame:
+def baseline(star: Star, settings: Settings = Settings(), by: Sequence[str] = ()) -> DataFrame:
     lines = star.dated_sales(
         "product_id", "timestamp", "net_amount", "quantity", "transaction_id", "customer_id", *by
     )
-    return whatif.baseline_metrics(lines, star.products, by=by)
+    start = _since(star, settings, lines, whatif.BASELINE_DAYS)
+    return whatif.baseline_metrics(lines, star.products, start=start, by=by)
 
 
-def scenario_impact(star: Star, scenarios: DataFrame) -> DataFrame:
-    return whatif.scenario_impact(scenarios, baseline(star))
+def scenario_impact(star: Star, scenarios: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    return whatif.scenario_impact(scenarios, baseline(star, settings))
 
 
 def _sensitivity(star: Star, settings: Settings) -> DataFrame:
@@ -154,7 +174,7 @@ def _velocity(star: Star, settings: Settings) -> DataFrame:
 
 def _replenishment(star: Star, settings: Settings) -> DataFrame:
     lines = star.dated_sales("branch_id", "product_id", "timestamp", "quantity")
-    snapshot = days_before_latest(lines, settings.refill_days)
+    snapshot = _since(star, settings, lines, settings.refill_days)
     return monitoring.replenishment_list(lines, star.inventory, snapshot)
 
 
@@ -165,13 +185,13 @@ def _rolling(star: Star, settings: Settings) -> DataFrame:
 
 def _quiet_stock(star: Star, settings: Settings) -> DataFrame:
     lines = star.dated_sales("branch_id", "product_id", "timestamp")
-    return monitoring.low_stock_zero_sales(lines, star.inventory)
+    since = _since(star, settings, lines, monitoring.QUIET_DAYS)
+    return monitoring.low_stock_zero_sales(lines, star.inventory, since)
 
 
 def _low_margin(star: Star, settings: Settings) -> DataFrame:
-    return monitoring.low_margin_flag(_enriched(star)).select(
-        "transaction_id", "product_id", "branch_id", "net_amount", "gross_profit", "margin_pct"
-    )
+    lines = star.sales("transaction_id", "product_id", "branch_id", "quantity", "net_amount")
+    return monitoring.low_margin_flag(lines, star.products)
 
 
 ANALYSES: dict[str, Analysis] = {
@@ -197,12 +217,14 @@ ANALYSES: dict[str, Analysis] = {
     "age_price_affinity": _affinity,
     "season_age_revenue": _season_age,
     "holiday_performance": _holidays,
-    "stockout_risk": lambda star, _: _stockout(star),
+    "stockout_days": lambda star, _: _stockout(star),
+    "stockout_risk": lambda star, _: inventory.stockout_risk(_stockout(star)),
+    "replenishment_trigger": lambda star, _: _refill(star),
     "stockout_kpis": lambda star, _: inventory.stockout_kpis(_stockout(star)),
-    "rfm_scores": lambda star, _: _scores(star),
-    "rfm_segment_summary": lambda star, _: customers.rfm_segment_summary(_scores(star)),
-    "rfm_segment_revenue": lambda star, _: customers.rfm_segment_revenue(_scores(star)),
-    "churn_by_segment": lambda star, _: customers.churn_of_activity(activity(star)),
+    "rfm_scores": _scores,
+    "rfm_segment_summary": lambda star, s: customers.rfm_segment_summary(_scores(star, s)),
+    "rfm_segment_revenue": lambda star, s: customers.rfm_segment_revenue(_scores(star, s)),
+    "churn_by_segment": lambda star, s: customers.churn_of_activity(activity(star, s)),
     "rca_profit_trigger": _trigger,
     "rca_worst_branch": _run(lambda run: run.worst_branch().drop("history")),
     "rca_worst_section": _run(
@@ -219,7 +241,7 @@ ANALYSES: dict[str, Analysis] = {
     "rca_discount_ratio": _run(RootCauseRun.discount_ratio),
     "rca_staffing": _run(RootCauseRun.staffing),
     "rca_profit_diagnosis": _run(RootCauseRun.profit_diagnosis),
-    "rca_section_contribution": _run(lambda run: run.section_contribution().drop("staff")),
+    "rca_section_contribution": _run(RootCauseRun.section_contribution),
     "rca_section_anomalies": _run(
         lambda run: run.section_anomalies().select(
             "branch_id",
@@ -232,7 +254,7 @@ ANALYSES: dict[str, Analysis] = {
         )
     ),
     "rca_section_diagnosis": _run(RootCauseRun.section_diagnosis),
-    "baseline_metrics": lambda star, _: baseline(star),
+    "baseline_metrics": baseline,
     "discount_sensitivity": _sensitivity,
     "daily_target_attainment": _attainment,
     "trading_band_sales": lambda star, _: sales.trading_band_sales(

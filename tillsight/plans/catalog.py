@@ -59,7 +59,7 @@ def _query(name: str, build: Callable = tpch.tpch_star) -> Query:
 
 
 def _scenario_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scenario_impact(tpch.tpch_star(spark, sf_dir), tpch.scenarios(spark, sf_dir))
+    found = scenario_impact(tpch.tpch_star(spark, sf_dir), tpch.scenarios(spark, sf_dir), SETTINGS)
     return comparable(found, LARGE_PLACES)
 
 

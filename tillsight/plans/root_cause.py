@@ -1,8 +1,8 @@
 """The root-cause run: one pass over the sale lines, then small frames.
 
-Most of the analyses need the same rollup several times.  It is staged in
-the shared folder once, so the sale lines are scanned and shuffled once
-and a lost executor costs no second scan.
+Most of the analyses need the same rollup several times.  It is persisted, so
+the sale lines are folded once, and nothing is read before an action asks for
+it.  ``close`` lets go of what a run keeps.
 """
 
 from __future__ import annotations
@@ -15,17 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.recency import sold_before, sold_since
 from ..operators import root_cause as rca
-from ..session import stage
 from ..sources.readers import Star
 
-_COLUMNS = ("branch_id", "product_id", "employee_id", "timestamp", "net_amount", "discount_amount")
+_COLUMNS = ("branch_id", "product_id", "timestamp", "net_amount", "discount_amount")
 
 
 class RootCauseRun:
-    """Analyses over one staged rollup of ``star``.
+    """Analyses over one persisted rollup of ``star``.
 
-    The findings per day are staged as well: they have a row per calendar
-    day at most, and every later step would compute them again.
+    The worst branches and sections are persisted as well: they have a row per
+    calendar day at most, and every later step would compute them again.
     """
 
     def __init__(
@@ -42,6 +41,7 @@ class RootCauseRun:
         self.star = star
         self.monitored = tuple(monitored)
         self.days = days
+        self._persisted: list[DataFrame] = []
 
     def _sales(self, *columns: str) -> DataFrame:
         sales = self.star.dated_sales(*columns)
@@ -54,32 +54,39 @@ class RootCauseRun:
     def _judged(self, found: DataFrame) -> DataFrame:
         return found if self.days is None else found.filter(F.col("day") >= F.lit(self.days[0]))
 
-    @cached_property
-    def _staff_days(self) -> DataFrame:
-        sales = self._sales(*_COLUMNS)
-        return rca.staff_days(sales, self.star.products, self.star.sections)
+    def _kept(self, df: DataFrame) -> DataFrame:
+        self._persisted.append(df.persist())
+        return self._persisted[-1]
+
+    def close(self) -> None:
+        """Frees the persisted frames; results not yet computed would read the sales again."""
+        while self._persisted:
+            self._persisted.pop().unpersist()
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return stage(self._staff_days, "staff-days")
+        return self._kept(rca.section_days(self._sales(*_COLUMNS), self.star.products, self.star.sections))
 
-    @cached_property
     def trigger(self) -> DataFrame:
-        found = rca.profit_trigger(rca.daily_net(self.rollup))
-        return stage(self._judged(found), "profit-trigger")
+        return self._judged(rca.profit_trigger(rca.daily_net(self.rollup)))
 
     def branch_drops(self) -> DataFrame:
-        return rca.branch_drops(self.trigger, self.rollup, self.star.branches)
+        return rca.branch_drops(self.trigger(), self.rollup, self.star.branches)
+
+    @cached_property
+    def _worst_branch(self) -> DataFrame:
+        trigger = self.trigger()
+        return self._kept(rca.worst_branch(trigger, rca.branch_drops(trigger, self.rollup, self.star.branches)))
 
     def worst_branch(self) -> DataFrame:
-        return rca.worst_branch(self.trigger, self.branch_drops())
+        return self._worst_branch
 
     @cached_property
-    def staged_branch(self) -> DataFrame:
-        return stage(self.worst_branch(), "worst-branch")
+    def _worst_section(self) -> DataFrame:
+        return self._kept(rca.worst_section(self._worst_branch, self.rollup))
 
     def worst_section(self) -> DataFrame:
-        return rca.worst_section(self.staged_branch, self.rollup)
+        return self._worst_section
 
     def section_floor(self) -> DataFrame:
         return rca.section_floor(self.star.inventory, self.star.products, self.star.sections)
@@ -88,28 +95,31 @@ class RootCauseRun:
         return rca.floor_stock(self.worst_section(), self.section_floor())
 
     def discount_ratio(self) -> DataFrame:
-        return rca.discount_ratio(self.staged_branch, self.rollup)
+        return rca.discount_ratio(self.worst_branch(), self.rollup)
+
+    def _staffed_sales(self) -> DataFrame:
+        return self._sales("branch_id", "timestamp", "employee_id")
 
     def staffing(self) -> DataFrame:
-        return rca.staffing(self.staged_branch, self.rollup)
+        return rca.staffing(self.worst_branch(), self._staffed_sales())
 
     def profit_diagnosis(self) -> DataFrame:
-        section = stage(self.worst_section(), "worst-section")
-        return rca.profit_diagnosis(section, self.rollup, self.section_floor())
+        return rca.profit_diagnosis(self.worst_section(), self.rollup, self._staffed_sales(), self.section_floor())
 
     def section_contribution(self) -> DataFrame:
-        """Reads the rollup once, so nothing is staged for it."""
-        return rca.section_contribution(self._staff_days, self.star.branches)
+        return rca.section_contribution(self.rollup, self.star.branches)
 
     def section_anomalies(self) -> DataFrame:
         return self._judged(rca.section_anomalies(self.section_contribution(), self.monitored))
 
     def section_diagnosis(self) -> DataFrame:
-        sales = self._sales("branch_id", "product_id", "timestamp", "transaction_id")
-        traffic = rca.section_traffic(
-            sales, self.star.products, self.star.sections, self.monitored
-        )
-        return rca.section_diagnosis(self.section_anomalies(), self.section_floor(), traffic)
+        sales = self._sales("branch_id", "product_id", "timestamp", "employee_id", "transaction_id")
+        visits = rca.section_visits(sales, self.star.products, self.star.sections, self.monitored)
+        return rca.section_diagnosis(self.section_anomalies(), self.section_floor(), visits)
 
     def anomaly_scope(self) -> DataFrame:
         return rca.anomaly_scope(self.branch_drops())
+
+    def report(self) -> dict[str, DataFrame]:
+        """Both tables of alerts, of days and of sections, over the same rollup."""
+        return {"profit_alerts": self.profit_diagnosis(), "section_alerts": self.section_diagnosis()}

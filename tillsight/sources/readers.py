@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .schemas import SALE_DATE, STAR
 
+# Columns that a source may lack.
+OPTIONAL = {
+    "discount_amount",
+    "customer_id",
+    "employee_id",
+    "cost_jod",
+    "price_jod",
+    "category",
+    "product_name_en",
+    "birth_date",
+    "join_date",
+}
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns in its types; absent ones become NULL.
+    """Select the schema's columns in its types.
 
-    Values that do not convert become NULL, as does NaN, which aggregates
-    would otherwise propagate.
+    Absent columns of ``OPTIONAL`` become NULL; an absent key, time or amount is
+    an error, as sums over it would silently be 0.  Values that do not convert
+    become NULL, as do NaN, which aggregates would otherwise propagate, and
+    fractions where whole numbers are asked for.
     """
+    named = {name.lower() for name in df.columns}
+    missing = [f.name for f in schema.fields if f.name.lower() not in named | OPTIONAL]
+    if missing:
+        raise ValueError(f"required columns are missing: {', '.join(missing)}")
     present = {name.lower(): field.dataType for name, field in zip(df.columns, df.schema.fields)}
     columns = []
     for field in schema.fields:
@@ -36,6 +56,9 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def _converted(value: Column, source: T.DataType, target: T.DataType) -> Column:
     if isinstance(source, (T.FloatType, T.DoubleType)):
         value = F.when(~F.isnan(value), value)
+    if isinstance(target, T.IntegralType) and isinstance(source, (T.FractionalType, T.StringType)):
+        number = value.try_cast("decimal(38,6)")
+        value = F.when(number == F.floor(number), number)
     return value.try_cast(target)
 
 
@@ -80,7 +103,7 @@ def read_jdbc_table(spark: SparkSession, table: str, options: Mapping[str, str])
 def read_forecast_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header; a missing path gives an empty frame."""
     try:
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return spark.read.csv(path, header=True, inferSchema=True, nullValue="NA", nanValue="NaN")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -106,7 +129,8 @@ class Star:
     """One star schema.  Tables are read on first use.
 
     ``sales(*columns)`` projects the fact table; ``read`` gives one of the
-    other tables by name; ``partitions`` are the fact's partition columns.
+    other tables by name; ``partitions`` are the fact's partition columns, and
+    ``last_day`` gives the latest day of a fact stored by days, else None.
     """
 
     def __init__(
@@ -114,14 +138,15 @@ class Star:
         sales: Callable[..., DataFrame],
         read: Callable[[str], DataFrame],
         partitions: Sequence[str] = (),
+        last_day: Callable[[], dt.date | None] = lambda: None,
     ):
         self.sales = sales
+        self.last_day = last_day
         self._read = read
         self._partitions = tuple(partitions)
 
     def dated_sales(self, *columns: str) -> DataFrame:
-        """The columns and the partition columns, which cost nothing to read
-        and let time windows skip whole folders."""
+        """The columns and the partition columns, by which time windows skip whole folders."""
         return self.sales(*columns, *(p for p in self._partitions if p not in columns))
 
     @cached_property
@@ -156,13 +181,29 @@ def parquet_star(spark: SparkSession, root: str) -> Star:
         return read_parquet_table(spark, f"{root}/{table}", table)
 
     fact = read("fact_sales")
-    return Star(fact.select, read, [c for c in fact.columns if c == SALE_DATE])
+    stored = [c for c in fact.columns if c == SALE_DATE]
+    return Star(fact.select, read, stored, partial(_last_folder, spark, f"{root}/fact_sales") if stored else lambda: None)
+
+
+def _last_folder(spark: SparkSession, path: str) -> dt.date | None:
+    """The latest day that has a folder, from their names alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    days = [name.removeprefix(f"{SALE_DATE}=") for name in names if name.startswith(f"{SALE_DATE}=")]
+    return max((dt.date.fromisoformat(day) for day in days if day[:1].isdigit()), default=None)
 
 
 def jdbc_star(spark: SparkSession, options: Callable[[str], Mapping[str, str]]) -> Star:
-    """A star in a database; ``options`` gives the scan options of a table."""
+    """A star in a database; ``options`` gives the scan options of a table.
+
+    The fact has to be split (see ``jdbc_options``), or all of it would come
+    through one connection.
+    """
 
     def read(table: str) -> DataFrame:
-        return read_jdbc_table(spark, table, options(table))
+        asked = options(table)
+        if table == "fact_sales" and "partitionColumn" not in asked:
+            raise ValueError("the scan of fact_sales needs a partition column")
+        return read_jdbc_table(spark, table, asked)
 
     return Star(lambda *columns: read("fact_sales").select(*columns), read)

@@ -197,7 +197,7 @@ def price_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("product_id"),
         F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("JOD "), price))
         .when(F.col("p_partkey") % 4 == 1, F.concat(price, F.lit(" JOD")))
-        .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("JD 1,"), F.lpad(price, 7, "0")))
+        .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("JD 1,"), price))
         .otherwise("on request")
         .alias("price_text"),
     )
