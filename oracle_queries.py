@@ -337,6 +337,10 @@ ORACLE: dict[str, str] = {
                           pow(1.15, 2003 - (SELECT max(join_year) FROM yearly))) AS BIGINT) AS projected_customers
         FROM yearly y"""
     ),
+    "monthly_new_customers": _q(
+        """SELECT age_segment AS segment, CAST(date_trunc('month', join_date) AS DATE) AS month, count(*) AS customers
+        FROM banded WHERE join_date IS NOT NULL GROUP BY ALL"""
+    ),
     "age_segment_quantity": _q(
         """SELECT age_segment, CAST(sum(quantity) AS BIGINT) AS quantity
         FROM sales JOIN banded USING (customer_id) GROUP BY 1"""

@@ -86,3 +86,35 @@ def test_days_do_not_depend_on_the_session_zone(feed, spark):
         assert run()[0] == {"2024-01-01": (3.0, False)}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_compaction_keeps_every_day_and_few_folders(feed, spark, tmp_path):
+    push, run = feed
+    table = str(tmp_path / "table")
+    for day in range(1, 6):
+        push([sale(f"2024-01-0{day}T09:00", 10 * day)])
+        before, _ = run()
+    daily_revenue.compact_daily_revenue(spark, table)
+    folders = [p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("batch=")]
+    assert len(folders) == 2
+    assert run()[0] == before
+    push([sale("2024-01-05T10:00", 1)])
+    after, _ = run()
+    assert after == before | {"2024-01-05": (51.0, False)}
+    daily_revenue.compact_daily_revenue(spark, table)
+    daily_revenue.compact_daily_revenue(spark, table)
+    assert run()[0] == after
+
+
+def test_a_fold_cut_short_is_finished(feed, spark, tmp_path):
+    push, run = feed
+    table = tmp_path / "table"
+    for day in (1, 2, 3):
+        push([sale(f"2024-01-0{day}T09:00", 10)])
+        before, _ = run()
+    last = sorted(int(p.name.split("=")[1]) for p in table.iterdir() if p.name.startswith("batch="))[-2]
+    folded = daily_revenue.read_daily_revenue(spark, str(table), upto=last)
+    folded.write.parquet(str(table / "_folding" / f"batch={last}"))
+    daily_revenue.compact_daily_revenue(spark, str(table))
+    assert not (table / "_folding").exists()
+    assert run()[0] == before

@@ -108,13 +108,9 @@ def holiday_forecast(performance: DataFrame, target_year: int) -> DataFrame:
     return actual.unionByName(forecast).orderBy("event_order", "year", "kind")
 
 
-def customer_growth_forecast(customers: DataFrame, ref_year: int) -> DataFrame:
-    """Next month's new customers per age band, beside those of the current month.
-
-    Spark counts per band and month.  Only that short series goes to Python,
-    one band per task.
-    """
-    monthly = (
+def monthly_new_customers(customers: DataFrame, ref_year: int) -> DataFrame:
+    """New customers per age band and month, the series that the growth forecast continues."""
+    return (
         customers.filter(F.col("join_date").isNotNull())
         .select(
             segments.age_band(F.col("birth_date"), ref_year).alias("segment"),
@@ -124,8 +120,20 @@ def customer_growth_forecast(customers: DataFrame, ref_year: int) -> DataFrame:
         .groupBy("segment", "month")
         .agg(F.count("*").alias("customers"))
     )
-    forecast = monthly.groupBy("segment").applyInPandas(
-        _segment_forecast, "segment string, actual long, forecast long"
+
+
+def customer_growth_forecast(customers: DataFrame, ref_year: int, current_month: int = CURRENT_MONTH) -> DataFrame:
+    """Next month's new customers per age band, beside those of the current month.
+
+    Spark counts per band and month.  Only that short series goes to Python,
+    one band per task.
+    """
+
+    def of_segment(months: pd.DataFrame) -> pd.DataFrame:
+        return _segment_forecast(months, current_month)
+
+    forecast = monthly_new_customers(customers, ref_year).groupBy("segment").applyInPandas(
+        of_segment, "segment string, actual long, forecast long"
     )
     floors = customers.sparkSession.createDataFrame(
         pa.Table.from_pylist([{"segment": name, "floor": floor} for name, floor in GROWTH_FLOORS])
@@ -138,11 +146,11 @@ def customer_growth_forecast(customers: DataFrame, ref_year: int) -> DataFrame:
     )
 
 
-def _segment_forecast(months: pd.DataFrame) -> pd.DataFrame:
+def _segment_forecast(months: pd.DataFrame, current_month: int) -> pd.DataFrame:
     months = months.sort_values("month")
     counts = months["customers"].to_numpy(dtype=float)
     value = boosted_next(counts) if len(counts) >= MIN_HISTORY_MONTHS else counts.mean()
-    current = pd.to_datetime(months["month"]).dt.month == CURRENT_MONTH
+    current = pd.to_datetime(months["month"]).dt.month == current_month
     return pd.DataFrame(
         {
             "segment": [months["segment"].iloc[0]],

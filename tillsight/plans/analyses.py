@@ -27,6 +27,7 @@ class Settings:
     ref_year: int = 2026
     projection_year: int = 2026
     forecast_year: int = 2026
+    current_month: int = forecast.CURRENT_MONTH
     holidays: Sequence[tuple[str, Sequence[tuple[str, str]]]] = HOLIDAYS
     monitored_sections: Sequence[str] = rca.MONITORED_SECTIONS
     judged_days: tuple[dt.date, dt.date] | None = None
@@ -202,8 +203,9 @@ ANALYSES: dict[str, Analysis] = {
     ),
     "daily_sales_forecast": lambda star, _: forecast.daily_sales_forecast(_daily_net(star)),
     "holiday_forecast": _holiday_forecast,
+    "monthly_new_customers": lambda star, s: forecast.monthly_new_customers(star.customers, s.ref_year),
     "customer_growth_forecast": lambda star, s: forecast.customer_growth_forecast(
-        star.customers, s.ref_year
+        star.customers, s.ref_year, s.current_month
     ),
     "customer_base_projection": lambda star, s: forecast.customer_base_projection(
         star.customers, s.projection_year
