@@ -90,3 +90,11 @@ def test_a_bound_never_hides_a_pair():
 def test_words_are_cut_at_ascii_space_only():
     assert len(shingles("a\u00a0b c\x0bd", 1)) == 3
     assert len(shingles("a b", 3)) == 1
+
+
+def test_the_filter_passes_what_was_put_in(spark):
+    held = ngram_join._filter_of(spark.range(0, 3000, 3).select("id"))
+    draws = np.array([r[0] for r in spark.sql("select xxhash64(id) from range(3000)").collect()])
+    passed = held.holds(draws)
+    assert passed[::3].all()
+    assert passed.mean() < 0.4

@@ -32,7 +32,9 @@ from .storage import Scratch
 
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
 # Tokens that a task holds of each side of a comparison.
-CHUNK_TOKENS = 400_000
+CHUNK_TOKENS = 150_000
+# Bits, and the parts of a hash that pick them, of the filter of candidates' ids.
+FILTER_BITS, FILTER_TURNS = 26, (0, 19, 38)
 GROUP_SETS = 24
 # Sets that a task remembers to sign equal ones only once.
 REMEMBERED = 500_000
@@ -127,38 +129,59 @@ def signatures(tokens: np.ndarray, threshold: Threshold) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _profiles(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
-    """doc_id, size and fingerprint of every document, and the signatures of sets new to the task."""
+def _fingerprint(tokens: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
+
+
+def _profiles(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, size and fingerprint of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in batches:
+            sets = [shingles(text, words) for text in block.column(1).to_pylist()]
+            sizes = pa.array([len(tokens) for tokens in sets], pa.int64())
+            prints = pa.array([_fingerprint(tokens) for tokens in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column(0), sizes, prints], ["doc_id", "n", "print"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, print binary")
+
+
+def _signed(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
+    """mark and node: the signatures of every set that is new to the task.
+
+    The sets are made anew rather than stored with the profiles, as signatures
+    take more room than the texts.  Equal sets sign once per task, so a text
+    that many documents share adds no more rows than there are tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for block in batches:
-            sizes, prints, signed = [], [], []
-            for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+            for text in block.column(0).to_pylist():
                 tokens = shingles(text, words)
-                sizes.append(len(tokens))
-                mark = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
-                prints.append(mark)
-                if mark is None or doc is None or mark in seen:
-                    signed.append(np.zeros(0, np.uint64))
+                mark = _fingerprint(tokens)
+                if mark is None or mark in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(mark)
-                signed.append(signatures(tokens, threshold))
-            offsets = np.cumsum([0] + [len(s) for s in signed]).astype(np.int32)
-            flat = np.concatenate(signed).view(np.int64) if signed else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(prints, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                ["doc_id", "n", "print", "signed"],
-            )
+                signed = signatures(tokens, threshold).view(np.int64)
+                node = np.full(len(signed), xxhash.xxh3_64_intdigest(mark), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(node)], ["mark", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, signed array<long>")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "mark long, node long")
+
+
+def _numbered(prints: DataFrame) -> DataFrame:
+    """The sets with the number that stands for them while candidates are looked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in batches:
+            number = [xxhash.xxh3_64_intdigest(mark) for mark in block.column(0).to_pylist()]
+            made = pa.array(np.array(number, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*block.columns, made], [*block.schema.names, "number"])
+
+    return prints.mapInArrow(run, "print binary, node long, copies long, n long, number long")
 
 
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,6 +203,34 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": node[differ], "b": leader[differ]}).drop_duplicates()
 
 
+@dataclass
+class IdFilter:
+    """A Bloom filter over hashes of ids: passes all that were put in, and few others."""
+
+    words: np.ndarray
+    shift: int
+
+    def holds(self, draws: np.ndarray) -> np.ndarray:
+        out = np.ones(len(draws), bool)
+        for turn in FILTER_TURNS:
+            at = (draws.view(np.uint64) >> np.uint64(turn)) & np.uint64((1 << self.shift) - 1)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def _filter_of(ids: DataFrame) -> IdFilter:
+    """The filter has 2**FILTER_BITS bits at most; beyond its room it passes more, never less."""
+    shift = min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+    draw = F.xxhash64(ids.columns[0])
+    places = F.array(*[F.shiftrightunsigned(draw, turn).bitwiseAND(F.lit((1 << shift) - 1)) for turn in FILTER_TURNS])
+    place = ids.select(F.explode(places).alias("place"))
+    bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << (shift - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return IdFilter(out, shift)
+
+
 class _Index:
     """Sorted tokens with the number of the set that each belongs to."""
 
@@ -293,22 +344,18 @@ def join(
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profiles = scratch.table(_profiles(texts, words, threshold), "profiles")
+    profiles = scratch.table(_profiles(texts, words), "profiles")
     sets = (
         profiles.where("print IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("print")
         .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"))
     )
-    sets = scratch.table(sets, "sets")
+    sets = scratch.table(_numbered(sets), "sets")
 
-    # One number per set, from its fingerprint, stands for the set while candidates are looked for.
-    number = F.xxhash64("print")
-    signed = profiles.where("size(signed) > 0").select(number.alias("node"), F.explode("signed").alias("mark"))
+    signed = _signed(texts, words, threshold)
     stars = signed.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(_stars, "a long, b long")
-    hanging = components(stars, scratch, "candidates")
-    candidates = hanging.join(sets.withColumn("number", number), hanging["node"] == F.col("number")).select(
-        F.col("component").alias("group"), sets["node"], "print", "copies", "n"
-    )
+    hanging = components(stars, scratch, "candidates").withColumnRenamed("node", "number")
+    candidates = hanging.join(sets, "number").select(F.col("component").alias("group"), "node", "print", "copies", "n")
     candidates = scratch.table(candidates, "groups")
     sizes = candidates.groupBy("group").agg(F.sum("n").alias("tokens"))
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
@@ -327,25 +374,26 @@ def join(
         "chunks",
     )
 
+    # Few documents are candidates: only their sets go into the join.
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(candidates.select("node")))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in batches:
-            keep, packed = [], []
-            for text, mark in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                tokens = shingles(text, words).tobytes()
-                keep.append(xxhash.xxh3_128_digest(tokens) == mark)  # another text of the same id is another set
-                packed.append(tokens)
-            names = ["tokens", *block.schema.names[1:]]
-            made = pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *block.columns[1:]], names)
-            yield made.filter(pa.array(keep, pa.bool_()))
-
-    held = (
-        texts.join(placed, "doc_id")
-        .select("text", "print", F.col("doc_id").alias("node"), "group", "copies", "chunk", "chunks")
-        .mapInArrow(
-            pack,
-            "tokens binary, print binary, node long, group long, copies long, chunk int, chunks int",
-        )
+            some = block.filter(pa.array(wanted.value.holds(block.column(2).to_numpy()), pa.bool_()))
+            sets = [shingles(text, words).tobytes() for text in some.column(1).to_pylist()]
+            prints = [xxhash.xxh3_128_digest(tokens) for tokens in sets]
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())],
+                ["doc_id", "print", "tokens"],
+            )
+
+    packed = (
+        texts.where("doc_id IS NOT NULL")
+        .withColumn("draw", F.xxhash64("doc_id"))
+        .mapInArrow(pack, "doc_id long, print binary, tokens binary")
     )
+    # Another text of the same id is another set.
+    held = packed.join(placed, ["doc_id", "print"]).withColumnRenamed("doc_id", "node")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     spread = held.select("*", other.alias("other"))
     cells = spread.select(
@@ -389,9 +437,28 @@ def join(
 def keep_one(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold(80, 100), scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id stay.
+    Of rows that repeat an id one stays; rows without an id stay.  Only rows
+    that go, or whose id is repeated, meet in a shuffle.
     """
-    found = join(docs, words, threshold, scratch=scratch)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
+    found = scratch.table(join(docs, words, threshold, scratch=scratch).select("doc_id", "component_id"), "found")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.min("component_id").alias("component_id")
+    )
+    doubtful = scratch.table(ids.where("rows > 1 OR doc_id <> component_id"), "doubtful")
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(doubtful.select("doc_id")))
+
+    def part(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in batches:
+                held = wanted.value.holds(block.column(block.num_columns - 1).to_numpy())
+                rows = block.filter(pa.array(held if inside else ~held, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(rows.columns[:-1], rows.schema.names[:-1])
+
+        draw = max(docs.columns, key=len) + "_draw"  # a name that no column has
+        named = docs.where("doc_id IS NOT NULL").withColumn(draw, F.xxhash64("doc_id"))
+        return named.mapInArrow(run, docs.schema)
+
+    gone = doubtful.where("doc_id <> component_id").select("doc_id")
+    kept = part(True).join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    return part(False).unionByName(kept).unionByName(docs.where("doc_id IS NULL"))
