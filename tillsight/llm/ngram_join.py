@@ -38,6 +38,8 @@ FILTER_BITS, FILTER_TURNS = 26, (0, 19, 38)
 GROUP_SETS = 24
 # Sets that a task remembers to sign equal ones only once.
 REMEMBERED = 500_000
+# Signatures, or those of 512 sets, that leave a task at a time.
+BATCH_ROWS = 65_536
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -156,6 +158,15 @@ def _signed(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        marks: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(part).view(np.int64)) for part in (marks, nodes)]
+            marks.clear()
+            nodes.clear()
+            return pa.RecordBatch.from_arrays(columns, ["mark", "node"])
+
         for block in batches:
             for text in block.column(0).to_pylist():
                 tokens = shingles(text, words)
@@ -165,9 +176,12 @@ def _signed(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(mark)
-                signed = signatures(tokens, threshold).view(np.int64)
-                node = np.full(len(signed), xxhash.xxh3_64_intdigest(mark), np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(node)], ["mark", "node"])
+                marks.append(signatures(tokens, threshold))
+                nodes.append(np.full(len(marks[-1]), xxhash.xxh3_64_intdigest(mark), np.uint64))
+                if sum(map(len, marks)) >= BATCH_ROWS or len(marks) >= 512:
+                    yield batch()
+        if marks:
+            yield batch()
 
     return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "mark long, node long")
 
