@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import documents, joined, rows
 
@@ -98,3 +99,34 @@ def test_the_filter_passes_what_was_put_in(spark):
     passed = held.holds(draws)
     assert passed[::3].all()
     assert passed.mean() < 0.4
+
+
+@pytest.mark.parametrize(("largest", "batch"), [(4096, 5), (4096, 1), (3, 2), (3, 7)])
+def test_blocks_are_tied_across_batches(monkeypatch, largest, batch):
+    monkeypatch.setattr(ngram_join, "LARGEST_BLOCK", largest)
+    draw = np.random.default_rng(8)
+    threshold = Threshold(1, 2)
+    sets = [np.unique(draw.integers(0, 2**63, 12).astype(np.uint64)) for _ in range(6)]
+    sets += [np.unique(np.concatenate([s[3:], draw.integers(0, 2**63, 2).astype(np.uint64)])) for s in sets]
+    rows = sorted((int(m), node) for m in range(9) for node in draw.choice(12, int(draw.integers(1, 9)), replace=False))
+    rows += [(20, node) for node in range(12)]
+    table = pd.DataFrame(rows, columns=["mark", "node"])
+    held = list(ngram_join._members(iter([table.iloc[i : i + batch] for i in range(0, len(table), batch)])))
+    members = pd.concat(held, ignore_index=True)
+    assert members.equals(table[table.groupby("mark")["node"].transform("size") > 1].reset_index(drop=True))
+    members["n"] = [len(sets[n]) for n in members["node"]]
+    members["outline"] = [ngram_join._outline(sets[n]) for n in members["node"]]
+    parts = [members.iloc[i : i + batch] for i in range(0, len(members), batch)]
+    edges = pd.concat(list(ngram_join._forests(threshold)(iter(parts))), ignore_index=True)
+    parent = list(range(12))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in zip(edges["a"], edges["b"], strict=True):
+        parent[root(a)] = root(b)
+    for _, block in members.groupby("mark"):
+        for a in block["node"]:
+            for b in block["node"]:
+                if threshold.links(len(np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b])):
+                    assert root(a) == root(b)

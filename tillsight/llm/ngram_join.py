@@ -5,9 +5,10 @@
 2. Two linked sets of n and m tokens differ by at most (1 - t) / (1 + t) (n + m)
    tokens.  If the tokens are dealt to more buckets than that, at least one
    bucket is equal.  Each set signs its buckets; sets that share a signature
-   are candidates.  Bands of sizes fix the number of buckets, and a set signs
-   for its own band and for the next.
-3. Candidates that hang together are partitioned into groups of similar sets
+   are a block.  Bands of sizes fix the number of buckets, and a set signs
+   for its own band and for the next.  Within a block those pairs are tied whose
+   outlines, counts of tokens by pattern, leave a link possible.
+3. Sets that such ties hold together are partitioned into groups of similar sets
    with the union of each group's tokens.  A set's overlap with the union is an
    upper bound of its overlap with any member; only groups whose bound reaches
    what a link needs are opened and their members compared exactly.
@@ -36,6 +37,8 @@ CHUNK_TOKENS = 150_000
 # Bits, and the parts of a hash that pick them, of the filter of candidates' ids.
 FILTER_BITS, FILTER_TURNS = 26, (0, 19, 38)
 GROUP_SETS = 24
+# Counts in the outline of a set, and sets of a block that a task holds.
+OUTLINE, LARGEST_BLOCK = 128, 4096
 # Sets that a task remembers to sign equal ones only once.
 REMEMBERED = 500_000
 # Signatures, or those of 512 sets, that leave a task at a time.
@@ -136,16 +139,18 @@ def _fingerprint(tokens: np.ndarray) -> bytes | None:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size and fingerprint of every document."""
+    """doc_id, size, fingerprint and outline of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in batches:
             sets = [shingles(text, words) for text in block.column(1).to_pylist()]
             sizes = pa.array([len(tokens) for tokens in sets], pa.int64())
             prints = pa.array([_fingerprint(tokens) for tokens in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column(0), sizes, prints], ["doc_id", "n", "print"])
+            outlines = pa.array([_outline(tokens) for tokens in sets], pa.binary())
+            columns = [block.column(0), sizes, prints, outlines]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "print", "outline"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary")
+    return docs.mapInArrow(run, "doc_id long, n long, print binary, outline binary")
 
 
 def _signed(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
@@ -195,26 +200,103 @@ def _numbered(prints: DataFrame) -> DataFrame:
             made = pa.array(np.array(number, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*block.columns, made], [*block.schema.names, "number"])
 
-    return prints.mapInArrow(run, "print binary, node long, copies long, n long, number long")
+    return prints.mapInArrow(run, "print binary, node long, copies long, n long, outline binary, number long")
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows sorted by signature: each further set with the first of the same signature."""
-    last_mark, last_leader = None, None
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows sorted by signature and set: those whose signature several sets share, once each."""
+    held: tuple[int, int, bool] | None = None  # the last row, and whether it is already known to share
     for block in batches:
-        if block.empty:
-            continue
         mark, node = block["mark"].to_numpy(), block["node"].to_numpy()
-        new = np.ones(len(mark), bool)
-        new[1:] = mark[1:] != mark[:-1]
-        leader = node[np.maximum.accumulate(np.where(new, np.arange(len(mark)), 0))]
-        if last_mark is not None and mark[0] == last_mark:
-            run = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(mark)
-            leader[:run] = last_leader
-        last_mark, last_leader = mark[-1], leader[-1]
-        differ = leader != node
-        if differ.any():
-            yield pd.DataFrame({"a": node[differ], "b": leader[differ]}).drop_duplicates()
+        if not len(mark):
+            continue
+        if held is not None:
+            mark, node = np.concatenate([[held[0]], mark]), np.concatenate([[held[1]], node])
+        fresh = np.ones(len(mark), bool)
+        fresh[1:] = (mark[1:] != mark[:-1]) | (node[1:] != node[:-1])
+        mark, node = mark[fresh], node[fresh]
+        same = mark[1:] == mark[:-1]
+        shared = np.zeros(len(mark), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        shared[0] |= held is not None and held[2]
+        held = (int(mark[-1]), int(node[-1]), bool(shared[-1]))
+        if shared[:-1].any():
+            yield pd.DataFrame({"mark": mark[:-1][shared[:-1]], "node": node[:-1][shared[:-1]]})
+    if held is not None and held[2]:
+        yield pd.DataFrame({"mark": [held[0]], "node": [held[1]]})
+
+
+def _outline(tokens: np.ndarray) -> bytes:
+    """How many tokens of a set start with each of 128 bit patterns."""
+    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=OUTLINE).astype(np.uint32).tobytes()
+
+
+def _tied(outlines: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """A forest over the sets of a block that ties all pairs whose outlines leave a link possible.
+
+    Two sets share at most the smaller count of each pattern.
+    """
+    label, edges = np.arange(len(sizes)), []
+    for i in range(1, len(sizes)):
+        others = np.flatnonzero(label[:i] != label[i])
+        bound = np.minimum(outlines[others], outlines[i]).sum(axis=1)
+        for other in others[bound >= threshold.needed(sizes[others] + sizes[i])]:
+            if label[other] != label[i]:
+                edges.append((i, int(other)))
+                label[label == label[other]] = label[i]
+    return edges
+
+
+def _forests(threshold: Threshold):
+    """From rows sorted by signature: edges that tie what may link within each block.
+
+    A block beyond ``LARGEST_BLOCK`` sets isn't held; its sets are all tied to
+    the first, which only adds comparisons later.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        whole: int | None = None  # the signature of a block that is tied to its first set
+        for block in batches:
+            if held is not None:
+                block = pd.concat([held, block], ignore_index=True)
+            if block.empty:
+                continue
+            mark = block["mark"].to_numpy()
+            end = int(np.flatnonzero(mark == mark[-1])[0])
+            rest = block.iloc[:end][mark[:end] == whole]
+            if len(rest) > 1:
+                yield pd.DataFrame({"a": rest["node"].to_numpy()[1:], "b": rest["node"].iloc[0]})
+            yield from finished(block.iloc[:end], whole)
+            held = block.iloc[end:]
+            if len(held) > LARGEST_BLOCK or (whole is not None and whole == mark[-1]):
+                whole = mark[-1]
+                yield pd.DataFrame({"a": held["node"].to_numpy()[1:], "b": held["node"].iloc[0]})
+                held = held.iloc[:1]
+        if held is not None:
+            yield from finished(held, whole)
+
+    def finished(rows: pd.DataFrame, whole: int | None) -> Iterator[pd.DataFrame]:
+        rows = rows[rows["mark"] != whole] if whole is not None else rows
+        if len(rows) < 2:
+            return
+        mark, node, sizes = rows["mark"].to_numpy(), rows["node"].to_numpy(), rows["n"].to_numpy()
+        outlines = np.frombuffer(b"".join(rows["outline"]), np.uint32).reshape(len(rows), OUTLINE).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(rows)]]))
+        first = starts[lengths == 2]
+        bound = np.minimum(outlines[first], outlines[first + 1]).sum(axis=1)
+        first = first[bound >= threshold.needed(sizes[first] + sizes[first + 1])]
+        a, b = [node[first + 1]], [node[first]]
+        for start, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
+            part = slice(start, start + length)
+            edges = _tied(outlines[part], sizes[part], threshold)
+            a.append(node[part][[i for i, _ in edges]] if edges else node[:0])
+            b.append(node[part][[j for _, j in edges]] if edges else node[:0])
+        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+    return run
 
 
 @dataclass
@@ -362,13 +444,17 @@ def join(
     sets = (
         profiles.where("print IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("print")
-        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"))
+        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline"))
     )
     sets = scratch.table(_numbered(sets), "sets")
 
     signed = _signed(texts, words, threshold)
-    stars = signed.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(_stars, "a long, b long")
-    hanging = components(stars, scratch, "candidates").withColumnRenamed("node", "number")
+    members = signed.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(_members, "mark long, node long")
+    outlined = members.join(sets.select(F.col("number").alias("node"), "n", "outline"), "node")
+    ties = outlined.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(
+        _forests(threshold), "a long, b long"
+    )
+    hanging = components(ties, scratch, "candidates").withColumnRenamed("node", "number")
     candidates = hanging.join(sets, "number").select(F.col("component").alias("group"), "node", "print", "copies", "n")
     candidates = scratch.table(candidates, "groups")
     sizes = candidates.groupBy("group").agg(F.sum("n").alias("tokens"))
