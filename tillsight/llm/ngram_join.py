@@ -33,7 +33,7 @@ from .storage import Scratch
 
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
 # Tokens that a task holds of each side of a comparison.
-CHUNK_TOKENS = 150_000
+CHUNK_TOKENS = 1_000_000
 # Bits, and the parts of a hash that pick them, of the filter of candidates' ids.
 FILTER_BITS, FILTER_TURNS = 26, (0, 19, 38)
 GROUP_SETS = 24
@@ -228,19 +228,24 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _outline(tokens: np.ndarray) -> bytes:
-    """How many tokens of a set start with each of 128 bit patterns."""
-    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=OUTLINE).astype(np.uint32).tobytes()
+    """How many tokens of a set start with each of 128 bit patterns; 255 means that many or more."""
+    counts = np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=OUTLINE)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _tied(outlines: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
-    """A forest over the sets of a block that ties all pairs whose outlines leave a link possible.
+def _shared_at_most(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps of sets by their outlines: the smaller count of each pattern."""
+    smaller = np.minimum(one, other).astype(np.int64)
+    smaller[smaller == 255] = 1 << 40  # not counted beyond, so no bound
+    return smaller.sum(axis=1)
 
-    Two sets share at most the smaller count of each pattern.
-    """
+
+def _tied(outlines: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """A forest over the sets of a block that ties all pairs whose outlines leave a link possible."""
     label, edges = np.arange(len(sizes)), []
     for i in range(1, len(sizes)):
         others = np.flatnonzero(label[:i] != label[i])
-        bound = np.minimum(outlines[others], outlines[i]).sum(axis=1)
+        bound = _shared_at_most(outlines[others], outlines[i])
         for other in others[bound >= threshold.needed(sizes[others] + sizes[i])]:
             if label[other] != label[i]:
                 edges.append((i, int(other)))
@@ -282,11 +287,11 @@ def _forests(threshold: Threshold):
         if len(rows) < 2:
             return
         mark, node, sizes = rows["mark"].to_numpy(), rows["node"].to_numpy(), rows["n"].to_numpy()
-        outlines = np.frombuffer(b"".join(rows["outline"]), np.uint32).reshape(len(rows), OUTLINE).astype(np.int64)
+        outlines = np.frombuffer(b"".join(rows["outline"]), np.uint8).reshape(len(rows), OUTLINE)
         starts = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(rows)]]))
         first = starts[lengths == 2]
-        bound = np.minimum(outlines[first], outlines[first + 1]).sum(axis=1)
+        bound = _shared_at_most(outlines[first], outlines[first + 1])
         first = first[bound >= threshold.needed(sizes[first] + sizes[first + 1])]
         a, b = [node[first + 1]], [node[first]]
         for start, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
