@@ -81,6 +81,38 @@ def test_marginals_are_met(spark):
             assert drawn[value] == pytest.approx(share * total, rel=1e-3)
 
 
+def test_values_without_a_weight_keep_their_share(spark):
+    """Languages that the weights don't name, null among them, can be drawn, and sums are estimated."""
+    data = [(i, "t1 " * 10, ("en", "de", "xx", None)[i % 4], f"s{i % 3}", 1) for i in range(2000)]
+    docs = spark.createDataFrame(data, DOCS)
+    mix = Mix(rate=0.4, weights={"lang": {"en": 3.0, "de": 1.0}})
+    found = mixing.sample(docs, topic(), mix).collect()
+    tokens = defaultdict(int)
+    for r in found:
+        assert 0 < r["mix_probability"] <= 1
+        tokens[r["lang"]] += r["mix_tokens"]
+    drawn = sum(tokens.values())
+    # A quarter each for the two that aren't named; the named ones divide half of the sample by 3 to 1.
+    for lang, share in (("en", 0.375), ("de", 0.125), ("xx", 0.25), (None, 0.25)):
+        assert tokens[lang] / drawn == pytest.approx(share, abs=0.05)
+    assert sum(r["mix_weight"] * r["mix_tokens"] for r in found) == pytest.approx(20000, rel=0.1)
+    unnamed = mixing.sample(docs, topic(), Mix(rate=0.5, weights={"lang": {"it": 1.0}}))
+    assert {r["lang"] for r in unnamed.select("lang").distinct().collect()} == {"en", "de", "xx", None}
+
+
+def test_sweeps_go_on_until_targets_are_met(spark):
+    """Source and language nearly tell each other, so eight sweeps are too few."""
+    n = {("s0", "l0"): 900.0, ("s0", "l1"): 2.0, ("s1", "l0"): 2.0, ("s1", "l1"): 900.0}
+    cells = spark.createDataFrame([(*k, "t", v) for k, v in n.items()], "source string, lang string, topic string, tokens double")
+    mix = Mix(rate=0.01, weights={"source": {"s0": 0.7, "s1": 0.3}, "lang": {"l0": 0.6, "l1": 0.4}})
+    found = mixing.calibrate(cells, ["source", "lang", "topic"], mix, Scratch(spark, "t")).collect()
+    total = 0.01 * sum(n.values())
+    for dimension, goal in (("source", {"s0": 0.7, "s1": 0.3}), ("lang", {"l0": 0.6, "l1": 0.4})):
+        for value, share in goal.items():
+            drawn = sum(r["tokens"] * r["probability"] for r in found if r[dimension] == value)
+            assert drawn / total == pytest.approx(share, abs=1.1 * mixing.TOLERANCE)
+
+
 def test_empty_table_and_texts_without_tokens(spark):
     assert mixing.sample(corpus(spark).limit(0), topic(), Mix()).collect() == []
     blank = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0)], DOCS)
