@@ -58,6 +58,42 @@ def test_clashing_columns_nulls_and_empty_tables(spark, model):
     assert fit(documents(spark, [])).languages == []
 
 
+def test_a_language_left_out_is_rejected_and_noisy_known_texts_stay(spark):
+    """``dd`` shares syllables with ``aa`` and ``bb``; every fifth text has a tenth of its letters changed."""
+    related = ["ba", "lo", "sch", "der", "ki", "nu", "ras", "vo"]
+
+    def some(lang, n, draw):
+        out = []
+        for i in range(n):
+            words = ["".join(draw.choices(SYLLABLES.get(lang, related), k=draw.randrange(1, 4))) for _ in range(60)]
+            t = " ".join(words)
+            out.append("".join(draw.choice("abcdefgxyz") if i % 5 == 0 and draw.random() < 0.1 else c for c in t))
+        return out
+
+    draw = random.Random(5)
+    data = [(lang, t) for lang in SYLLABLES for t in some(lang, 200, draw)]
+    train = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (lang, t) in enumerate(data)], DOCS)
+    three = fit(train)
+    known = {lang: np.mean(three.predict(some(lang, 50, draw))[3]) for lang in SYLLABLES}
+    assert min(known.values()) >= 0.95
+    assert np.mean(three.predict(some("dd", 100, draw))[3]) <= 0.05
+
+
+def test_limit_lies_between_own_and_other_texts():
+    own, other = np.linspace(-2, 2, 300), np.linspace(9, 20, 300)
+    assert language_id._limit(own, other) == language_id.REJECT_AT
+    assert language_id._limit(own + 6, other) == pytest.approx(8, abs=1)
+    assert language_id._limit(own, other - 5) == language_id.REJECT_AT
+    assert language_id._limit(own, other[:0]) == language_id.REJECT_AT
+
+
+def test_languages_with_few_texts_have_a_limit(spark):
+    draw = random.Random(4)
+    data = [(0, text("aa", 40, draw), "aa", "s", 1), (1, text("bb", 40, draw), "bb", "s", 1)]
+    tiny = fit(spark.createDataFrame(data, DOCS))
+    assert not tiny.predict(["qxzj" * 200, "\u0416\u0429 " * 50])[3].any()
+
+
 def test_probabilities_are_interpolated_kneser_ney():
     """Against the formula, written for one text with plain dictionaries."""
     texts = {"x": "abra cadabra abra", "y": "banana bandana"}

@@ -26,10 +26,14 @@ TRAIN_DOCS = 1500
 # One sampled document in so many sets the scale of the scores and the limits.
 CALIBRATE_EVERY = 5
 # A text is rejected if its cross-entropy is so many standard deviations above
-# the mean of its language, and most of the way from that mean to the
-# entropy of letters drawn evenly, where no language is left to see.
+# the mean of its language, or more where held-out texts of the language lie
+# above that; those of the other languages say how far the limit may go.
 REJECT_AT = 6.0
-REJECT_FROM = 0.75
+# Held-out texts that a language needs for limits of its own.
+LEAST_TEXTS = 5
+# A share of the language's own texts that is lost weighs so much more than one
+# of other texts that is let in.
+OWN_WEIGHT = 20.0
 # Characters that are looked up at a time.
 PIECE = 1 << 20
 SPACE = 32
@@ -116,7 +120,7 @@ class LanguageModel:
     backoffs: list[SortedTable]  # of contexts, for orders from 2
     unknown: np.ndarray
     sharpness: float = 1.0
-    limits: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    limits: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)
     even: dict[str, float] = field(default_factory=dict)
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
@@ -200,11 +204,27 @@ class LanguageModel:
         return names, score, lowest, accepted
 
     def accepts(self, language: str, entropy: float, count: int) -> bool:
-        if language not in self.limits:
-            return True
-        mean, spread, per_char = self.limits[language]
-        usual = mean + REJECT_AT * math.sqrt(spread**2 + per_char**2 / count)
-        return bool(entropy <= max(usual, mean + REJECT_FROM * (self.even[language] - mean)))
+        if language not in self.limits:  # no better than letters drawn evenly
+            return bool(entropy <= self.even[language])
+        mean, spread, per_char, most = self.limits[language]
+        return bool(entropy <= mean + most * math.sqrt(spread**2 + per_char**2 / count))
+
+
+def _limit(own: np.ndarray, other: np.ndarray) -> float:
+    """Standard deviations up to which texts are accepted.
+
+    ``own`` are those of the language's texts, ``other`` those of texts of
+    other languages.  At least REJECT_AT, so that others near by cost no text of
+    the language; above it, the first number with the smallest weighted share of errors.
+    """
+    tried = np.unique(np.concatenate([own, other, [REJECT_AT]]))
+    tried = np.concatenate([tried, (tried[1:] + tried[:-1]) / 2])
+    tried = tried[tried >= REJECT_AT]
+    missed = 1 - np.searchsorted(np.sort(own), tried, "right") / len(own)
+    let_in = np.searchsorted(np.sort(other), tried, "right") / max(1, len(other))
+    wrong = OWN_WEIGHT * missed + let_in
+    best = tried[wrong <= wrong.min() + 1e-12]
+    return float(best.min())
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -360,11 +380,30 @@ def _calibrate(model: LanguageModel, held: DataFrame) -> None:
         return float(-np.log(np.maximum(model.scores(entropy)[rows, truth], 1e-300)).mean())
 
     model.sharpness = min((2.0**p for p in range(-2, 6)), key=loss)
+    counts = found["n"].to_numpy(np.float64)
+    spreads = np.array(found["spread"].tolist())
+    # The language of each text if the model of its own were left out.
+    left = entropy.copy()
+    left[rows, truth] = np.inf
+    instead = left.argmin(axis=1)
+    few = []
     for number, language in enumerate(model.languages):
         own = (truth == number) & (entropy.argmin(axis=1) == number)
-        if own.sum() >= 5:
-            values, spreads = entropy[own, number], np.array(found["spread"].tolist())[own, number]
-            model.limits[language] = (float(values.mean()), float(values.std()), float(spreads.mean()))
+        if own.sum() < LEAST_TEXTS:
+            few.append((language, number, own))
+            continue
+        mean, spread, per_char = entropy[own, number].mean(), entropy[own, number].std(), spreads[own, number].mean()
+        deviations = (entropy[:, number] - mean) / np.sqrt(spread**2 + per_char**2 / counts)
+        other = (truth != number) & (instead == number)
+        most = _limit(deviations[own], deviations[other])
+        model.limits[language] = (float(mean), float(spread), float(per_char), most)
+    # Too few texts give a mean at most; the rest is that of the other languages.
+    known = list(model.limits.values())
+    for language, number, own in few:
+        if own.any() and known:
+            spread, per_char = (max(limit[i] for limit in known) for i in (1, 2))
+            mean, most = float(entropy[own, number].mean()), min(limit[3] for limit in known)
+            model.limits[language] = (mean, spread, per_char, most)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
