@@ -127,6 +127,22 @@ def test_ordinal_slopes_are_those_of_the_likelihood():
     assert w[0] == 0
 
 
+def test_capped_fits_keep_the_rates_of_whole_ones(spark):
+    """A tenth of the texts are of the rare label; words say little, so the rate decides."""
+    draw = random.Random(3)
+    rare = [int(i % 10 == 0) for i in range(1500)]
+    texts = [" ".join(draw.choices(WORDS, k=20) + ["vermin"] * (draw.random() < (0.6 if r else 0.2))) for r in rare]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(rare)), "doc_id long, toxic int")
+    grades = spark.createDataFrame([(i, 2 if r else i % 2) for i, r in enumerate(rare)], "doc_id long, grade int")
+    whole, capped = (by_id(toxicity.score(docs, toxicity.fit(docs, labels, train_rows=n)), "score") for n in (6000, 150))
+    assert np.mean(list(whole.values())) == pytest.approx(0.1, abs=0.03)
+    assert np.mean(list(capped.values())) == pytest.approx(0.1, abs=0.04)
+    found = [quality.grade(docs, quality.fit(docs, grades, 3, train_rows=n)).collect() for n in (4000, 150)]
+    first, second = (np.mean([r["p_at_least_2"] for r in rows]) for rows in found)
+    assert second == pytest.approx(first, abs=0.04)
+
+
 def test_shape():
     assert quality.shape("Word!!") == "Aa!"
     assert quality.shape("x12-34") == "a9-9"

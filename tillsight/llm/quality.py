@@ -89,10 +89,11 @@ class OrdinalModel:
         return standing
 
 
-def optimise(x: SparseRows, y: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """Thresholds (ordered, as steps are exponentials) and weights by Adam on all rows."""
+def optimise(x: SparseRows, y: np.ndarray, grades: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds (ordered, as steps are exponentials) and weights by Adam on all rows, which count by their weight."""
+    a = np.ones(len(y)) if weight is None else weight / weight.mean()
     cuts = grades - 1
-    share = np.clip([(y >= j).mean() for j in range(1, grades)], 1e-3, 1 - 1e-3)
+    share = np.clip([(a * (y >= j)).mean() for j in range(1, grades)], 1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     steps = np.log(np.maximum(np.diff(first), 1e-2))
     parameters = np.concatenate([first[:1], steps, np.zeros(x.width)])
@@ -106,7 +107,7 @@ def optimise(x: SparseRows, y: np.ndarray, grades: int) -> tuple[np.ndarray, np.
         low, high = sigmoid(eta - edges[y]), sigmoid(eta - edges[y + 1])
         low, high = np.where(y == 0, 1.0, low), np.where(y == cuts, 0.0, high)
         p = np.maximum(low - high, 1e-12)
-        at_low, at_high = low * (1 - low) / p, high * (1 - high) / p
+        at_low, at_high = a * low * (1 - low) / p, a * high * (1 - high) / p
         d_eta = -(at_low - at_high) / n
         d_theta = np.bincount(y, at_low / n, minlength=grades)[1:] - np.bincount(y + 1, at_high / n, minlength=grades + 1)[1:grades]
         d_first = d_theta.sum()
@@ -131,7 +132,8 @@ def fit(
     """A model from rated documents, grades 0 to ``grades`` - 1.
 
     About ``train_rows`` documents of each grade are learned from, picked by a
-    hash of their key; in smaller tables all are.  Other grades, nulls and null
+    hash of their key and weighted to keep the grades' rates; in smaller tables
+    all are.  Other grades, nulls and null
     texts are passed over.  Without ratings every tail probability is 0.5 or
     falls by the grade.
     """
@@ -144,14 +146,14 @@ def fit(
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in batches:
             has = [sorted(place[b] for b in features(text) if b in place) for text in block["text"]]
-            yield pd.DataFrame({"label": block["label"], "has": has})
+            yield pd.DataFrame({"label": block["label"], "weight": block["weight"], "has": has})
 
-    table = sample.mapInPandas(rows, "label int, has array<int>").toPandas()
+    table = sample.mapInPandas(rows, "label int, weight double, has array<int>").toPandas()
     sample.unpersist()
     if table.empty:
         return OrdinalModel(np.arange(grades - 1, dtype=np.float64), {})
     x = SparseRows([[(c, 1.0) for c in has] for has in table["has"]], len(place))
-    theta, w = optimise(x, table["label"].to_numpy(np.int64), grades)
+    theta, w = optimise(x, table["label"].to_numpy(np.int64), grades, table["weight"].to_numpy())
     return OrdinalModel(theta, {b: float(w[number]) for b, number in place.items()})
 
 

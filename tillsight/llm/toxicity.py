@@ -99,23 +99,26 @@ class ToxicityModel:
         return score
 
 
-def optimise(x: SparseRows, y: np.ndarray, pairs: SparseRows, counterfactual: float = COUNTERFACTUAL) -> tuple[float, np.ndarray]:
-    """Accelerated proximal gradient steps; the bias isn't shrunk."""
+def optimise(
+    x: SparseRows, y: np.ndarray, pairs: SparseRows, counterfactual: float = COUNTERFACTUAL, weight: np.ndarray | None = None
+) -> tuple[float, np.ndarray]:
+    """Accelerated proximal gradient steps; the bias isn't shrunk.  Rows count by their weight, or all the same."""
     n, m = len(y), max(1, pairs.height)
-    step = 1.0 / (0.25 * (x.norm() + n) / n + 2 * counterfactual * pairs.norm() / m + RIDGE)
+    a = np.ones(n) if weight is None else weight / weight.mean()
+    step = 1.0 / (0.25 * a.max() * (x.norm() + n) / n + 2 * counterfactual * pairs.norm() / m + RIDGE)
     # A few dominant directions make that bound pessimistic; longer steps are
     # taken as long as the loss falls.
-    rate = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    rate = np.clip((a * y).mean(), 1e-4, 1 - 1e-4)
     bias, w = float(np.log(rate / (1 - rate))), np.zeros(x.width)
 
     def smooth(b: float, v: np.ndarray) -> tuple[float, float, np.ndarray]:
         logits = b + x.times(v)
         p = sigmoid(logits)
         gap = pairs.times(v)
-        loss = np.logaddexp(0, logits).mean() - (y * logits).mean()
+        loss = (a * np.logaddexp(0, logits)).mean() - (a * y * logits).mean()
         loss += counterfactual * (gap @ gap) / m + RIDGE / 2 * (v @ v)
-        slope = x.transposed((p - y) / n) + 2 * counterfactual * pairs.transposed(gap) / m + RIDGE * v
-        return float(loss), float((p - y).mean()), slope
+        slope = x.transposed(a * (p - y) / n) + 2 * counterfactual * pairs.transposed(gap) / m + RIDGE * v
+        return float(loss), float((a * (p - y)).mean()), slope
 
     vb, v, momentum, step = bias, w.copy(), 1.0, step * 64
     for _ in range(STEPS):
@@ -149,7 +152,8 @@ def fit(
     """A model from labelled documents.
 
     About ``train_rows`` rows of either class are learned from, picked by a
-    hash of their key; in smaller tables all are.  Labels other than 0 and 1
+    hash of their key and weighted to keep the classes' rates; in smaller tables
+    all are.  Labels other than 0 and 1
     and null texts are passed over.  If only one class is left, or none, the
     score is that class's rate (0.5 if there is no row).
     """
@@ -168,26 +172,28 @@ def fit(
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in batches:
             out = []
-            for label, text in zip(block["label"], block["text"], strict=True):
-                out.append((label, sorted(place[b] for b in features(text) if b in place), None))
+            for label, text, weight in zip(block["label"], block["text"], block["weight"], strict=True):
+                out.append((label, weight, sorted(place[b] for b in features(text) if b in place), None))
                 for gone, come in counterfactuals(text, swap):
                     gone, come = ([place[b] for b in side if b in place] for side in (gone, come))
                     if gone or come:
-                        out.append((label, sorted(gone), sorted(come)))
-            yield pd.DataFrame(out, columns=["label", "has", "instead"])
+                        out.append((label, weight, sorted(gone), sorted(come)))
+            yield pd.DataFrame(out, columns=["label", "weight", "has", "instead"])
 
-    table = sample.mapInPandas(rows, "label int, has array<int>, instead array<int>").toPandas()
+    table = sample.mapInPandas(rows, "label int, weight double, has array<int>, instead array<int>").toPandas()
     sample.unpersist()
     alone = table["instead"].isna()
     x = SparseRows([[(c, 1.0) for c in has] for has in table["has"][alone]], len(place))
+    # The penalty takes squares, so a pair's row holds the root of its weight.
+    root = np.sqrt(table["weight"][~alone] / table["weight"][~alone].mean())
     pairs = SparseRows(
         [
-            [(c, 1.0) for c in has] + [(c, -1.0) for c in instead]
-            for has, instead in zip(table["has"][~alone], table["instead"][~alone], strict=True)
+            [(c, r) for c in has] + [(c, -r) for c in instead]
+            for has, instead, r in zip(table["has"][~alone], table["instead"][~alone], root, strict=True)
         ],
         len(place),
     )
-    bias, w = optimise(x, table["label"][alone].to_numpy(np.float64), pairs, counterfactual)
+    bias, w = optimise(x, table["label"][alone].to_numpy(np.float64), pairs, counterfactual, table["weight"][alone].to_numpy())
     return ToxicityModel(bias, {b: float(w[number]) for b, number in place.items() if w[number]})
 
 
