@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .merkle import FANOUT
 from .mixing import NONE, PLACES, SWEEPS
 from .queries import INJECTED, MIX, URL_RULES
+from .sketch import MULTIPLIERS, PRIME, SCALE
 from .url_filter import DAMPING, ITERATIONS, THRESHOLD
 
 
@@ -166,10 +168,129 @@ FROM placed d JOIN fitted f ON f.source = d.m_source AND f.lang = d.m_lang AND f
 WHERE ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0 < f.p"""
 
 
+_HARD_NEGATIVES = """WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS MATERIALIZED (
+  SELECT q.r AS anchor, q.vec_id AS anchor_id, c.vec_id, c.label = q.label AS same, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM points q JOIN points c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place
+  FROM scored WHERE same QUALIFY place <= 5),
+found AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same
+    AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= 3"""
+
+
+def _merkle_manifest(height: int = 8) -> str:
+    """Trees of up to ``height`` levels; a tree that has ended goes up unchanged."""
+
+    def text(value: str) -> str:
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    def leaf(body: str) -> str:
+        fields = [*(f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")), body]
+        return f"sha256({' || '.join(text(f) for f in fields)})"
+
+    steps = []
+    for name in ("s", "u"):
+        for k in range(height):
+            run = f"PARTITION BY tree, pos // {FANOUT} ORDER BY pos"
+            steps.append(
+                f"""{name}{k}_sibs AS MATERIALIZED (
+  SELECT *, coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+    coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k})"""
+            )
+            steps.append(
+                f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT tree, pos // {FANOUT} AS pos, any_value((n + {FANOUT - 1}) // {FANOUT}) AS n,
+    CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node
+  FROM {name}{k} GROUP BY tree, pos // {FANOUT})"""
+            )
+        if name == "s":
+            steps.append(f"u0 AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, node FROM s{height})")
+    # From the leaf upwards: one level's siblings are put around the node at a time.
+    last = "leaves"
+    for name in ("s", "u"):
+        for k in range(height):
+            at = f"d.pos // {FANOUT**k}" if name == "s" else f"d.tree // {FANOUT**k}"
+            tree = "d.tree" if name == "s" else "0"
+            steps.append(
+                f"""{name}{k}_way AS (
+  SELECT d.* REPLACE (d.proof || x.b || x.a AS proof,
+    CASE WHEN x.n > 1 THEN sha256(x.b || d.folded || x.a) ELSE d.folded END AS folded)
+  FROM {last} d JOIN {name}{k}_sibs x ON x.tree = {tree} AND x.pos = {at})"""
+            )
+            last = f"{name}{k}_way"
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    step = "lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = f"""xor(4294967295, list_reduce(
+      [4294967295::UBIGINT] || [ascii(x)::UBIGINT for x in string_split(doc_id::VARCHAR, '')],
+      lambda v, x: list_reduce([xor(v, x)] || [0::UBIGINT for i in range(8)], {step})))"""
+    return f"""WITH hashed AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(f"translate(text, {letters})")} END AS presented
+  FROM documents),
+leaves AS MATERIALIZED (
+  SELECT doc_id, leaf, coalesce(presented, leaf) AS folded, '' AS proof, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM hashed),
+s0 AS (SELECT tree, pos, n, leaf AS node FROM leaves),
+{",".join(steps)}
+SELECT d.doc_id, d.leaf, t.node AS subroot, r.node AS root, sha256(d.proof) AS proof_sha256, d.folded AS folded_root,
+  d.folded = r.node AS verified
+FROM {last} d JOIN s{height} t ON t.tree = d.tree CROSS JOIN u{height} r"""
+
+
+def _fingerprints() -> str:
+    def kept(words: str) -> str:
+        runs = " + ".join(f"{m}::HUGEINT * coalesce({words}[i + {k}], 0)" for k, m in enumerate(MULTIPLIERS))
+        return f"list_sort(list_distinct([({runs}) % {PRIME} for i in range(1, greatest(len({words}) - {len(MULTIPLIERS) - 1}, least(len({words}), 1)) + 1)]))"
+
+    def values(text: str) -> str:
+        lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        found = rf"regexp_extract_all({lowered}, '[^ \t\n\x0B\f\r]+')"
+        return f"[('0x' || substr(md5(w), 1, 8))::UBIGINT::HUGEINT for w in {found}]"
+
+    def low(hashes: str) -> str:
+        return f"CASE WHEN len([h for h in {hashes} if h < {PRIME // SCALE}]) = 0 THEN {hashes}[:1] ELSE [h for h in {hashes} if h < {PRIME // SCALE}] END"
+
+    def digits(sketch: str) -> str:
+        return f"list_reduce([''] || [lower(printf('%016x', h::BIGINT)) for h in {sketch}], lambda x, y: x || y)"
+
+    def share(other: str) -> str:
+        return f"CASE WHEN len(own) = 0 THEN (len({other}) = 0)::INT::DOUBLE ELSE len(list_intersect(own, {other})) / len(own)::DOUBLE END"
+
+    return rf"""WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents),
+following AS (
+  SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST), first_value(text) OVER (ORDER BY doc_id NULLS FIRST)) AS next
+  FROM texts),
+cut AS (
+  SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(next, 1, n_chars // 2) AS edited FROM following),
+words AS (SELECT *, {values("text")} AS w, {values("edited")} AS e, {values("next")} AS x FROM cut),
+hashed AS (SELECT doc_id, n_chars, edited, {kept("w")} AS w, {kept("e")} AS e, {kept("x")} AS x FROM words),
+sketched AS (SELECT doc_id, n_chars, edited, {low("w")} AS own, {low("e")} AS other, {low("x")} AS next FROM hashed)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {digits("own")} AS fingerprint, {digits("other")} AS edited_fingerprint,
+  {share("other")} AS near_edited, {share("next")} AS near_next
+FROM sketched"""
+
+
 ORACLE: dict[str, str] = {
     "op1_ngram_join": _NGRAM_JOIN.replace("\\\\", "\\"),
     "op2_url_filter": _url_filter(),
     "op5_chat_format": _chat_format(),
     "op6_mixing": _mixing(),
     "op10_vector_search": _VECTOR_SEARCH,
+    "op11_hard_negatives": _HARD_NEGATIVES,
+    "op12_merkle_manifest": _merkle_manifest(),
+    "op13_fingerprints": _fingerprints().replace("\\\\", "\\"),
 }

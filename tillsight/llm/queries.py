@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, language_id, mixing, ngram_join, quality, secret_scan, toxicity, url_filter, vector_search
+from . import (
+    chat,
+    decontamination,
+    hard_negatives,
+    language_id,
+    merkle,
+    mixing,
+    ngram_join,
+    quality,
+    secret_scan,
+    sketch,
+    toxicity,
+    url_filter,
+    vector_search,
+)
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +118,20 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are off by one, so that a negative may be a mislabelled positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_filter": op2_url_filter,
@@ -115,4 +143,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_vector_search": op10_vector_search,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fingerprints": op13_fingerprints,
 }
