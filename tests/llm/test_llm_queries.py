@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, second_engine, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in corpus_pipeline.QUERIES if name.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op4_quality", "op7_toxicity", "op9_language_id"])

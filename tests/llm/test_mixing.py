@@ -25,25 +25,43 @@ def corpus(spark):
 
 
 def plain(cells, mix, sweeps):
-    """The same raking with dictionaries."""
+    """The same raking with dictionaries: values without a weight keep their share, sweeps go on until targets are met."""
     total = sum(cells.values())
-    goals = []
+    goals, sizes = [], []
     for d, name in enumerate(("source", "lang", "topic")):
         sums = defaultdict(float)
         for cell, n in cells.items():
             sums[cell[d]] += n
         given = mix.weights.get(name)
-        raw = {v: given.get(v, 0.0) if given else s ** mix.flatten.get(name, 1.0) for v, s in sums.items()}
-        scale = mix.rate * total / sum(raw[v] for v, s in sums.items() if s > 0)
-        goals.append({v: w * scale for v, w in raw.items()})
-    p = dict.fromkeys(cells, mix.rate)
-    for _ in range(sweeps):
+        raw = {v: given.get(v) if given else s ** mix.flatten.get(name, 1.0) for v, s in sums.items()}
+        rest = sum(s for v, s in sums.items() if raw[v] is None)
+        named = sum(raw[v] for v, s in sums.items() if raw[v] is not None and s > 0)
+        scale = mix.rate * (total - rest) / named if named else 0.0
+        goals.append({v: mix.rate * sums[v] if w is None else w * scale for v, w in raw.items()})
+        sizes.append(sums)
+    p = best = dict.fromkeys(cells, mix.rate)
+    done, gap = 0, None
+    while total:
+        for _ in range(min(mixing.STRIDE, sweeps - done) if done < sweeps else mixing.STRIDE):
+            done += 1
+            for d, goal in enumerate(goals):
+                drawn = defaultdict(float)
+                for cell, n in cells.items():
+                    drawn[cell[d]] += p[cell] * n
+                p = {c: min(1.0, p[c] * goal[c[d]] / drawn[c[d]]) if drawn[c[d]] > 0 else p[c] for c in cells}
+        if done < sweeps:
+            continue
+        before, gap = gap, 0.0
         for d, goal in enumerate(goals):
-            drawn = defaultdict(float)
-            for cell, n in cells.items():
-                drawn[cell[d]] += p[cell] * n
-            p = {c: min(1.0, p[c] * goal[c[d]] / drawn[c[d]]) if drawn[c[d]] > 0 else p[c] for c in cells}
-    return p, goals
+            for value, weight in goal.items():
+                if sizes[d][value] > 0:
+                    gap = max(gap, abs(sum(p[c] * n for c, n in cells.items() if c[d] == value) - weight) / (mix.rate * total))
+        if before is not None and before - gap < mixing.LEAST_GAIN:
+            break
+        best = p
+        if gap <= mixing.TOLERANCE or done >= mixing.MOST_SWEEPS:
+            break
+    return best, goals
 
 
 MIX = Mix(rate=0.3, weights={"lang": {"en": 3.0, "de": 1.0, "fr": 1.0, "(none)": 0.5}}, flatten={"source": 0.5})
@@ -113,6 +131,17 @@ def test_sweeps_go_on_until_targets_are_met(spark):
             assert drawn / total == pytest.approx(share, abs=1.1 * mixing.TOLERANCE)
 
 
+def test_clashing_names_give_way(spark):
+    made = ["mix_topic", "mix_tokens", "mix_probability", "mix_weight"]
+    other = ["mix_source", "mix_lang", "doc", "draw", "tokens", "probability", "topic", "a.b"]
+    docs = corpus(spark)
+    clashing = docs.withColumns({c: F.lit(c) for c in (*made, *other)})
+    found = mixing.sample(clashing, topic(), MIX)
+    assert found.columns == [*docs.columns, *other, *made]
+    assert rows(found, "doc_id", *made) == rows(mixing.sample(docs, topic(), MIX), "doc_id", *made)
+    assert {tuple(r) for r in found.select(*[f"`{c}`" for c in other]).distinct().collect()} == {tuple(other)}
+
+
 def test_empty_table_and_texts_without_tokens(spark):
     assert mixing.sample(corpus(spark).limit(0), topic(), Mix()).collect() == []
     blank = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0)], DOCS)

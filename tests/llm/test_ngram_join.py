@@ -58,6 +58,38 @@ def test_one_of_each_group_stays(spark):
     assert rows(kept, "doc_id") == [(0,), (2,), (3,), (4,)]
 
 
+def test_different_texts_of_one_id_are_different_documents(spark):
+    """The text of id 5 that is like document 3 goes, the other one stays, and 3 and 9 don't hang together."""
+    one, other = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    data = [(3, one), (5, one + " end"), (5, other), (5, other), (9, other + " end"), (11, "x"), (11, None), (11, None), (11, ""), (None, one)]
+    docs = spark.createDataFrame([(*row, n, "c") for n, row in enumerate(data)], "doc_id long, text string, place int, print string")
+    found = {(r.doc_id, r.component_id) for r in ngram_join.join(docs, 5, Threshold(80, 100)).collect() if r.n_shingles > 1}
+    assert found == {(3, 3), (5, 3), (5, 5), (9, 5), (None, 3)}
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    expected = [(3, one), (5, other), (11, "x"), (11, None), (None, one)]
+    assert rows(kept, "doc_id", "text") == sorted(expected, key=repr)
+
+
+def test_fine_outlines_never_hide_a_pair_and_tell_long_sets_apart():
+    draw = np.random.default_rng(4)
+    threshold = Threshold(80, 100)
+    base = [np.unique(draw.integers(0, 2**64, n, dtype=np.uint64)) for n in (30, 700, 1023, 1025, 5000, 9000)]
+    sets = base + [np.unique(np.concatenate([s[len(s) // 10 :], draw.integers(0, 2**64, len(s) // 12, dtype=np.uint64)])) for s in base]
+    sets += [np.unique(draw.integers(0, 2**64, n, dtype=np.uint64)) for n in (5000, 4900, 9000, 16000)]
+    cell = pd.DataFrame(
+        {"group": 1, "node": np.arange(len(sets)), "n": [len(s) for s in sets], "chunk": 0, "packed": [ngram_join._fine_outline(s) for s in sets]}
+    )
+    run = ngram_join._finely_tied(threshold)
+    for chunks, cells in ((1, [(0, 0)]), (3, [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)])):
+        cell["chunk"] = np.arange(len(sets)) % chunks
+        edges = pd.concat([run((1, a, b), cell[cell["chunk"].isin((a, b))]) for a, b in cells])
+        tied = {frozenset(e) for e in edges.itertuples(index=False, name=None)}
+        assert tied == {frozenset((i, i + len(base))) for i in range(len(base))}
+    wide = pd.DataFrame({"group": [1, 1], "node": [1, 2], "n": [400, 400], "chunk": 0, "packed": [b"\xff" * 128, b"\xff" * 64 + b"\x01" * 64]})
+    assert len(run((1, 0, 0), wide)) == 1  # counts that aren't known bound nothing
+
+
 def test_linked_sets_share_a_signature():
     draw = np.random.default_rng(3)
     for num, den in ((90, 100), (80, 100), (1, 2)):

@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pytest
+from helpers import documents, word_runs
+from pyspark.sql import functions as F
+
+from tillsight.llm import sketch
+
+
+def plain_sketch(text, scale=sketch.SCALE):
+    hashes = set()
+    for run in word_runs(text, sketch.WORDS):
+        words = run.split(" ")
+        values = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words]
+        hashes.add(sum(m * v for m, v in zip(sketch.MULTIPLIERS, values, strict=False)) % sketch.PRIME)
+    low = sorted(h for h in hashes if h < sketch.PRIME // scale)
+    return low or sorted(hashes)[:1]
+
+
+def share(one, other):
+    return float(not other) if not one else len(set(one) & set(other)) / len(one)
+
+
+def digits(hashes):
+    return "".join(f"{h:016x}" for h in hashes)
+
+
+def plain(texts):
+    out = []
+    for i, text in enumerate(texts):
+        text, following = text or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        own, other, its = plain_sketch(text), plain_sketch(changed), plain_sketch(following)
+        digest = hashlib.sha256(changed.encode()).hexdigest()
+        out.append((len(text), digest, digits(own), digits(other), share(own, other), share(own, its)))
+    return out
+
+
+def prose(count, seed=1, words=300):
+    draw = np.random.default_rng(seed)
+    return [" ".join(f"w{n}" for n in draw.integers(0, 5000, draw.integers(1, words))) for _ in range(count)]
+
+
+COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 40])
+def test_documents_match_plain_sketches(spark, parts):
+    texts = prose(60) + [None, "", "one", "ÄÖ ß x \U0001f600\U0001f600 A\x0bB", "  \t\n", "Big WORDS stay the same text", "x " * 30_000]
+    docs = documents(spark, texts).withColumns({"part": F.lit("clash"), "edge": F.lit("first"), "fingerprint": F.lit("clash")})
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        found = sketch.with_edits(docs.orderBy(F.desc("doc_id"))).orderBy("doc_id").select(*COLUMNS).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert [tuple(r) for r in found] == plain(texts)
+
+
+def test_one_document_follows_itself_and_no_document_gives_none(spark):
+    text = "a b c d e f g h"
+    found = sketch.with_edits(documents(spark, [text])).select(*COLUMNS).collect()
+    assert [tuple(r) for r in found] == plain([text])
+    assert sketch.with_edits(documents(spark, [])).count() == 0
+
+
+def test_null_and_repeated_ids_keep_every_row(spark):
+    rows = [(None, "no id here at all today"), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (3, "another text of the id"), (4, "last one")]
+    found = sketch.with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in found) == sorted((i is None, i or 0, len(t or "")) for i, t in rows)
+    own = {r.fingerprint for r in found if r.doc_id == 3 and r.n_chars == 11}
+    assert own == {digits(plain_sketch("a b c d e f"))}
+    # Equal rows follow each other, so one of the two is next to its copy.
+    assert sum(r.near_next == 1.0 for r in found if r.doc_id == 3 and r.n_chars == 11) == 1
+
+
+def test_equal_texts_have_equal_fingerprints_and_order_of_words_counts(spark):
+    texts = ["the quick brown fox jumps over", "THE quick\tbrown fox  jumps over", "over jumps fox brown quick the"]
+    found = [r.fingerprint for r in sketch.fingerprints(documents(spark, texts), "doc_id").orderBy("doc_id").collect()]
+    assert found[0] == found[1] != found[2]
+
+
+def test_share_of_a_short_text_in_a_very_long_one(spark):
+    whole = prose(1, seed=3, words=2)[0] + " " + " ".join(f"v{n}" for n in np.random.default_rng(4).integers(0, 9000, 60_000))
+    words = whole.split()
+    part = " ".join(words[1000:3000] + [f"other{n}" for n in range(2000)])
+    prints = sketch.fingerprints(documents(spark, [part, "", "nothing in common with it at all"]), "doc_id")
+    held = sketch.merged(sketch.fingerprints(documents(spark, [whole]), "source"), "source")
+    found = {r.doc_id: r.share for r in sketch.contained(prints, "doc_id", held).collect()}
+    assert set(found) == {0, 2} and found[2] == 0.0
+    assert abs(found[0] - 0.5) < 0.12  # about 250 hashes are kept
+
+
+def test_merging_equals_the_sketch_of_all_texts(spark):
+    texts = prose(20, seed=7)
+    prints = sketch.fingerprints(documents(spark, texts), "source")
+    found = {r.hash for r in sketch.merged(prints.select("fingerprint")).collect()}
+    assert found == {f"{h:016x}" for text in texts for h in plain_sketch(text)}
+
+
+def test_words_that_are_forgotten_keep_their_values():
+    few = sketch.Hasher()
+    texts = prose(40, seed=9)
+    expected = [few.sketch(t).tolist() for t in texts]
+    held, sketch.REMEMBERED = sketch.REMEMBERED, 10
+    try:
+        hasher = sketch.Hasher()
+        assert [hasher.sketch(t).tolist() for t in texts] == expected
+    finally:
+        sketch.REMEMBERED = held

@@ -62,14 +62,14 @@ def test_ranks_match_power_iteration(spark):
     seeds = {"a": (1, 0), "d": (3, 2), "e": (0, 2)}
     hosts = spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, allowed long, blocked long")
     edges = spark.createDataFrame(links, "src string, dst string, links long")
-    found = url_filter.propagate(hosts, edges, Scratch(spark, "t"), iterations=7)
+    found = url_filter.propagate(hosts, edges, Scratch(spark, "t"), tolerance=1e-9)
     names = "abcde"
 
     def ranks(edges, seed):
         total = sum(seed.values())
         seed = {h: seed.get(h, 0) / total for h in names}
         rank = dict(seed)
-        for _ in range(7):
+        for _ in range(300):
             flow = dict.fromkeys(names, 0.0)
             for h in names:
                 out = [(d, n) for s, d, n in edges if s == h] or [(h, 1)]
@@ -85,6 +85,31 @@ def test_ranks_match_power_iteration(spark):
         assert row["distrust"] == pytest.approx(distrust[row["host"]])
 
 
+def test_distrust_reaches_hosts_many_links_away(spark):
+    rules = [Rule("block", "h0.org", "/")]
+    data = [(f"http://h{i}.org/", f"<a href=http://h{i - 1}.org/x>" if i else None, "") for i in range(16)]
+    found = url_filter.judge(pages(spark, data), rules, threshold=0.0)
+    assert {r["verdict"] for r in found.collect()} == {"block"}
+    hosts = spark.createDataFrame([("h0.org", 0, 1)], "host string, allowed long, blocked long")
+    edges = spark.createDataFrame([(f"h{i}.org", f"h{i - 1}.org", 1) for i in range(1, 40)], "src string, dst string, links long")
+    ranks = {r["host"]: r["distrust"] for r in url_filter.propagate(hosts, edges, Scratch(spark, "t")).collect()}
+    assert sum(ranks.values()) == pytest.approx(1.0, abs=1e-5)
+    assert ranks["h39.org"] == pytest.approx(0.85**39, rel=1e-3)
+
+
+def test_values_of_links_in_any_quotes(spark):
+    html = """<a href=http://a.org/x><a HREF = 'http://b.org/"q"'><a href="//c.org/it's"><link href=/own><a href=http://d.org><a href=>"""
+    found = url_filter.host_edges(spark.createDataFrame([("me.org", html), ("me.org", None)], "host string, html string"))
+    assert rows(found, "src", "dst", "links") == [("me.org", h, 1) for h in ("a.org", "b.org", "c.org", "d.org", "me.org")]
+
+
+def test_repeated_pages_and_very_long_html(spark):
+    long_html = "<p>x</p>" * 100_000 + "<a href='http://bad.org/'>"
+    data = [("http://farm.org/", long_html, ""), ("http://farm.org/", long_html, ""), ("http://farm.org/", None, ""), ("http://bad.org/", None, "")]
+    found = url_filter.judge(pages(spark, data), [Rule("block", "bad.org", "/")], threshold=0.1)
+    assert rows(found, "page_id", "verdict") == [(i, "block") for i in range(4)]
+
+
 def test_equally_long_rules_go_to_the_longer_host(spark):
     row = spark.range(1).select(F.lit("a.com").alias("host"), F.lit("/bc/").alias("path"))
     rules = [Rule("block", "com", "/bc"), Rule("allow", "a.com", "/")]

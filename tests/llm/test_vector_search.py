@@ -14,19 +14,27 @@ def vectors(spark, data):
 
 
 def plain(data, k):
-    held = {}
+    """Every row is a candidate of every other one, whatever their ids."""
+    held = []
     for vec, values, _ in data:
         if vec is not None and values is not None and all(v is not None and math.isfinite(v) for v in values):
-            whole = tuple(math.floor(256 * float(np.float32(v))) for v in values)
-            held[vec] = min(held.get(vec, whole), whole)
+            held.append((vec, [math.floor(256 * float(np.float32(v))) for v in values]))
     out = []
-    for query in held:
+    for place, (query, own) in enumerate(held):
         if query % 5 == 0:
-            scored = [(-sum(a * b for a, b in zip(held[query], held[o], strict=False)), o) for o in held if o != query]
+            others = [(o, v) for n, (o, v) in enumerate(held) if n != place]
+            scored = [(-sum(a * b for a, b in zip(own, v, strict=False)), o) for o, v in others]
             out += [(query, n + 1, o, -s) for n, (s, o) in enumerate(sorted(scored)[:k])]
     return sorted(out)
 
 
+def test_rows_that_share_an_id_are_candidates_one_by_one(spark):
+    data = [(0, [1.0, 0.0], ""), (1, [1.0, 0.0], ""), (1, [0.5, 0.0], ""), (2, [0.75, 0.0], ""), (0, [0.25, 0.0], "")]
+    found = vector_search.top_k(vectors(spark, data), F.col("vec_id") == 0).collect()
+    assert sorted(tuple(r) for r in found) == plain(data, 5)
+    assert sum(r["vec_id"] == 1 for r in found) == 4
+
+
 @pytest.mark.parametrize(("queries", "candidates", "pivots"), [(2048, 16384, 32), (7, 40, 3), (7, 300, 0)])
 def test_top_k_matches_all_pairs(spark, queries, candidates, pivots):
     draw = np.random.default_rng(1)
@@ -71,7 +79,7 @@ def test_far_candidates_are_not_evaluated():
     vector_search.inner = counted
     try:
         ids = np.arange(len(rows))
-        query, best, score = vector_search.search_block(ids[:5], rows[:5], table[:5], ids, rows, table, 5)
+        query, best, score = vector_search.search_block(ids[:5], rows[:5], table[:5], ids, ids, rows, table, 5)
     finally:
         vector_search.inner = plain_inner
     assert evaluated < 5 * len(rows) * 0.2

@@ -94,13 +94,13 @@ def tile(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], lengt
 class ItemTables:
     """Items and, for each length of seeds, the sorted hashes of their runs."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[np.ndarray]
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], seed: int) -> ItemTables:
-        held = [(i, t) for i, text in rows if i is not None and len(t := tokens(text))]
+    def of(cls, rows: list[tuple[int | None, str | None]], seed: int) -> ItemTables:
+        held = [(i, t) for i, text in rows if len(t := tokens(text))]
         ids, texts = [i for i, _ in held], [t for _, t in held]
         by_length: dict[int, list[int]] = defaultdict(list)
         for number, text in enumerate(texts):
@@ -115,7 +115,7 @@ class ItemTables:
             tables[length] = keys[order], owner[order], place[order]
         return cls(ids, texts, tables)
 
-    def matches(self, text: str | None, least: float) -> Iterator[tuple[int, float, int, int, int]]:
+    def matches(self, text: str | None, least: float) -> Iterator[tuple[int | None, float, int, int, int]]:
         """Items covered to at least ``least``: id, coverage, covered tokens, tokens, tiles."""
         words = tokens(text)
         for length, (keys, owner, place) in self.tables.items():
@@ -142,12 +142,12 @@ class ItemTables:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, seed: int, block_chars: int) -> Iterator[ItemTables]:
-    """The benchmark in blocks of about ``block_chars`` characters each."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+    """The benchmark in blocks of about ``block_chars`` characters each; repeated items count once."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // block_chars))
     for number in range(count):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == number)
+        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == number)
         yield ItemTables.of([(row["item"], row["text"]) for row in mine.collect()], seed)
 
 
@@ -166,8 +166,9 @@ def leaks(
 
     One row for each document and item of which at least ``coverage`` of the
     tokens are tiled.  An item of fewer tokens than ``seed`` has to occur whole;
-    one without tokens, and null or empty texts, match nothing.  Repeated rows
-    give repeated results.  Documents are read as they come, without a shuffle;
+    one without tokens, and null or empty texts, match nothing.  An item without
+    an id is reported with a null one; different items of one id are reported
+    each.  Repeated documents give repeated results, repeated items don't.  Documents are read as they come, without a shuffle;
     a benchmark beyond ``block_chars`` characters is worked through in blocks.
     Other columns are ignored.
     """
@@ -204,7 +205,12 @@ def decontaminate(
     item_text_col: str = "text",
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """``docs`` without those that hold a test item; no shuffle, all columns stay."""
+    """``docs`` without those that hold a test item (see ``leaks``), whether it has an id or not.
+
+    No shuffle; all columns stay, whatever their names.  Documents with null or
+    empty texts stay, repeated rows stay or go together, and without items all
+    documents stay.
+    """
     context = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
 

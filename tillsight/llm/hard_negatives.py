@@ -17,20 +17,15 @@ hands on as many rows as are asked for; windows over these pick the result.
 from __future__ import annotations
 
 import math
-import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import Scratch
 from .vector_search import quantised, usable
 
-# The functions travel with their tasks, so workers need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Primes are taken downwards from here.
 LARGEST_PRIME = 251
 ANCHOR_BLOCK, CANDIDATE_BLOCK = 16384, 8192

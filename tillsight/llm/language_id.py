@@ -48,17 +48,28 @@ OUTPUT = [
 ]
 
 
-@functools.cache
-def _folding() -> np.ndarray:
-    """Code points to the small form of a letter, or to a space."""
-    return np.array(
-        [ord(c.lower()[0]) if (c := chr(i)).isalpha() else SPACE for i in range(0x110000)], dtype=np.uint32
-    )
+def _folded(code: int) -> int:
+    """The small form of a letter, or a space."""
+    sign = chr(code)
+    return ord(sign.lower()[0]) if sign.isalpha() else SPACE
+
+
+# Code points that most texts consist of.
+_FOLDING = np.array([_folded(code) for code in range(0x3000)], dtype=np.uint32)
+
+
+def _folded_codes(codes: np.ndarray) -> np.ndarray:
+    high = codes >= len(_FOLDING)
+    out = _FOLDING[np.where(high, SPACE, codes)]
+    if high.any():
+        found, at = np.unique(codes[high], return_inverse=True)
+        out[high] = np.array([_folded(int(code)) for code in found], np.uint32)[at]
+    return out
 
 
 def letters(text: str) -> np.ndarray:
     """Small letters with one space between words, behind the spaces that start a text; empty without a letter."""
-    codes = _folding()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    codes = _folded_codes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
     blank = codes == SPACE
     keep = ~blank
     keep[1:] |= ~blank[:-1]
@@ -340,7 +351,9 @@ def fit(
         return build(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     shares = [part for lang, n in numbers.items() for part in (F.lit(lang), F.lit(min(1.0, train_docs / n)))]
     sample = rows.where(F.col("draw") < F.create_map(*shares)[F.col("lang")] * float(1 << 30)).cache()
-    held = F.col("draw") % CALIBRATE_EVERY == 0
+    # Languages with few documents are learned from all of them and get no limit of their own.
+    many = [lang for lang, n in numbers.items() if n >= CALIBRATE_EVERY * LEAST_TEXTS]
+    held = (F.col("draw") % CALIBRATE_EVERY == 0) & F.col("lang").isin(*many)
     grams = sample.where(~held).select("lang", "text").mapInPandas(_gram_batches, "lang string, gram string, n long")
     by_order = [grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))]
     for _ in range(ORDER - 1):  # lower orders count the characters that a gram follows

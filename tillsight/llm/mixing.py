@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import Scratch
 
-# Sweeps that are always made.  More follow until no value's share of the sample
-# is further than TOLERANCE from its target, as long as they bring the largest
-# distance down (targets that need a probability above 1 are never met).
+# Sweeps that are always made, by default.  More follow until no value's share of
+# the sample is further than TOLERANCE from its target, as long as they bring the
+# largest distance down (targets that need a probability above 1 are never met),
+# and MOST_SWEEPS at most.
 SWEEPS = 8
 TOLERANCE = 1e-3
 LEAST_GAIN = 1e-6
@@ -151,25 +152,31 @@ def sample(
     ``mix_weight`` (1 / probability) makes sums over the sample estimate sums
     over all rows.  Null sources, languages and topics are the value
     ``(none)``.  Null and empty texts have no tokens; they are drawn with the
-    probability of their cell.  Rows that repeat an id are drawn together.  An
-    empty table gives an empty sample.  The sums are formed before the shuffle;
-    the rows themselves only meet the table of cells.
+    probability of their cell.  Rows that repeat an id are drawn together, and so
+    are those without one.  Columns of ``docs`` that have one of the four names
+    give way to the new ones; others may have any name.  An empty table gives an
+    empty sample.  The sums are formed before the shuffle; the rows themselves
+    only meet the table of cells.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    placed = docs.withColumns(
-        {
-            "mix_source": F.coalesce(F.col(source_col), F.lit(NONE)),
-            "mix_lang": F.coalesce(F.col(lang_col), F.lit(NONE)),
-            "mix_topic": F.coalesce(topic, F.lit(NONE)),
-            "mix_tokens": token_count(F.col(text_col)),
-        }
+    made = ("mix_topic", "mix_tokens", "mix_probability", "mix_weight")
+    own = [c for c in docs.columns if c not in made]
+    names = ["source", "lang", "topic"]
+    placed = docs.select(
+        F.struct(*[docs[f"`{c}`"].alias(c) for c in own]).alias("doc"),
+        F.coalesce(F.col(source_col), F.lit(NONE)).alias("source"),
+        F.coalesce(F.col(lang_col), F.lit(NONE)).alias("lang"),
+        F.coalesce(topic, F.lit(NONE)).alias("topic"),
+        token_count(F.col(text_col)).alias("tokens"),
+        draw(F.col(id_col)).alias("draw"),
     )
-    names = {"source": "mix_source", "lang": "mix_lang", "topic": "mix_topic"}
-    cells = placed.groupBy(*[F.col(c).alias(n) for n, c in names.items()]).agg(F.sum("mix_tokens").alias("tokens"))
-    cells = scratch.table(cells, "cells")
-    fitted = scratch.table(calibrate(cells, list(names), mix, scratch, sweeps), "fitted")
-    rates = fitted.select(*[F.col(n).alias(c) for n, c in names.items()], F.col("probability").alias("mix_probability"))
-    drawn = placed.join(rates, list(names.values())).where(draw(F.col(id_col)) < F.col("mix_probability"))
+    cells = scratch.table(placed.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
+    fitted = scratch.table(calibrate(cells, names, mix, scratch, sweeps), "fitted")
+    drawn = placed.join(fitted.select(*names, "probability"), names).where(F.col("draw") < F.col("probability"))
     return drawn.select(
-        *docs.columns, "mix_topic", "mix_tokens", "mix_probability", F.round(1 / F.col("mix_probability"), 6).alias("mix_weight")
+        *[F.col(f"doc.`{c}`").alias(c) for c in own],
+        F.col("topic").alias("mix_topic"),
+        F.col("tokens").alias("mix_tokens"),
+        F.col("probability").alias("mix_probability"),
+        F.round(1 / F.col("probability"), 6).alias("mix_weight"),
     )

@@ -8,16 +8,18 @@
    are a block.  Bands of sizes fix the number of buckets, and a set signs
    for its own band and for the next.  Within a block those pairs are tied whose
    outlines, counts of tokens by pattern, leave a link possible.
-3. Sets that such ties hold together are partitioned into groups of similar sets
+3. Where such ties hold sets together, fine outlines, with a count for every few
+   tokens, are compared in their place, and only what they leave possible is still
+   tied.  They take a fraction of the room that the sets take.
+4. Sets that are still held together are partitioned into groups of similar sets
    with the union of each group's tokens.  A set's overlap with the union is an
    upper bound of its overlap with any member; only groups whose bound reaches
    what a link needs are opened and their members compared exactly.
-4. Links make components.
+5. Links make components.
 """
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .components import components
 from .storage import Scratch
@@ -39,6 +41,9 @@ FILTER_BITS, FILTER_TURNS = 26, (0, 19, 38)
 GROUP_SETS = 24
 # Counts in the outline of a set, and sets of a block that a task holds.
 OUTLINE, LARGEST_BLOCK = 128, 4096
+# Tokens for each count of a fine outline, and bytes of them that a task holds of
+# each side of a comparison.
+FINE_TOKENS, CHUNK_BYTES = 8, 8_000_000
 # Sets that a task remembers to sign equal ones only once.
 REMEMBERED = 500_000
 # Signatures, or those of 512 sets, that leave a task at a time.
@@ -89,7 +94,6 @@ class Threshold:
         """The least overlap of two linked sets of ``total`` tokens."""
         return -(-self.num * total // (self.num + self.den))
 
-    @functools.cache  # noqa: B019
     def band(self, n: int) -> tuple[int, int, int]:
         """Number of the band of sizes that holds ``n``, its last size, and that of the next band."""
         low, number = 1, 0
@@ -200,7 +204,7 @@ def _numbered(prints: DataFrame) -> DataFrame:
             made = pa.array(np.array(number, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*block.columns, made], [*block.schema.names, "number"])
 
-    return prints.mapInArrow(run, "print binary, node long, copies long, n long, outline binary, number long")
+    return prints.mapInArrow(run, "print binary, first_doc long, copies long, n long, outline binary, number long")
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,9 +239,9 @@ def _outline(tokens: np.ndarray) -> bytes:
 
 def _shared_at_most(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Bounds of the overlaps of sets by their outlines: the smaller count of each pattern."""
-    smaller = np.minimum(one, other).astype(np.int64)
-    smaller[smaller == 255] = 1 << 40  # not counted beyond, so no bound
-    return smaller.sum(axis=1)
+    smaller = np.minimum(one, other)
+    unknown = (smaller == 255).any(axis=1)  # not counted beyond, so no bound
+    return np.where(unknown, 1 << 40, smaller.sum(axis=1, dtype=np.int64))
 
 
 def _tied(outlines: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
@@ -332,6 +336,60 @@ def _filter_of(ids: DataFrame) -> IdFilter:
     return IdFilter(out, shift)
 
 
+def _fine_outline(tokens: np.ndarray) -> bytes:
+    """How many tokens of a set start with each bit pattern; 255 means that many or more.
+
+    The number of patterns is a power of 2 and grows with the set.
+    """
+    bits = max(7, (len(tokens) // FINE_TOKENS).bit_length())
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _coarser(outline: np.ndarray, patterns: int) -> np.ndarray:
+    """An outline with fewer patterns; a count that isn't known stays unknown."""
+    parts = outline.reshape(patterns, -1).astype(np.int64)
+    return np.where((parts == 255).any(axis=1), 255, np.minimum(parts.sum(axis=1), 254)) if parts.shape[1] > 1 else outline
+
+
+def _finely_tied(threshold: Threshold):
+    """A forest over the sets of one cell that ties all pairs whose fine outlines leave a link possible."""
+
+    def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        _, first, second = key
+        edges: list[tuple[int, int]] = []
+        for _, part in cell.groupby("group", sort=False):
+            part = part.drop_duplicates("node").sort_values("n", kind="stable")
+            sizes, nodes = part["n"].to_numpy(), part["node"].to_numpy()
+            side = part["chunk"].to_numpy()
+            outlines = [np.frombuffer(o, np.uint8) for o in part["packed"]]
+            # Sets of one length stand in one matrix, at most one step finer than asked for.
+            patterns = np.array([len(o) for o in outlines])
+            rows = {p: np.flatnonzero(patterns == p) for p in np.unique(patterns)}
+            stacked = {p: np.stack([outlines[i] for i in at]) for p, at in rows.items()}
+            label = np.arange(len(sizes))
+            for i in range(1, len(sizes)):
+                low = np.searchsorted(sizes, threshold.least_size(int(sizes[i])))
+                for p, at in rows.items():
+                    if p > patterns[i]:
+                        continue
+                    near = at[(at >= low) & (at < i)]
+                    near = near[label[near] != label[i]]
+                    if first != second:
+                        near = near[side[near] != side[i]]
+                    if not len(near):
+                        continue
+                    own = _coarser(outlines[i], p)
+                    bound = _shared_at_most(stacked[p][np.searchsorted(at, near)], own)
+                    for other in near[bound >= threshold.needed(sizes[near] + sizes[i])]:
+                        if label[other] != label[i]:
+                            edges.append((int(nodes[i]), int(nodes[other])))
+                            label[label == label[other]] = label[i]
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 class _Index:
     """Sorted tokens with the number of the set that each belongs to."""
 
@@ -393,8 +451,8 @@ def _verified(threshold: Threshold):
         out: list[tuple[int, int, int]] = []
         _, first, second = key
         for _, part in cell.groupby("group", sort=False):
-            part = part.drop_duplicates(["node", "print"])
-            sets = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
+            part = part.drop_duplicates("node")
+            sets = [np.frombuffer(t, np.uint64) for t in part["packed"]]
             nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
             side = None if first == second else part["chunk"].to_numpy()
             parent = list(range(len(sets)))
@@ -407,7 +465,6 @@ def _verified(threshold: Threshold):
 
             links = np.zeros(len(sets), np.int64)
             for query, others in linked_pairs(sets, threshold, side):
-                others = others[nodes[others] != nodes[query]]
                 links[query] += copies[others].sum()
                 links[others] += copies[query]
                 for other in others:
@@ -420,117 +477,161 @@ def _verified(threshold: Threshold):
     return run
 
 
-def join(
-    docs: DataFrame,
-    words: int = WORDS,
-    threshold: Threshold = Threshold(),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    chunk_tokens: int = CHUNK_TOKENS,
-    scratch: Scratch | None = None,
-) -> DataFrame:
-    """Every document with its component: doc_id, n_shingles, component_id, n_links.
-
-    ``component_id`` is the smallest id that links lead to, ``n_links`` the
-    number of other documents a document links to directly, equal ones
-    included.  A document without words has no tokens, no links and its own id.
-    A row without an id gets the component of the documents with the same
-    tokens (null if there is none) and counts as no document.  Rows that repeat
-    an id stay rows of the result, and their texts count as one node of the
-    graph.  Other columns are ignored; an empty table gives an empty result.
+def _packed(texts: DataFrame, candidates: DataFrame, words: int, pack) -> DataFrame:
+    """doc_id, print and what ``pack`` makes of the set, of the documents that may stand for candidates.
 
-    A task compares at most about ``chunk_tokens`` tokens with as many others:
-    candidates that hang together beyond that are dealt to chunks, and every
-    pair of chunks is a task of its own.
+    Few documents are candidates: only their sets are made and go into a join.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profiles = scratch.table(_profiles(texts, words), "profiles")
-    sets = (
-        profiles.where("print IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("print")
-        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline"))
-    )
-    sets = scratch.table(_numbered(sets), "sets")
+    wanted = texts.sparkSession.sparkContext.broadcast(_filter_of(candidates.select("first_doc")))
 
-    signed = _signed(texts, words, threshold)
-    members = signed.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(_members, "mark long, node long")
-    outlined = members.join(sets.select(F.col("number").alias("node"), "n", "outline"), "node")
-    ties = outlined.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(
-        _forests(threshold), "a long, b long"
-    )
-    hanging = components(ties, scratch, "candidates").withColumnRenamed("node", "number")
-    candidates = hanging.join(sets, "number").select(F.col("component").alias("group"), "node", "print", "copies", "n")
-    candidates = scratch.table(candidates, "groups")
-    sizes = candidates.groupBy("group").agg(F.sum("n").alias("tokens"))
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    # Small groups share a task; large ones are cut into chunks.
-    shared = max(1, -(-total // chunk_tokens))
-    sizes = sizes.select(
-        "group",
-        F.ceil(F.col("tokens") / chunk_tokens).cast("int").alias("chunks"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in batches:
+            some = block.filter(pa.array(wanted.value.holds(block.column(2).to_numpy()), pa.bool_()))
+            sets = [shingles(text, words) for text in some.column(1).to_pylist()]
+            prints = pa.array([_fingerprint(tokens) for tokens in sets], pa.binary())
+            made = pa.array([pack(tokens) for tokens in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), prints, made], ["doc_id", "print", "packed"])
+
+    return (
+        texts.where("doc_id IS NOT NULL")
+        .withColumn("draw", F.xxhash64("doc_id"))
+        .mapInArrow(run, "doc_id long, print binary, packed binary")
     )
-    placed = candidates.join(sizes, "group").select(
-        F.col("node").alias("doc_id"),
+
+
+def _grid(candidates: DataFrame, size, chunk: int, packed: DataFrame) -> DataFrame:
+    """The candidates' sets as the cells (task, first, second) of their comparisons.
+
+    Groups of up to ``chunk`` share tasks; larger ones are cut into chunks, and
+    each pair of chunks is a cell of its own, in which ``second`` is one more than
+    the second chunk.
+    """
+    sized = candidates.withColumn("size", size)
+    groups = sized.groupBy("group").agg(F.sum("size").alias("size"))
+    shared = max(1, -(-int(groups.agg(F.sum("size")).first()[0] or 0) // chunk))
+    groups = groups.select("group", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
+    placed = candidates.join(groups, "group").select(
+        F.col("first_doc").alias("doc_id"),
+        "node",
         "group",
         "copies",
+        "n",
         "print",
         F.pmod(F.xxhash64("print"), F.col("chunks")).cast("int").alias("chunk"),
         "chunks",
     )
-
-    # Few documents are candidates: only their sets go into the join.
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(candidates.select("node")))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in batches:
-            some = block.filter(pa.array(wanted.value.holds(block.column(2).to_numpy()), pa.bool_()))
-            sets = [shingles(text, words).tobytes() for text in some.column(1).to_pylist()]
-            prints = [xxhash.xxh3_128_digest(tokens) for tokens in sets]
-            yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())],
-                ["doc_id", "print", "tokens"],
-            )
-
-    packed = (
-        texts.where("doc_id IS NOT NULL")
-        .withColumn("draw", F.xxhash64("doc_id"))
-        .mapInArrow(pack, "doc_id long, print binary, tokens binary")
-    )
     # Another text of the same id is another set.
-    held = packed.join(placed, ["doc_id", "print"]).withColumnRenamed("doc_id", "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = held.select("*", other.alias("other"))
-    cells = spread.select(
+    held = packed.join(placed, ["doc_id", "print"])
+    spread = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return spread.select(
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("group"), F.lit(shared))).otherwise(F.col("group")).alias("task"),
         F.least("chunk", "other").alias("first"),
         # Tasks of small groups and of large ones never meet.
-        F.when(F.col("chunks") == 1, 0).otherwise(F.greatest("chunk", "other") + 1).alias("second_or_none"),
+        F.when(F.col("chunks") == 1, 0).otherwise(F.greatest("chunk", "other") + 1).alias("second"),
         "group",
         "node",
-        "print",
         "copies",
+        "n",
         "chunk",
-        "tokens",
+        "packed",
     )
 
-    compare = _verified(threshold)
+
+def _in_cell(compare):
+    """``compare`` with a cell's key: task, first and second chunk, the same twice for small groups."""
 
     def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
         task, first, second = key
         return compare((task, first, first if second == 0 else second - 1), cell)
 
-    found = cells.groupBy("task", "first", "second_or_none").applyInPandas(run, "node long, tied long, links long")
+    return run
+
+
+def _profiled(docs: DataFrame, words: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text of all rows, and their profiles."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts, scratch.table(_profiles(texts, words), "profiles")
+
+
+def _linked_sets(
+    texts: DataFrame, profiles: DataFrame, words: int, threshold: Threshold, chunk_tokens: int, scratch: Scratch
+) -> DataFrame:
+    """Every set of a row with an id: print, first_doc, copies, component and links.
+
+    ``component`` is the first document, and of several sets of that one the first
+    fingerprint, of the sets that links lead to.
+    """
+    sets = (
+        profiles.where("print IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("print")
+        .agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("outline").alias("outline"))
+    )
+    sets = scratch.table(_numbered(sets).withColumn("node", F.monotonically_increasing_id()), "sets")
+
+    signed = _signed(texts, words, threshold)
+    members = signed.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(_members, "mark long, node long")
+    outlined = members.join(sets.select(F.col("number").alias("node"), "n", "outline"), "node")
+    ties = outlined.repartition("mark").sortWithinPartitions("mark", "node").mapInPandas(
+        _forests(threshold), "a long, b long"
+    )
+    hanging = components(ties, scratch, "candidates").withColumnRenamed("node", "number")
+    kept = ("node", "first_doc", "print", "copies", "n")
+    candidates = hanging.join(sets, "number").select(F.col("component").alias("group"), *kept)
+    candidates = scratch.table(candidates, "candidates-coarse")
+
+    bytes_of = F.greatest(F.lit(OUTLINE), F.col("n") * 2 / FINE_TOKENS)
+    cells = _grid(candidates, bytes_of, CHUNK_BYTES, _packed(texts, candidates, words, _fine_outline))
+    finer = cells.groupBy("task", "first", "second").applyInPandas(_in_cell(_finely_tied(threshold)), "a long, b long")
+    closer = components(finer, scratch, "closer")
+    candidates = closer.join(candidates.drop("group"), "node").select(F.col("component").alias("group"), *kept)
+    candidates = scratch.table(candidates, "groups")
+    scratch.drop("candidates-coarse")
+
+    cells = _grid(candidates, F.col("n"), chunk_tokens, _packed(texts, candidates, words, np.ndarray.tobytes))
+    found = cells.groupBy("task", "first", "second").applyInPandas(
+        _in_cell(_verified(threshold)), "node long, tied long, links long"
+    )
     found = scratch.table(found, "links")
     scratch.drop("groups")
     joined = components(found.select(F.col("node").alias("a"), F.col("tied").alias("b")), scratch, "linked")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of_sets = sets.join(joined, "node", "left").join(counts, "node", "left")
-    of_sets = of_sets.select(
+    grouped = sets.select("node", "print", "first_doc", "copies").join(joined, "node", "left").join(counts, "node", "left")
+    whole = F.coalesce("component", "node")
+    firsts = grouped.groupBy(whole.alias("whole")).agg(F.min(F.struct("first_doc", "print")).alias("first"))
+    return grouped.withColumn("whole", whole).join(firsts, "whole").select(
         "print",
-        F.coalesce("component", "node").alias("component_id"),
+        F.col("first.first_doc").alias("component_id"),
+        F.col("first.print").alias("component_print"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
+
+
+def join(
+    docs: DataFrame,
+    words: int = WORDS,
+    threshold: Threshold = Threshold(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk_tokens: int = CHUNK_TOKENS,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """Every document with its component: doc_id, n_shingles, component_id, n_links.
+
+    ``component_id`` is the smallest id that links lead to, ``n_links`` the
+    number of other documents a document links to directly, equal ones
+    included.  A document without words has no tokens, no links and its own id.
+    A row without an id gets the component of the documents with the same
+    tokens (null if there is none) and counts as no document.  Rows that share
+    an id are documents of their own, and may belong to different components.
+    Other columns are ignored; an empty table gives an empty result.
+
+    A task compares at most about ``chunk_tokens`` tokens with as many others:
+    candidates that hang together beyond that are dealt to chunks, and every
+    pair of chunks is a task of its own.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
+    texts, profiles = _profiled(docs, words, id_col, text_col, scratch)
+    of_sets = _linked_sets(texts, profiles, words, threshold, chunk_tokens, scratch).drop("component_print")
     return profiles.select("doc_id", "n", "print").join(of_sets, "print", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -542,28 +643,42 @@ def join(
 def keep_one(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold(80, 100), scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id stay.  Only rows
-    that go, or whose id is repeated, meet in a shuffle.
+    Different texts of one id are different documents.  Of rows with the same id
+    and the same tokens one stays, that with the smallest text; rows without an id
+    stay, and so do those without words, but for repeated ones of an id.  Only
+    rows that go, or whose id is repeated, meet in a shuffle.
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
-    found = scratch.table(join(docs, words, threshold, scratch=scratch).select("doc_id", "component_id"), "found")
-    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.count("*").alias("rows"), F.min("component_id").alias("component_id")
-    )
-    doubtful = scratch.table(ids.where("rows > 1 OR doc_id <> component_id"), "doubtful")
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(doubtful.select("doc_id")))
-
-    def part(inside: bool) -> DataFrame:
+    texts, profiles = _profiled(docs, words, "doc_id", "text", scratch)
+    of_sets = _linked_sets(texts, profiles, words, threshold, CHUNK_TOKENS, scratch)
+    stays = F.col("print").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("print") == F.col("component_print")))
+    found = profiles.where("doc_id IS NOT NULL").select("doc_id", "print").join(of_sets, "print", "left")
+    found = scratch.table(found.select("doc_id", "print", stays.alias("stays")), "found")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.every("stays").alias("stays"))
+    doubtful = scratch.table(ids.where("rows > 1 OR NOT stays").select("doc_id"), "doubtful")
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(doubtful))
+    # Names that no column has.
+    longest = max(docs.columns, key=len)
+    draw, mark, place = f"{longest}_draw", f"{longest}_print", f"{longest}_place"
+    at = docs.columns.index("text")
+
+    def part(inside: bool, made: T.StructType) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in batches:
                 held = wanted.value.holds(block.column(block.num_columns - 1).to_numpy())
-                rows = block.filter(pa.array(held if inside else ~held, pa.bool_()))
-                yield pa.RecordBatch.from_arrays(rows.columns[:-1], rows.schema.names[:-1])
-
-        draw = max(docs.columns, key=len) + "_draw"  # a name that no column has
-        named = docs.where("doc_id IS NOT NULL").withColumn(draw, F.xxhash64("doc_id"))
-        return named.mapInArrow(run, docs.schema)
-
-    gone = doubtful.where("doc_id <> component_id").select("doc_id")
-    kept = part(True).join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-    return part(False).unionByName(kept).unionByName(docs.where("doc_id IS NULL"))
+                some = block.filter(pa.array(held if inside else ~held, pa.bool_()))
+                columns, names = some.columns[:-1], some.schema.names[:-1]
+                if inside:
+                    prints = [_fingerprint(shingles(text, words)) for text in some.column(at).to_pylist()]
+                    columns, names = [*columns, pa.array(prints, pa.binary())], [*names, mark]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        named = docs.where("doc_id IS NOT NULL").withColumn(draw, F.xxhash64(F.col("doc_id").cast("long")))
+        return named.mapInArrow(run, made)
+
+    marked = part(True, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
+    gone = found.where("NOT stays").select(F.col("doc_id").alias(place), F.col("print").alias(draw)).distinct()
+    left = marked.join(gone, (F.col("doc_id") == F.col(place)) & (F.col(mark) == F.col(draw)), "left_anti")
+    first = Window.partitionBy("doc_id", mark).orderBy("text")
+    kept = left.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])
+    return part(False, docs.schema).unionByName(kept).unionByName(docs.where("doc_id IS NULL"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .merkle import FANOUT
-from .mixing import NONE, PLACES, SWEEPS
+from .mixing import LEAST_GAIN, MOST_SWEEPS, NONE, PLACES, STRIDE, SWEEPS, TOLERANCE
 from .queries import INJECTED, MIX, URL_RULES
 from .sketch import MULTIPLIERS, PRIME, SCALE
-from .url_filter import DAMPING, ITERATIONS, THRESHOLD
+from .url_filter import DAMPING, STRIDE as ROUNDS, THRESHOLD, TOLERANCE as SETTLED
 
 
 def _url_filter() -> str:
@@ -17,16 +17,7 @@ def _url_filter() -> str:
     rule = " ".join(f"WHEN {f} THEN '{r}'" for f, r in zip(fits, ordered, strict=True))
     verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, ordered, strict=True))
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-    steps = []
-    for n in range(ITERATIONS):
-        steps.append(
-            f"""r{n + 1} AS MATERIALIZED (
-  SELECT s.kind, s.host, {1 - DAMPING} * s.seed + {DAMPING} * coalesce(sum(r.rank * g.part), 0) AS rank
-  FROM seeds s LEFT JOIN graph g ON g.kind = s.kind AND g.target = s.host
-  LEFT JOIN r{n} r ON r.kind = g.kind AND r.host = g.origin
-  GROUP BY s.kind, s.host, s.seed)"""
-        )
-    return f"""WITH cut AS (
+    return f"""WITH RECURSIVE cut AS (
   SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 located AS (
@@ -40,8 +31,9 @@ hosts AS MATERIALIZED (
          count(*) AS pages
   FROM judged WHERE host <> '' GROUP BY host),
 links AS (
-  SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS link
-  FROM located WHERE host <> ''),
+  SELECT host AS src, regexp_replace(found, '(?i)^href\\s*=\\s*["'']?|["'']$', '', 'g') AS link FROM (
+    SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s"''>]+)', 0)) AS found
+    FROM located WHERE host <> '')),
 targets AS (
   SELECT src, CASE WHEN starts_with(link, '//') THEN translate(regexp_extract(link, '^//([^/?#]*)', 1), {letters})
     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://')
@@ -64,11 +56,21 @@ graph AS MATERIALIZED (
   UNION ALL
   SELECT s.kind, s.host, s.host, 1.0 FROM seeds s
   WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.kind = s.kind AND w.origin = s.host)),
-r0 AS (SELECT kind, host, seed AS rank FROM seeds),
-{",".join(steps)},
+rounds AS (
+  SELECT kind, host, seed, seed AS rank, 0 AS done, false AS stop FROM seeds
+  UNION ALL
+  SELECT kind, host, seed, rank, done, done % {ROUNDS} = 0 AND max(change) OVER () <= {SETTLED} AS stop FROM (
+    SELECT *, sum(abs(rank - before)) OVER (PARTITION BY kind) AS change FROM (
+      SELECT r.kind, r.host, r.seed, r.rank AS before, r.done + 1 AS done,
+        {1 - DAMPING} * r.seed + {DAMPING} * coalesce(i.inflow, 0) AS rank
+      FROM rounds r LEFT JOIN (
+        SELECT g.kind, g.target, sum(x.rank * g.part) AS inflow
+        FROM graph g JOIN rounds x ON x.kind = g.kind AND x.host = g.origin GROUP BY g.kind, g.target) i
+        ON i.kind = r.kind AND i.target = r.host
+      WHERE NOT r.stop))),
 ranks AS (
   SELECT host, sum(rank) FILTER (kind = 'distrust') - sum(rank) FILTER (kind = 'trust') AS excess
-  FROM r{ITERATIONS} GROUP BY host)
+  FROM rounds WHERE stop GROUP BY host)
 SELECT j.page_id, j.host, j.path, j.rule,
   coalesce(j.by_rule, CASE WHEN r.excess > {THRESHOLD} * h.pages / (SELECT sum(pages) FROM hosts) THEN 'block' END, 'allow')
     AS verdict,
@@ -92,14 +94,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
-_VECTOR_SEARCH = """WITH points AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+_VECTOR_SEARCH = """WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM points q JOIN points c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM points q JOIN points c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 5"""
 
 
@@ -126,42 +129,55 @@ FROM sets s JOIN smallest m ON m.a = s.doc_id"""
 
 
 def _mixing() -> str:
+    """Each step of the recursion is a stride of sweeps; the last one's best cells are the fit."""
     weights = " ".join(f"WHEN '{lang}' THEN {weight}" for lang, weight in MIX.weights["lang"].items())
     raw = {
         "source": f"pow(of_source, {MIX.flatten['source']})",
-        "lang": f"CASE lang {weights} ELSE 0 END",
+        "lang": f"CASE lang {weights} END",
         "topic": f"pow(of_topic, {MIX.flatten['topic']})",
     }
-    steps, last = [], "c0"
-    for sweep in range(SWEEPS):
-        for dimension in raw:
-            name = f"c{sweep + 1}_{dimension}"
-            steps.append(
-                f"""{name} AS MATERIALIZED (
-  SELECT * REPLACE (CASE WHEN drawn > 0 THEN least(1.0, p * w_{dimension} / drawn) ELSE p END AS p) FROM (
-    SELECT * EXCLUDE (drawn), sum(p * tokens) OVER (PARTITION BY {dimension}) AS drawn FROM {last}))"""
-            )
-            last = name
-    scaled = ", ".join(
-        f"{MIX.rate} * (SELECT sum(tokens) FROM cells) * w_{d} / sum(CASE WHEN of_{d} > 0 THEN w_{d} * tokens / of_{d} END) OVER () AS w_{d}"
-        for d in raw
+    scaled = []
+    for d in raw:
+        named = f"sum(CASE WHEN of_{d} > 0 THEN raw_{d} * tokens / of_{d} END) OVER ()"
+        rest = f"coalesce(sum(tokens) FILTER (raw_{d} IS NULL AND of_{d} > 0) OVER (), 0)"
+        scaled.append(f"coalesce(raw_{d} * coalesce({MIX.rate} * (total - {rest}) / nullif({named}, 0), 0), {MIX.rate} * of_{d}) AS w_{d}")
+    swept = "raked"
+    for _ in range(STRIDE):
+        for d in raw:
+            swept = f"""(SELECT * REPLACE (CASE WHEN drawn > 0 THEN least(1.0, p * w_{d} / drawn) ELSE p END AS p) FROM (
+    SELECT * EXCLUDE (drawn), sum(p * tokens) OVER (PARTITION BY {d}) AS drawn FROM {swept}))"""
+    gaps = ", ".join(
+        f"CASE WHEN of_{d} > 0 THEN abs(sum(p * tokens) OVER (PARTITION BY {d}) - w_{d}) / ({MIX.rate} * total) END" for d in raw
     )
-    return f"""WITH placed AS MATERIALIZED (
+    return f"""WITH RECURSIVE placed AS MATERIALIZED (
   SELECT doc_id, source, lang, coalesce(source, '{NONE}') AS m_source, coalesce(lang, '{NONE}') AS m_lang,
     CASE WHEN contains(text, 'Licensed under') THEN 'licensed' WHEN contains(text, ' | ') THEN 'table'
       WHEN regexp_matches(text, '[!#$%&*][!#$%&*]') THEN 'marked' ELSE 'prose' END AS m_topic,
     coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS n
   FROM documents),
-cells AS MATERIALIZED (
+cells AS (
   SELECT m_source AS source, m_lang AS lang, m_topic AS topic, sum(n)::DOUBLE AS tokens FROM placed GROUP BY ALL),
 totals AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source) AS of_source, sum(tokens) OVER (PARTITION BY lang) AS of_lang,
-    sum(tokens) OVER (PARTITION BY topic) AS of_topic FROM cells),
-weighted AS (SELECT *, {", ".join(f"{e} AS w_{d}" for d, e in raw.items())} FROM totals),
-c0 AS MATERIALIZED (
-  SELECT source, lang, topic, tokens, {MIX.rate}::DOUBLE AS p, 0::DOUBLE AS drawn, {scaled} FROM weighted),
-{",".join(steps)},
-fitted AS (SELECT source, lang, topic, round(p, {PLACES}) AS p FROM {last})
+    sum(tokens) OVER (PARTITION BY topic) AS of_topic, sum(tokens) OVER () AS total FROM cells),
+weighted AS (SELECT *, {", ".join(f"{e} AS raw_{d}" for d, e in raw.items())} FROM totals),
+start AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, total, of_source, of_lang, of_topic, {", ".join(scaled)} FROM weighted),
+raked AS (
+  SELECT *, {MIX.rate}::DOUBLE AS p, {MIX.rate}::DOUBLE AS best, 0 AS done, NULL::DOUBLE AS gap, total = 0 AS stop, 0::DOUBLE AS drawn
+  FROM start
+  UNION ALL
+  SELECT * EXCLUDE (cell_gap, new_gap) REPLACE (
+    CASE WHEN done < {SWEEPS} OR gap - new_gap < {LEAST_GAIN} THEN best ELSE p END AS best,
+    CASE WHEN done < {SWEEPS} OR gap - new_gap < {LEAST_GAIN} THEN gap ELSE new_gap END AS gap,
+    CASE WHEN done < {SWEEPS} THEN false ELSE coalesce(gap - new_gap < {LEAST_GAIN}, false) OR new_gap <= {TOLERANCE} OR done >= {MOST_SWEEPS} END AS stop)
+  FROM (
+    SELECT *, max(cell_gap) OVER () AS new_gap FROM (
+      SELECT * REPLACE (done + {STRIDE} AS done), greatest(0.0, {gaps}) AS cell_gap FROM {swept} AS swept WHERE NOT stop)
+    ) AS judged (source, lang, topic, tokens, total, of_source, of_lang, of_topic, w_source, w_lang, w_topic,
+                 p, best, done, gap, stop, drawn, cell_gap, new_gap)),
+fitted AS (
+  SELECT source, lang, topic, CASE WHEN best > 0 THEN greatest(round(best, {PLACES}), 1e-{PLACES}) ELSE 0 END AS p FROM raked WHERE stop)
 SELECT d.doc_id, d.source, d.lang, d.m_topic AS mix_topic, d.n AS mix_tokens, f.p AS mix_probability,
   round(1 / f.p, 6) AS mix_weight
 FROM placed d JOIN fitted f ON f.source = d.m_source AND f.lang = d.m_lang AND f.topic = d.m_topic

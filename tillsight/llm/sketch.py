@@ -13,20 +13,15 @@ place, modulo a prime; a word's value are the first 32 bits of its MD5.
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import Scratch
 
-# The functions travel with their tasks, so workers need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 WORDS = 5
 # One hash in so many is kept.
 SCALE = 16

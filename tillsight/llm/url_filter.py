@@ -16,11 +16,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .storage import Scratch
 
 DAMPING = 0.85
-ITERATIONS = 10
-# Iterations that one plan holds before the ranks are written.
+# Ranks are iterated until a round changes them by no more than this in total, of
+# either kind, which sum to 1; damping bounds the rounds that takes.
+TOLERANCE = 1e-6
+# Iterations that one plan holds before the ranks are written and compared.
 STRIDE = 5
 THRESHOLD = 0.5
-HREF = r"""(?i)href\s*=\s*["']([^"']*)["']"""
+# An attribute's value stands in quotes of either kind, or ends at white space.
+HREF = r"""(?i)href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF_AROUND = r"""(?i)^href\s*=\s*["']?|["']$"""
 
 
 @dataclass(frozen=True)
@@ -69,9 +73,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     ``pages`` has host and html.  A link without a host of its own leads to
     the page's host; anchors, scripts and mail addresses are no links.
     """
-    link = pages.where("host != ''").select(
-        F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link")
+    found = pages.where("host != ''").select(
+        F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(0))).alias("found")
     )
+    link = found.select("src", F.regexp_replace("found", HREF_AROUND, "").alias("link"))
     link = link.where(~F.lower("link").rlike(r"^\s*(#|javascript:|mailto:|data:|tel:)"))
     full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
     is_full = full.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
@@ -80,13 +85,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    hosts: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, iterations: int = ITERATIONS
+    hosts: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """Trust and distrust of every host: host, trust, distrust.
 
     ``hosts`` has host, allowed and blocked (numbers of pages so judged).  A
     host without outgoing (for distrust: incoming) links keeps its rank, as if
     it linked to itself.  Without seeds of a kind all ranks of that kind are 0.
+
+    A round changes the ranks by at most ``damping`` times what the one before
+    changed, so they settle, however long the paths are.
     """
     way = F.explode(
         F.array(
@@ -117,22 +125,26 @@ def propagate(
     graph = scratch.table(weighted.union(stuck), "edges")
 
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for done in range(1, iterations + 1):
-        inflow = (
-            ranks.where("rank > 0")
-            .join(graph.withColumnRenamed("from", "host"), ["kind", "host"])
-            .groupBy("kind", F.col("to").alias("host"))
-            .agg(F.sum(F.col("rank") * F.col("part")).alias("inflow"))
-        )
-        ranks = seeds.join(inflow, ["kind", "host"], "left").select(
-            "kind",
-            "host",
-            ((1 - damping) * F.col("seed") + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"),
-        )
-        if done % STRIDE == 0 and done < iterations:
-            ranks = scratch.table(ranks, f"ranks-{done}")
-            if done > STRIDE:
-                scratch.drop(f"ranks-{done - STRIDE}")
+    done, change = 0, 1.0
+    while change > tolerance:
+        for _ in range(STRIDE):
+            done += 1
+            before = ranks.select("kind", "host", F.col("rank").alias("before"))
+            inflow = (
+                ranks.where("rank > 0")
+                .join(graph.withColumnRenamed("from", "host"), ["kind", "host"])
+                .groupBy("kind", F.col("to").alias("host"))
+                .agg(F.sum(F.col("rank") * F.col("part")).alias("inflow"))
+            )
+            rank = (1 - damping) * F.col("seed") + damping * F.coalesce("inflow", F.lit(0.0))
+            ranks = seeds.join(inflow, ["kind", "host"], "left").select("kind", "host", rank.alias("rank"))
+        # Only the last round of a stride is compared with the one before.
+        ranks = ranks.join(before, ["kind", "host"])
+        ranks = scratch.table(ranks, f"ranks-{done}")
+        if done > STRIDE:
+            scratch.drop(f"ranks-{done - STRIDE}")
+        changes = ranks.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"))
+        change = changes.agg(F.max("change")).first()[0] or 0.0
     return ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"),
@@ -140,7 +152,7 @@ def propagate(
 
 
 def judge(
-    pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, iterations: int = ITERATIONS
+    pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """Every page's verdict: page_id, host, path, rule, verdict, by_host.
 
@@ -168,7 +180,7 @@ def judge(
     hosts = scratch.table(hosts, "hosts")
     edges = scratch.table(host_edges(pages.select(host.alias("host"), "html")), "links")
     total = hosts.agg(F.sum("pages")).first()[0] or 1
-    ranks = propagate(hosts.select("host", "allowed", "blocked"), edges, scratch, iterations=iterations)
+    ranks = propagate(hosts.select("host", "allowed", "blocked"), edges, scratch, tolerance=tolerance)
     excess = F.col("distrust") - F.col("trust")
     verdicts = ranks.join(hosts.select("host", "pages"), "host").select(
         "host", F.when(excess > threshold * F.col("pages") / total, "block").otherwise("allow").alias("of_host")

@@ -20,12 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .storage import Scratch
+
 PIVOTS = 32
 PIVOT_POOL = 512
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 16384
 FIRST = 128
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_row long, vec_id long, score long"
 # Sums of products up to here are exact in doubles.
 EXACT = 2.0**53
 
@@ -80,26 +82,28 @@ def inner(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
 
 
 def search_block(
-    query_ids: np.ndarray,
+    query_rows: np.ndarray,
     queries: np.ndarray,
     query_table: np.ndarray,
+    rows: np.ndarray,
     ids: np.ndarray,
     vectors: np.ndarray,
     table: np.ndarray,
     k: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one block for each query, ties to the smaller id.
+    """The k best of one block for each query, ties to the smaller id: the query's row, id and score.
 
-    ``ids`` is ascending.  Bounds get a margin for the rounding of doubles.
+    A query's own row is left out, other rows with its id are not.  Bounds get a
+    margin for the rounding of doubles.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     norms = (vectors.astype(np.float64) ** 2).sum(1)
-    for query_id, query, own in zip(query_ids, queries, query_table, strict=True):
+    for query_row, query, own in zip(query_rows, queries, query_table, strict=True):
         norm = float((query.astype(np.float64) ** 2).sum())
         low = np.abs(table - own).max(axis=1) if table.shape[1] else np.zeros(len(ids))
         top = (norms + norm - low * low) / 2.0
         bound = top + 1.0 + 1e-9 * (norms + norm)
-        bound[ids == query_id] = -np.inf
+        bound[rows == query_row] = -np.inf
         order = np.argsort(-bound, kind="stable") if len(ids) <= FIRST else np.argpartition(-bound, FIRST)[:FIRST]
         order = order[bound[order] > -np.inf]
         best_ids, best = ids[order], inner(vectors[order], query)
@@ -119,20 +123,12 @@ def search_block(
                 scores = np.concatenate([best, inner(vectors[part], query)])
                 rank = np.lexsort((all_ids, -scores))[:k]
                 best_ids, best = all_ids[rank], scores[rank]
-        found.append((np.full(len(best), query_id), best_ids, best))
+        found.append((np.full(len(best), query_row), best_ids, best))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))  # type: ignore[return-value]
 
 
-def _unique(block: pd.DataFrame) -> pd.DataFrame:
-    """One row for each id, the smallest vector of those that share it."""
-    if block["id"].is_unique:
-        return block.sort_values("id")
-    keyed = block.assign(order=block["vector"].map(tuple))
-    return keyed.sort_values(["id", "order"]).drop_duplicates("id").drop(columns="order")
-
-
 def top_k(
     rows: DataFrame,
     is_query: Column,
@@ -143,13 +139,15 @@ def top_k(
     query_block: int = QUERY_BLOCK,
     candidate_block: int = CANDIDATE_BLOCK,
     scale: float = 256.0,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """For each query row its ``k`` best other rows by integer inner product.
 
     Returns query_id long, rank int (from 1), vec_id long, score long.  Vectors
     that are null, or hold null or non-finite components, and rows without an
     id take no part.  Shorter vectors count as filled up with zeros.  Rows that
-    share an id count once.  Scores beyond 64 bits wrap.  An empty table gives
+    share an id are candidates one by one, of each other too, and queries of
+    their own, each with its ranks.  Scores beyond 64 bits wrap.  An empty table gives
     an empty result; other columns are ignored.
 
     The pivots are picked from at most ``PIVOT_POOL`` rows (those with the
@@ -160,7 +158,8 @@ def top_k(
     points = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("id"),
         quantised(F.col(vector_col), scale).alias("vector"),
-        is_query.alias("asks"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"),
+        F.monotonically_increasing_id().alias("row"),
     )
     sizes = points.agg(
         F.count("*").alias("rows"),
@@ -178,35 +177,38 @@ def top_k(
             block["to_pivots"] = list(distances(as_matrix(list(block["vector"]), width), table))
             yield block
 
-    indexed = points.mapInPandas(measured, "id long, vector array<long>, asks boolean, to_pivots array<double>")
+    indexed = points.mapInPandas(measured, "id long, vector array<long>, asks boolean, row long, to_pivots array<double>")
+    scratch = scratch or Scratch(spark, "vector-search")
+    indexed = scratch.table(indexed, "indexed")
 
     def part(count: int) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
 
     def all_of(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     candidates = indexed.select(
-        "id", "vector", "to_pivots", part(candidate_blocks).alias("c"), all_of(query_blocks).alias("q")
+        "row", "id", "vector", "to_pivots", part(candidate_blocks).alias("c"), all_of(query_blocks).alias("q")
     )
     queries = indexed.where("asks").select(
-        "id", "vector", "to_pivots", part(query_blocks).alias("q"), all_of(candidate_blocks).alias("c")
+        "row", "vector", "to_pivots", part(query_blocks).alias("q"), all_of(candidate_blocks).alias("c")
     )
 
     def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        asked, held = _unique(asked), _unique(held)
         found = search_block(
-            asked["id"].to_numpy(),
+            asked["row"].to_numpy(),
             as_matrix(list(asked["vector"]), width),
             np.array(list(asked["to_pivots"]), dtype=np.float64).reshape(len(asked), -1),
+            held["row"].to_numpy(),
             held["id"].to_numpy(),
             as_matrix(list(held["vector"]), width),
             np.array(list(held["to_pivots"]), dtype=np.float64).reshape(len(held), -1),
             k,
         )
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+        return pd.DataFrame(dict(zip(("query_row", "vec_id", "score"), found, strict=True)))
 
     found = queries.groupBy("c", "q").cogroup(candidates.groupBy("c", "q")).applyInPandas(cell, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    named = indexed.where("asks").select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    return ranked.join(named, "query_row").select("query_id", "rank", "vec_id", "score")
