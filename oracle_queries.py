@@ -51,7 +51,7 @@ inventory AS (
 ),
 purchases AS (
   SELECT event_id AS transaction_id, ts, CAST(ts AS DATE) AS day, user_id AS customer_id,
-         user_id % 25 AS employee_id, 1 AS quantity,
+         CAST(user_id % 5 + 101 AS INTEGER) AS branch_id, user_id % 25 AS employee_id, 1 AS quantity,
          CAST(value AS DECIMAL(18,4)) AS gross, CAST(value AS DECIMAL(18,4)) AS net
   FROM events WHERE event_type = 'purchase'
 )
@@ -270,6 +270,35 @@ def _q(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([_SALES, *ctes]) + body
 
 
+def _boosted() -> str:
+    """A hundred rounds of least-squares trees of depth 3 over the months of each band."""
+    sums = "(sums[{1} + 1] - sums[{0} + 1]) / ({1} - {0})"
+    gap = f"({sums.format('p.a', 'c')} - {sums.format('c', 'p.b')})"
+    cut = f"""list_max([{{'gain': (c - p.a) * (p.b - c) * {gap} * {gap}, 'cut': -c}} for c in range(p.a + 1, p.b)])"""
+    levels = "SELECT *, [0, n] AS b0 FROM summed"
+    for k in range(3):
+        parts = f"[{{'a': b{k}[i], 'b': b{k}[i + 1]}} for i in range(1, len(b{k}))]"
+        cuts = f"[-({cut}).cut for p in {parts} if p.b - p.a > 1]"
+        levels = f"SELECT *, list_sort(b{k} || {cuts}) AS b{k + 1} FROM ({levels})"
+    start, end = "list_max([b for b in b3 if b <= i - 1])", "list_min([b for b in b3 if b > i - 1])"
+    return f""", monthly AS (
+  SELECT age_segment AS segment, date_trunc('month', join_date) AS month, count(*) AS customers
+  FROM banded WHERE join_date IS NOT NULL GROUP BY ALL),
+series AS (
+  SELECT segment, coalesce(sum(customers) FILTER (month(month) = 4), 0)::BIGINT AS actual, list(customers::DOUBLE ORDER BY month) AS y,
+    count(*) AS n FROM monthly GROUP BY segment),
+boosted AS (
+  SELECT segment, 0 AS round, n, y, [list_sum(y) / n for v in y] AS f FROM series
+  UNION ALL
+  SELECT segment, round + 1, n, y,
+    [f[i] + 0.1::DOUBLE * ({sums.format(f"({start})", f"({end})")}) for i in range(1, n + 1)]
+  FROM (WITH summed AS (
+      SELECT *, [coalesce(list_sum([y[j] - f[j] for j in range(1, i + 1)]), 0) for i in range(0, n + 1)] AS sums FROM boosted WHERE round < 100)
+    {levels})),
+forecasts AS (
+  SELECT segment, CASE WHEN n >= 3 THEN f[n] ELSE list_sum(y) / n END AS fitted FROM boosted WHERE round = 100)"""
+
+
 _RFM_COLUMNS = """SELECT customer_id, recency, frequency, monetary, recency_score, frequency_score,
        monetary_score, rfm_score, segment FROM rfm"""
 
@@ -341,6 +370,13 @@ ORACLE: dict[str, str] = {
         """SELECT age_segment AS segment, CAST(date_trunc('month', join_date) AS DATE) AS month, count(*) AS customers
         FROM banded WHERE join_date IS NOT NULL GROUP BY ALL"""
     ),
+    "customer_growth_forecast": _q(
+        _boosted() + """
+        SELECT g.segment, coalesce(s.actual, 0) AS actual, round(f.fitted, 6) AS fitted,
+          CASE WHEN coalesce(trunc(f.fitted), 0) < 10 THEN g.floor ELSE trunc(f.fitted)::BIGINT END AS forecast
+        FROM (VALUES ('Adult (41-55)', 122), ('Middle (28-40)', 122), ('Young (19-27)', 91)) g(segment, floor)
+        LEFT JOIN series s ON s.segment = g.segment LEFT JOIN forecasts f ON f.segment = g.segment"""
+    ).replace("WITH", "WITH RECURSIVE", 1),
     "age_segment_quantity": _q(
         """SELECT age_segment, CAST(sum(quantity) AS BIGINT) AS quantity
         FROM sales JOIN banded USING (customer_id) GROUP BY 1"""
@@ -556,6 +592,17 @@ ORACLE: dict[str, str] = {
         """SELECT day, CAST(sum(gross) AS DOUBLE) AS gross_amount, 600.0::DOUBLE AS target, sum(gross) >= 600 AS reached
         FROM purchases GROUP BY day"""
     ),
+    "stream_counted_revenue": _q(
+        """SELECT day, CAST(sum(gross) AS DOUBLE) AS gross_amount, 600.0::DOUBLE AS target, sum(gross) >= 600 AS reached
+        FROM purchases GROUP BY day"""
+    ),
+    "stream_first_reached": _q(
+        """, running AS (SELECT day, ts, sum(gross) OVER (PARTITION BY day ORDER BY ts) AS so_far FROM purchases)
+        SELECT day, CAST(sum(gross) AS DOUBLE) AS gross_amount, 600.0::DOUBLE AS target, sum(gross) >= 600 AS reached,
+          (SELECT min(r.ts) FROM running r WHERE r.day = p.day AND r.so_far >= 600) AS first_reached
+        FROM purchases p GROUP BY day
+        HAVING CAST(day + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM purchases)"""
+    ),
     "hourly_staffing": _q(
         """SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS lines, CAST(sum(net) AS DOUBLE) AS net_amount,
         count(DISTINCT employee_id) AS employees,
@@ -576,6 +623,58 @@ ORACLE: dict[str, str] = {
                 FROM inventory i LEFT JOIN out o ON o.branch_id = i.branch_id AND o.product_id = i.product_id)
         SELECT *, CAST(least(backstock, 8 - floor_now) AS BIGINT) AS refill FROM now WHERE floor_now < 4"""
     ),
+    "replenishment_events": _q(
+        """, day_sales AS (
+          SELECT branch_id, product_id, day, sum(quantity) AS sold,
+                 row_number() OVER (PARTITION BY branch_id, product_id ORDER BY day) AS step
+          FROM sales WHERE ts > (SELECT max(ts) - INTERVAL 365 DAY FROM sales) GROUP BY branch_id, product_id, day),
+        ledger AS (
+          SELECT branch_id, product_id, 0::BIGINT AS step, NULL::DATE AS day, NULL::BIGINT AS floor_before, 0::BIGINT AS refill,
+                 floor_qty::BIGINT AS floor, greatest(total_qty - floor_qty, 0)::BIGINT AS backstock FROM inventory
+          UNION ALL
+          SELECT branch_id, product_id, step, day, left_over, refill, left_over + refill, backstock - refill FROM (
+            SELECT *, CASE WHEN left_over < 4 THEN least(backstock, 8 - left_over) ELSE 0 END AS refill FROM (
+              SELECT l.branch_id, l.product_id, d.step, d.day, l.backstock, greatest(l.floor - d.sold, 0)::BIGINT AS left_over
+              FROM ledger l JOIN day_sales d
+                ON d.branch_id = l.branch_id AND d.product_id = l.product_id AND d.step = l.step + 1)))
+        SELECT branch_id, product_id, day, floor_before, refill, backstock AS backstock_after FROM ledger
+        WHERE step > 0 AND floor_before < 4"""
+    ).replace("WITH", "WITH RECURSIVE", 1),
+    "staff_reallocation": _q(
+        """, by_date AS (
+          SELECT branch_id, day, hour(ts) AS hour, count(DISTINCT employee_id) AS staff, sum(net) AS net
+          FROM purchases GROUP BY ALL),
+        sold AS (SELECT branch_id, isodow(day) - 1 AS weekday, hour, sum(staff) AS staff, sum(net) AS net FROM by_date GROUP BY ALL),
+        hours AS (
+          SELECT branch_id, weekday, hour, sum(staff)::BIGINT AS staff, sum(net) AS net FROM (
+            SELECT * FROM sold
+            UNION ALL SELECT DISTINCT branch_id, weekday, h.hour, 0, 0 FROM sold, (VALUES (16), (17), (18), (19)) h(hour))
+          GROUP BY ALL),
+        worth AS (
+          SELECT *, CASE WHEN staff > 0 THEN greatest(trunc(net * 100)::BIGINT, 0) // staff ELSE 0 END AS worth,
+            hour < 12 AS morning, hour BETWEEN 16 AND 19 AS rush FROM hours),
+        totals AS (
+          SELECT branch_id, weekday, sum(staff) FILTER (morning)::BIGINT * 25 // 100 AS moving, sum(worth) FILTER (rush)::BIGINT AS pulls
+          FROM worth GROUP BY ALL),
+        parts AS (
+          SELECT w.*, coalesce(t.moving, 0) AS moving,
+            coalesce((SELECT sum(x.staff)::BIGINT FROM worth x WHERE x.branch_id = w.branch_id AND x.weekday = w.weekday AND x.morning
+                      AND (x.worth < w.worth OR x.worth = w.worth AND x.hour < w.hour)), 0) AS gone,
+            CASE WHEN t.pulls > 0 THEN t.pulls ELSE 4 END AS pulls, CASE WHEN t.pulls > 0 THEN w.worth ELSE 1 END AS pull
+          FROM worth w JOIN totals t ON t.branch_id = w.branch_id AND t.weekday = w.weekday),
+        shares AS (
+          SELECT *, CASE WHEN rush THEN moving * pull // pulls ELSE 0 END AS quota, CASE WHEN rush THEN moving * pull % pulls END AS remainder
+          FROM parts),
+        filled AS (
+          SELECT *, sum(quota) OVER (PARTITION BY branch_id, weekday) AS given,
+            row_number() OVER (PARTITION BY branch_id, weekday, rush ORDER BY remainder DESC, hour) AS place FROM shares),
+        moves AS (
+          SELECT *, quota + CASE WHEN rush AND place <= moving - given THEN 1 ELSE 0 END
+            - CASE WHEN morning THEN greatest(least(staff, moving - gone), 0) ELSE 0 END AS moved FROM filled)
+        SELECT branch_id, CAST(weekday AS INTEGER) AS weekday, CAST(hour AS INTEGER) AS hour, staff AS staff_hours,
+          CAST(moved AS BIGINT) AS moved, CAST(staff + moved AS BIGINT) AS staff_hours_after,
+          CASE WHEN staff > 0 THEN round(CAST(net AS DOUBLE) / staff, 6) END AS net_per_staff_hour FROM moves"""
+    ),
     "price_string_clean": """
         WITH texts AS (
           SELECT p_partkey AS product_id, CASE p_partkey % 4 WHEN 0 THEN 'JOD ' || printf('%.2f', p_retailprice)
@@ -590,10 +689,10 @@ ORACLE: dict[str, str] = {
         SELECT d.day, CAST(d.net AS DOUBLE) AS net, CAST(d.profit AS DOUBLE) AS profit, d.transactions,
           (SELECT CAST(sum(net) AS DOUBLE) FROM per_day w WHERE w.day BETWEEN d.day - 6 AND d.day) AS net_7d,
           (SELECT CAST(sum(profit) AS DOUBLE) FROM per_day w WHERE w.day BETWEEN d.day - 6 AND d.day) AS profit_7d,
-          (SELECT CAST(sum(transactions) AS BIGINT) FROM per_day w WHERE w.day BETWEEN d.day - 6 AND d.day) AS transactions_7d,
+          (SELECT count(DISTINCT transaction_id) FROM sales w WHERE w.day BETWEEN d.day - 6 AND d.day) AS transactions_7d,
           (SELECT CAST(sum(net) AS DOUBLE) FROM per_day w WHERE w.day BETWEEN d.day - 29 AND d.day) AS net_30d,
           (SELECT CAST(sum(profit) AS DOUBLE) FROM per_day w WHERE w.day BETWEEN d.day - 29 AND d.day) AS profit_30d,
-          (SELECT CAST(sum(transactions) AS BIGINT) FROM per_day w WHERE w.day BETWEEN d.day - 29 AND d.day) AS transactions_30d
+          (SELECT count(DISTINCT transaction_id) FROM sales w WHERE w.day BETWEEN d.day - 29 AND d.day) AS transactions_30d
         FROM per_day d""",
         _ENRICHED,
     ),

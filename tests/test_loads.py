@@ -1,0 +1,145 @@
+"""Loads that may be repeated, and CSV sources with bad rows."""
+
+from __future__ import annotations
+
+import datetime as dt
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillsight.sources import readers, writers
+from tillsight.operators.forecast import daily_sales_forecast
+
+
+def lines(frame, *days, net=10):
+    return frame(
+        "fact_sales",
+        [
+            {"transaction_id": n, "timestamp": dt.datetime.fromisoformat(f"{day}T10:00"), "branch_id": 1, "product_id": 1, "quantity": 1,
+             "gross_amount": net, "net_amount": net}
+            for n, day in enumerate(days)
+        ],
+    )
+
+
+def total(spark, path):
+    found = readers.read_parquet_table(spark, path, "fact_sales").groupBy("sale_date").agg(F.sum("net_amount").cast("int").alias("net"))
+    return {str(r.sale_date): r.net for r in found.collect()}
+
+
+def test_a_repeated_batch_adds_nothing(spark, frame, tmp_path):
+    path = str(tmp_path / "fact_sales")
+    writers.append_sales(lines(frame, "2024-01-01", "2024-01-02"), path, "monday")
+    writers.append_sales(lines(frame, "2024-01-02", "2024-01-03", net=5), path, "tuesday")
+    once = {"2024-01-01": 10, "2024-01-02": 15, "2024-01-03": 5}
+    assert total(spark, path) == once
+    writers.append_sales(lines(frame, "2024-01-02", "2024-01-03", net=5), path, "tuesday")
+    assert total(spark, path) == once
+
+
+def test_a_corrected_batch_takes_its_old_dates_back(spark, frame, tmp_path):
+    path = str(tmp_path / "fact_sales")
+    writers.append_sales(lines(frame, "2024-01-01", "2024-01-02"), path, "a")
+    writers.append_sales(lines(frame, "2024-01-01", net=1), path, "b")
+    writers.append_sales(lines(frame, "2024-01-02", "2024-01-04", net=7), path, "a")
+    assert total(spark, path) == {"2024-01-01": 1, "2024-01-02": 7, "2024-01-04": 7}
+
+
+def test_a_batch_that_broke_off_shows_nothing_and_can_be_repeated(spark, frame, tmp_path):
+    path = str(tmp_path / "fact_sales")
+    writers.append_sales(lines(frame, "2024-01-01"), path, "a")
+    good = lines(frame, *[f"2024-01-{d:02}" for d in range(2, 20)])
+    broken = good.withColumn("quantity", F.when(F.dayofmonth("timestamp") == 15, F.raise_error(F.lit("lost"))).otherwise(F.col("quantity")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        writers.append_sales(broken, path, "b")
+    assert total(spark, path) == {"2024-01-01": 10}
+    writers.append_sales(good, path, "b")
+    assert total(spark, path) == {f"2024-01-{d:02}": 10 for d in range(1, 20)}
+
+
+def test_a_star_with_batches_reads_like_one_without(spark, frame, tmp_path):
+    path = str(tmp_path / "fact_sales")
+    writers.append_sales(lines(frame, "2024-01-01", "2024-02-01"), path, "a")
+    writers.append_sales(lines(frame, "2024-02-01"), path, "b.2")
+    star = readers.parquet_star(spark, str(tmp_path))
+    assert star.dated and star.last_day() == dt.date(2024, 2, 1)
+    assert star.dated_sales("product_id").columns == ["product_id", "sale_date"]
+    assert {str(r.sale_date) for r in star.versions().collect()} == {"2024-01-01", "2024-02-01"}
+
+
+@pytest.mark.parametrize("name", ["", "a/b", "a=b", "a b", "../x"])
+def test_names_of_batches_are_checked(frame, tmp_path, name):
+    with pytest.raises(ValueError, match="batch id"):
+        writers.append_sales(lines(frame, "2024-01-01"), str(tmp_path / "f"), name)
+
+
+CSV = """Region,OrderDate,TotalSales
+north,2024-01-01,10.5
+"so,uth",2024-01-02, 20
+east,2024-13-02,30
+west,2024-01-04,many
+short,2024-01-05
+long,2024-01-06,1,2
+,,
+north,NA,5
+north,2024-01-08,NaN
+"""
+
+
+def load(spark, tmp_path, text=CSV, name="sales.csv", **options):
+    (tmp_path / name).write_text(text)
+    return readers.load_forecast_csv(spark, str(tmp_path / name), str(tmp_path / f"{name}-loaded"), **options)
+
+
+def test_good_and_bad_rows_add_up(spark, tmp_path):
+    found = load(spark, tmp_path)
+    assert [f.dataType.simpleString() for f in found.rows.schema] == ["string", "date", "double"]
+    rows = {tuple(r) for r in found.rows.collect()}
+    day = dt.date
+    assert rows == {
+        ("north", day(2024, 1, 1), 10.5),
+        ("so,uth", day(2024, 1, 2), 20.0),
+        (None, None, None),
+        ("north", None, 5.0),
+        ("north", day(2024, 1, 8), None),
+    }
+    bad = {r.malformed_row: r.reason for r in found.quarantine.collect()}
+    assert bad == {
+        "east,2024-13-02,30": "date OrderDate",
+        "west,2024-01-04,many": "double TotalSales",
+        "short,2024-01-05": "fields",
+        "long,2024-01-06,1,2": "fields",
+    }
+    assert len(rows) + len(bad) == CSV.count("\n") - 1
+
+
+def test_the_result_does_not_need_the_source_any_more(spark, tmp_path):
+    """The files are read by one write; what is asked for later comes from the target."""
+    found = load(spark, tmp_path)
+    (tmp_path / "sales.csv").unlink()
+    assert found.rows.count() == 5 and found.quarantine.count() == 4
+    days = daily_sales_forecast(found.rows)
+    assert days.count() == 7
+
+
+def test_many_files_and_another_separator(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"{n}.csv").write_text(f"Sale Day;total;My Date\n{n};1;2024-01-0{n + 1}\nx;y;z\n")
+    found = readers.load_forecast_csv(spark, str(folder), str(tmp_path / "out"), ";")
+    assert sorted(tuple(r) for r in found.rows.collect()) == [] or found.rows.count() + found.quarantine.count() == 6
+    assert {r.reason for r in found.quarantine.collect()} == {"date My Date"}
+
+
+@pytest.mark.parametrize("text", ["", "one\n1\n", "a,A\n1,2\n"])
+def test_headers_that_say_nothing_are_refused(spark, tmp_path, text):
+    with pytest.raises(ValueError, match="header"):
+        load(spark, tmp_path, text)
+
+
+def test_a_header_alone_gives_no_rows(spark, tmp_path):
+    found = load(spark, tmp_path, "OrderDate,TotalSales\n")
+    assert found.rows.count() == found.quarantine.count() == 0
+    shutil.rmtree(tmp_path / "sales.csv-loaded")

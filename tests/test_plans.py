@@ -10,7 +10,7 @@ from tillsight.plans.catalog import QUERIES, REF_YEAR
 from tillsight.sources import tpch_star
 
 SMALL = f"{TESTDATA}/sf0.001"
-RUNS_ON_CALL = {"stream_daily_revenue"}
+RUNS_ON_CALL = {"stream_daily_revenue", "stream_first_reached", "stream_counted_revenue"}
 
 
 def plan_of(df) -> str:
@@ -18,11 +18,10 @@ def plan_of(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - RUNS_ON_CALL))
-def test_no_cross_join_and_python_only_in_the_boosted_forecast(spark, name):
+def test_no_cross_join_and_no_python(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    python = any(node in plan for node in ("EvalPython", "InPandas"))
-    assert python == (name == "customer_growth_forecast")
+    assert not any(node in plan for node in ("EvalPython", "InPandas", "InArrow"))
 
 
 def test_scan_reads_only_the_needed_columns(spark):

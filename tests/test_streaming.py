@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from conftest import TESTDATA
@@ -8,7 +9,7 @@ from conftest import TESTDATA
 from tillsight.operators.sales import daily_target_attainment
 from tillsight.plans.catalog import DAILY_TARGET, QUERIES
 from tillsight.sources import schemas, tpch_star
-from tillsight.streaming import daily_revenue
+from tillsight.streaming import daily_revenue, first_reach, late_rows
 
 SMALL = f"{TESTDATA}/sf0.001"
 
@@ -118,3 +119,96 @@ def test_a_fold_cut_short_is_finished(feed, spark, tmp_path):
     daily_revenue.compact_daily_revenue(spark, str(table))
     assert not (table / "_folding").exists()
     assert run()[0] == before
+
+
+@pytest.fixture
+def reach(spark, frame, tmp_path):
+    """Writes batches of sale lines and follows when the target is reached."""
+    source, table, state = (str(tmp_path / f"reach-{n}") for n in ("source", "table", "state"))
+
+    def push(rows):
+        frame("fact_sales", rows).coalesce(1).write.mode("append").parquet(source)
+
+    def run(target=100.0):
+        stream = spark.readStream.schema(schemas.FACT_SALES).parquet(source)
+        first_reach.start_first_reached(first_reach.first_reached(stream, target), table, state, available_now=True).awaitTermination()
+        return spark.read.parquet(table)
+
+    return push, run, source, table, state
+
+
+def test_closed_days_equal_the_batch_moment(spark, reach):
+    push, run, source, table, _ = reach
+    draw = random.Random(4)
+    for part in range(4):  # a restart after each
+        start = dt.datetime(2024, 1, 1 + 3 * part)
+        stamps = [start + dt.timedelta(seconds=draw.randrange(3 * 86_400), microseconds=draw.randrange(10**6)) for _ in range(120)]
+        push([{"timestamp": s, "gross_amount": draw.randrange(-300, 900) / 100} for s in stamps])
+        push([{"timestamp": None, "gross_amount": 1000}, {"timestamp": stamps[0], "gross_amount": None}])
+        run()
+    push([sale("2024-03-01T00:00", 1)])
+    run()
+    found = first_reach.read_closed_days(spark, table)
+    batch = daily_target_attainment(spark.read.parquet(source).filter("timestamp < '2024-02-01'"), 100.0)
+    columns = ["day", "gross_amount", "target", "reached", "first_reached"]
+    expected = sorted(tuple(r) for r in batch.select(*columns).collect())
+    assert sorted(tuple(r) for r in found.select(*columns).collect()) == expected
+    assert len(expected) == 12 and any(r[4] for r in expected) and found.count() == 12
+
+
+def test_alerts_come_before_the_day_is_over_and_once(reach):
+    push, run, *_ = reach
+    push([sale("2024-01-05T09:00", 60), sale("2024-01-05T10:00", 50), sale("2024-01-05T11:00", -90), sale("2024-01-05T12:00", 95)])
+    run()
+    push([sale("2024-01-06T13:00", 1)])  # the watermark passes noon of the day before
+    alerts = run().collect()
+    assert [(str(r.day), r.closed, float(r.gross_amount), r.first_reached) for r in alerts] == [
+        ("2024-01-05", False, 110.0, dt.datetime(2024, 1, 5, 10))
+    ]
+    push([sale("2024-01-09T00:00", 1)])
+    closed = [r for r in run().collect() if r.closed and str(r.day) == "2024-01-05"]
+    assert [(float(r.gross_amount), r.reached, r.first_reached) for r in closed] == [(115.0, True, dt.datetime(2024, 1, 5, 10))]
+    assert sum(not r.closed for r in run().collect()) == 1
+
+
+def test_state_is_dropped_when_a_day_closes(spark, reach):
+    push, run, *_, state = reach
+    push([sale(f"2024-01-{d:02}T09:00", 10) for d in range(1, 11)])
+    run()
+    push([sale("2024-02-01T09:00", 10)])
+    run()
+    push([sale("2024-02-01T10:00", 10)])
+    run()
+    held = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "day").load(state)
+    days = [str(r.key.day) for r in held.select("key").collect()]
+    assert set(days) <= {"2024-02-01"}
+
+
+def test_late_rows_are_kept_and_counted_by_batch(spark, frame, tmp_path):
+    source, table, state = (str(tmp_path / f"late-{n}") for n in ("source", "table", "state"))
+
+    def push(rows):
+        frame("fact_sales", rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schemas.FACT_SALES).parquet(source)
+        late_rows.start_counted_revenue(stream, table, state, available_now=True).awaitTermination()
+        days = late_rows.read_counted_revenue(spark, table, 100.0).collect()
+        return {str(r.day): (float(r.gross_amount), r.reached) for r in days}
+
+    assert push([sale("2024-01-01T09:00", 10), sale("2024-01-10T09:00", 20)]) == {"2024-01-01": (10.0, False), "2024-01-10": (20.0, False)}
+    found = push([sale("2024-01-01T10:00", 500), sale("2024-01-09T10:00", 7), {"timestamp": None, "gross_amount": 3}])
+    # The same days as those of the aggregation that drops late rows.
+    assert found == {"2024-01-01": (10.0, False), "2024-01-09": (7.0, False), "2024-01-10": (20.0, False)}
+    late = late_rows.late_rows(spark, table).collect()
+    assert sorted((str(r.timestamp), float(r.gross_amount), r.batch) for r in late) == [("2024-01-01 10:00:00", 500.0, 1), ("None", 3.0, 1)]
+    counts = {r.batch: (r.rows, r.late_rows) for r in late_rows.batch_counts(spark, table).collect()}
+    assert counts == {0: (2, 0), 1: (3, 2)}
+
+
+def test_a_repeated_batch_is_counted_once(spark, frame, tmp_path):
+    source, table, state = (str(tmp_path / f"again-{n}") for n in ("source", "table", "state"))
+    frame("fact_sales", [sale("2024-01-01T09:00", 10)]).coalesce(1).write.parquet(source)
+    for attempt in range(2):  # a fresh checkpoint takes the batch in again under its number
+        stream = spark.readStream.schema(schemas.FACT_SALES).parquet(source)
+        late_rows.start_counted_revenue(stream, table, f"{state}-{attempt}", available_now=True).awaitTermination()
+    assert [float(r.gross_amount) for r in late_rows.read_counted_revenue(spark, table, 100.0).collect()] == [10.0]
+    assert late_rows.batch_counts(spark, table).count() == 1

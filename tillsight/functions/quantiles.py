@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 DEFAULT_ACCURACY = 10_000
+SKETCH_SIZE = 200
 
 
 def _around(fraction: float, slack: float) -> list[float]:
@@ -104,6 +105,41 @@ def exact_quantiles(
     return ends.agg(*[_edges_of(c).alias(c) for c in columns])
 
 
+def sketched_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int) -> DataFrame:
+    """Like ``exact_quantiles``, from a sketch: values whose rank is off by at most rows / ``accuracy``.
+
+    The least and the largest value are exact.
+    """
+    inner = [min(max(f, 0.0), 1.0) for f in fractions]
+    found = [F.percentile_approx(F.col(c).cast("double"), inner, accuracy).alias(c) for c in columns]
+    return df.agg(*found)
+
+
+def quantiles_of(df: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int | None) -> DataFrame:
+    """Exact quantiles, or sketched ones if an accuracy is given."""
+    if accuracy is None:
+        return exact_quantiles(df, columns, fractions)
+    return sketched_quantiles(df, columns, fractions, accuracy)
+
+
+def daily_quantile_sketches(df: DataFrame, column: str, day: str = "day", size: int = SKETCH_SIZE) -> DataFrame:
+    """day and sketch: what is needed for the quantiles of a column over any set of days.
+
+    A sketch of ``size`` k has a rank error of about 2.3 / k^0.9 of the rows, 1.3
+    percent at 200, however many days are merged.  Its draws are random, so
+    two runs may differ within that.
+    """
+    values = df.filter(F.col(column).isNotNull()).select(day, F.col(column).cast("double").alias("value"))
+    return values.groupBy(day).agg(F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """One row with the array of quantiles of all given days together; NULL without any."""
+    wanted = F.array(*[F.lit(float(f)) for f in fractions])
+    merged = sketches.agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.count("*").alias("days"))
+    return merged.select(F.when(F.col("days") > 0, F.kll_sketch_get_quantile_double("sketch", wanted)).alias("quantiles"))
+
+
 def _ranks_between(first: str, end: str, fractions: Sequence[float]) -> Column:
     """The wanted ranks (index, rank) with a neighbour in the ranks [first, end)."""
     ranks = [F.lit(float(f)) * (F.col("n") - 1) for f in fractions]

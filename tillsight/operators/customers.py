@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import segments
-from ..functions.quantiles import exact_quantiles, quartile_score
+from ..functions.quantiles import quantiles_of, quartile_score
 from ..functions.recency import days_before_latest, sold_before, sold_since
 from ..functions.scalars import attach
 
@@ -56,11 +56,14 @@ def rfm_scores(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
     return score_activity(recent_activity(sales, window_days))
 
 
-def score_activity(activity: DataFrame) -> DataFrame:
-    """``rfm_scores`` from an activity table, which is read several times."""
+def score_activity(activity: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """``rfm_scores`` from an activity table, which is read several times.
+
+    With ``accuracy`` the quartiles come from a sketch, see ``sketched_quantiles``.
+    """
     edges = F.col("edges")
     measures = ("recency", "frequency", "monetary")
-    scored = attach(activity, exact_quantiles(activity, measures, QUARTILES), "edges").withColumns(
+    scored = attach(activity, quantiles_of(activity, measures, QUARTILES, accuracy), "edges").withColumns(
         {
             "recency_score": quartile_score(F.col("recency"), edges["recency"], reverse=True),
             "frequency_score": quartile_score(F.col("frequency"), edges["frequency"]),
@@ -110,11 +113,11 @@ def churn_by_segment(sales: DataFrame, window_days: int = WINDOW_DAYS) -> DataFr
     return churn_of_activity(recent_activity(sales, window_days))
 
 
-def churn_of_activity(activity: DataFrame) -> DataFrame:
+def churn_of_activity(activity: DataFrame, accuracy: int | None = None) -> DataFrame:
     """``churn_by_segment`` from an activity table, which is read several times."""
     # Recency rides along so that both readers of the activity need the same
     # columns and share one shuffle of the sales.
-    edges = exact_quantiles(activity, ["recency", "monetary"], QUARTILES)
+    edges = quantiles_of(activity, ["recency", "monetary"], QUARTILES, accuracy)
     quartile = quartile_score(F.col("monetary").cast("double"), F.col("edges.monetary"))
     names = dict(zip((4, 3, 2, 1), segments.RFM_SEGMENTS))
     segment = F.when(quartile >= 4, names[4]).when(quartile >= 3, names[3]).when(

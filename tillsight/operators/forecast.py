@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import boosting, segments
+from ..functions import segments
 from ..functions.boosting import boosted_next
 from ..sources.readers import resolve_forecast_columns
 
-# The grouped function travels with its task, so workers need no installed
-# copy of this package.
-cloudpickle.register_pickle_by_value(boosting)
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 HORIZON_DAYS = 7
 # Forecast events in report order, the default for an event
 # without earlier years, the growth rate and the floors per age band.
@@ -125,38 +116,34 @@ def monthly_new_customers(customers: DataFrame, ref_year: int) -> DataFrame:
 def customer_growth_forecast(customers: DataFrame, ref_year: int, current_month: int = CURRENT_MONTH) -> DataFrame:
     """Next month's new customers per age band, beside those of the current month.
 
-    Spark counts per band and month.  Only that short series goes to Python,
-    one band per task.
+    A band's series holds one count per month with customers, in order.
+    ``fitted`` is what the trees say, NULL for a band without customers; the
+    forecast is its whole part, or a floor if that is small.
     """
-
-    def of_segment(months: pd.DataFrame) -> pd.DataFrame:
-        return _segment_forecast(months, current_month)
-
-    forecast = monthly_new_customers(customers, ref_year).groupBy("segment").applyInPandas(
-        of_segment, "segment string, actual long, forecast long"
+    point = F.struct("month", "customers")
+    series = (
+        monthly_new_customers(customers, ref_year)
+        .groupBy("segment")
+        .agg(
+            F.sum(F.when(F.month("month") == current_month, F.col("customers"))).alias("actual"),
+            F.sort_array(F.collect_list(point)).alias("months"),
+        )
+        .select("segment", "actual", F.transform("months", lambda m: m["customers"].cast("double")).alias("series"))
     )
+    total = F.aggregate("series", F.lit(0.0), lambda acc, y: acc + y)
+    next_value = F.when(F.size("series") >= MIN_HISTORY_MONTHS, boosted_next(F.col("series"))).otherwise(
+        F.try_divide(total, F.size("series").cast("double"))
+    )
+    forecast = series.select("segment", "actual", next_value.alias("fitted"))
     floors = customers.sparkSession.createDataFrame(
         pa.Table.from_pylist([{"segment": name, "floor": floor} for name, floor in GROWTH_FLOORS])
     )
-    raw = F.coalesce("forecast", F.lit(0))
+    raw = F.coalesce(F.col("fitted").cast("bigint"), F.lit(0))
     return floors.join(forecast, "segment", "left").select(
         "segment",
         F.coalesce("actual", F.lit(0)).alias("actual"),
         F.when(raw < FLOOR_BELOW, F.col("floor")).otherwise(raw).alias("forecast"),
-    )
-
-
-def _segment_forecast(months: pd.DataFrame, current_month: int) -> pd.DataFrame:
-    months = months.sort_values("month")
-    counts = months["customers"].to_numpy(dtype=float)
-    value = boosted_next(counts) if len(counts) >= MIN_HISTORY_MONTHS else counts.mean()
-    current = pd.to_datetime(months["month"]).dt.month == current_month
-    return pd.DataFrame(
-        {
-            "segment": [months["segment"].iloc[0]],
-            "actual": [int(months.loc[current, "customers"].sum())],
-            "forecast": [int(value)],
-        }
+        "fitted",
     )
 
 

@@ -19,8 +19,13 @@ def stockout_days(
     """
     if days is None:
         days = sales.agg(F.count_distinct(F.to_date("timestamp"))).scalar()
+    return stockout_of_days(sales, inventory, products, days)
+
+
+def stockout_of_days(quantities: DataFrame, inventory: DataFrame, products: DataFrame, days: Column) -> DataFrame:
+    """``stockout_days`` from quantities by branch and product, which may come in several rows."""
     sold = (
-        sales.groupBy("branch_id", "product_id")
+        quantities.groupBy("branch_id", "product_id")
         .agg(F.coalesce(F.sum("quantity"), F.lit(0)).alias("sold"))
         .filter(F.col("branch_id").isNotNull() & F.col("product_id").isNotNull())
     )

@@ -34,24 +34,31 @@ PRODUCT_MIX = "Product Mix/Assortment Failure"
 MONITORED_SECTIONS = ("Women", "Men", "Kids")
 
 
-def section_days(sales: DataFrame, products: DataFrame, sections: DataFrame) -> DataFrame:
-    """Net and discount per branch, section and day; no line is lost.
-
-    Section names are joined to the sums, not to the lines.
-    """
+def section_sums(sales: DataFrame, products: DataFrame, *by: str) -> DataFrame:
+    """Net and discount per branch, section, day and the columns ``by``; no line is lost."""
     return (
         sales.filter(F.col("timestamp").isNotNull())
         .join(products.select("product_id", "section_id"), "product_id", "left")
-        .groupBy("branch_id", "section_id", F.to_date("timestamp").alias("day"))
+        .groupBy("branch_id", "section_id", F.to_date("timestamp").alias("day"), *by)
         .agg(
             F.coalesce(F.sum("net_amount"), F.lit(0)).alias("net_amount"),
             F.coalesce(F.sum("discount_amount"), F.lit(0)).alias("discount_amount"),
         )
-        .join(sections, "section_id", "left")
-        .drop("section_id")
     )
 
 
+def with_section_names(sums: DataFrame, sections: DataFrame) -> DataFrame:
+    return sums.join(sections, "section_id", "left").drop("section_id")
+
+
+def section_days(sales: DataFrame, products: DataFrame, sections: DataFrame) -> DataFrame:
+    """Net and discount per branch, section and day, with the sections' names.
+
+    The names are joined to the sums, not to the lines.
+    """
+    return with_section_names(section_sums(sales, products), sections)
+
+
 def _section_names(products: DataFrame, sections: DataFrame) -> DataFrame:
     return products.select("product_id", "section_id").join(sections, "section_id").select(
         "product_id", "section_name"
@@ -352,27 +359,38 @@ def section_anomalies(
 
 
 def section_visits(
-    sales: DataFrame,
-    products: DataFrame,
-    sections: DataFrame,
-    monitored: Sequence[str] = MONITORED_SECTIONS,
+    anomalies: DataFrame, sales: DataFrame, products: DataFrame, sections: DataFrame
 ) -> DataFrame:
-    """Employees and invoices per branch, section and day, and their means of the last 15 days."""
-    names = _section_names(products, sections).filter(F.col("section_name").isin(*monitored))
-    trend = (
-        W.partitionBy("branch_id", "section_name")
-        .orderBy(_day_number())
-        .rangeBetween(-TREND_DAYS, -1)
-    )
-    return (
+    """Employees and invoices of the flagged sections, and their means over the days with sales of the 15 before.
+
+    Only the lines of flagged sections and of the days that are compared are counted.
+    """
+    key = ("branch_id", "section_name", "day")
+    since = F.sequence(F.date_sub("day", TREND_DAYS), F.col("day"))
+    compared = anomalies.select(*key).withColumn("ref_day", F.explode(since))
+    names = _section_names(products, sections).join(anomalies.select("section_name").distinct(), "section_name", "left_semi")
+    wanted = compared.select("branch_id", "section_name", "ref_day").distinct()
+    visits = (
         sales.filter(F.col("timestamp").isNotNull())
         .join(names, "product_id")
-        .groupBy("branch_id", "section_name", F.to_date("timestamp").alias("day"))
+        .select("branch_id", "section_name", F.to_date("timestamp").alias("ref_day"), "employee_id", "transaction_id")
+        .join(wanted, ["branch_id", "section_name", "ref_day"], "left_semi")
+        .groupBy("branch_id", "section_name", "ref_day")
         .agg(
             F.count_distinct("employee_id").alias("staff"),
             F.count_distinct("transaction_id").alias("traffic"),
         )
-        .withColumns({"avg_staff": F.avg("staff").over(trend), "avg_traffic": F.avg("traffic").over(trend)})
+    )
+    on_day = F.col("ref_day") == F.col("day")
+    return (
+        compared.join(visits, ["branch_id", "section_name", "ref_day"])
+        .groupBy(*key)
+        .agg(
+            F.max(F.when(on_day, F.col("staff"))).alias("staff"),
+            F.max(F.when(on_day, F.col("traffic"))).alias("traffic"),
+            F.avg(F.when(~on_day, F.col("staff"))).alias("avg_staff"),
+            F.avg(F.when(~on_day, F.col("traffic"))).alias("avg_traffic"),
+        )
     )
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.recency import days_before_latest
 from ..operators import customers, forecast, inventory, monitoring, sales, segmentation, whatif
 from ..operators import root_cause as rca
+from ..session import drop_path, new_shared_path
 from ..sources.holidays import HOLIDAYS
 from ..sources.readers import Star
 from ..sources.schemas import SALE_DATE
@@ -33,6 +35,10 @@ class Settings:
     judged_days: tuple[dt.date, dt.date] | None = None
     daily_target: float = 70_000.0
     refill_days: int = 7
+    ledger_days: int = 365
+    moved_staff_pct: int = monitoring.MOVED_PCT
+    # Quartiles by sketch with a rank error of 1 / this; exact by default.
+    quartile_accuracy: int | None = None
     # The time that recent windows end at; by default that of the latest sale.
     as_of: dt.datetime | None = None
 
@@ -80,17 +86,57 @@ def _holiday_forecast(star: Star, settings: Settings) -> DataFrame:
 
 
 def activity(star: Star, settings: Settings = Settings()) -> DataFrame:
-    """The activity per customer, for scores, reports and churn alike.
+    """The activity per customer, for scores, reports and churn alike."""
+    lines = star.dated_sales("customer_id", "timestamp", "net_amount")
+    return customers.recent_activity(lines, as_of=settings.as_of, last_day=star.last_day())
+
+
+class CustomerReports:
+    """Scores, segment reports and churn over one activity per customer.
 
-    It is persisted when a report first asks for it; reports over the same
-    table share it.
+    The activity is written to the shared folder when the first of them is asked
+    for, and they all read it from there; ``close`` drops it.  Results read after
+    that, or of later sales, need reports of their own.
     """
-    lines = star.dated_sales("customer_id", "timestamp", "net_amount")
-    return customers.recent_activity(lines, as_of=settings.as_of, last_day=star.last_day()).persist()
+
+    def __init__(self, star: Star, settings: Settings = Settings()) -> None:
+        self.star = star
+        self.settings = settings
+        self._path: str | None = None
+
+    @cached_property
+    def activity(self) -> DataFrame:
+        live = activity(self.star, self.settings)
+        self._path = new_shared_path(live.sparkSession, "customer-activity")
+        live.write.parquet(self._path)
+        return live.sparkSession.read.schema(live.schema).parquet(self._path)
+
+    def scores(self) -> DataFrame:
+        return customers.score_activity(self.activity, self.settings.quartile_accuracy)
+
+    def segment_summary(self) -> DataFrame:
+        return customers.rfm_segment_summary(self.scores())
+
+    def segment_revenue(self) -> DataFrame:
+        return customers.rfm_segment_revenue(self.scores())
+
+    def churn_by_segment(self) -> DataFrame:
+        return customers.churn_of_activity(self.activity, self.settings.quartile_accuracy)
+
+    def close(self) -> None:
+        if self._path is not None:
+            drop_path(self.activity.sparkSession, self._path)
+            self._path = None
+
+    def __enter__(self) -> CustomerReports:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def _scores(star: Star, settings: Settings) -> DataFrame:
-    return customers.score_activity(activity(star, settings))
+    return customers.score_activity(activity(star, settings), settings.quartile_accuracy)
 
 
 def _since(star: Star, settings: Settings, lines: DataFrame, days: int) -> Column:
@@ -107,8 +153,11 @@ def _stockout(star: Star) -> DataFrame:
 
 
 def _refill(star: Star) -> DataFrame:
-    alerts = monitoring.velocity_alert(star.sales("product_id", "timestamp", "quantity"))
-    return inventory.replenishment_trigger(_stockout(star), alerts)
+    """The sale lines are folded once; items and products are both read from the fold."""
+    folded = monitoring.item_days(star.sales("branch_id", "product_id", "timestamp", "quantity"))
+    days = folded.agg(F.count_distinct("day")).scalar()
+    items = inventory.stockout_of_days(folded, star.inventory, star.products, days)
+    return inventory.replenishment_trigger(items, monitoring.velocity_of_days(folded))
 
 
 def _hotspots(star: Star, settings: Settings) -> DataFrame:
@@ -179,6 +228,17 @@ def _replenishment(star: Star, settings: Settings) -> DataFrame:
     return monitoring.replenishment_list(lines, star.inventory, snapshot)
 
 
+def _ledger(star: Star, settings: Settings) -> DataFrame:
+    lines = star.dated_sales("branch_id", "product_id", "timestamp", "quantity")
+    snapshot = _since(star, settings, lines, settings.ledger_days)
+    return monitoring.replenishment_events(lines, star.inventory, snapshot)
+
+
+def _reallocation(star: Star, settings: Settings) -> DataFrame:
+    lines = star.sales("branch_id", "timestamp", "employee_id", "net_amount")
+    return monitoring.staff_reallocation(lines, settings.moved_staff_pct)
+
+
 def _rolling(star: Star, settings: Settings) -> DataFrame:
     lines = star.sales("product_id", "timestamp", "quantity", "net_amount", "transaction_id")
     return monitoring.rolling_metrics(lines, star.products)
@@ -226,7 +286,7 @@ ANALYSES: dict[str, Analysis] = {
     "rfm_scores": _scores,
     "rfm_segment_summary": lambda star, s: customers.rfm_segment_summary(_scores(star, s)),
     "rfm_segment_revenue": lambda star, s: customers.rfm_segment_revenue(_scores(star, s)),
-    "churn_by_segment": lambda star, s: customers.churn_of_activity(activity(star, s)),
+    "churn_by_segment": lambda star, s: customers.churn_of_activity(activity(star, s), s.quartile_accuracy),
     "rca_profit_trigger": _trigger,
     "rca_worst_branch": _run(lambda run: run.worst_branch().drop("history")),
     "rca_worst_section": _run(
@@ -265,6 +325,8 @@ ANALYSES: dict[str, Analysis] = {
     "hourly_staffing": _hourly,
     "velocity_alert": _velocity,
     "replenishment_list": _replenishment,
+    "replenishment_events": _ledger,
+    "staff_reallocation": _reallocation,
     "rolling_metrics": _rolling,
     "low_stock_zero_sales": _quiet_stock,
     "low_margin_flag": _low_margin,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..operators import monitoring
 from ..session import new_shared_path
 from ..sources import tpch_star as tpch
-from ..streaming import daily_revenue
+from ..streaming import daily_revenue, first_reach, late_rows
 from .analyses import ANALYSES, Settings, scenario_impact
 
 DAILY_TARGET = 600.0
@@ -29,7 +29,7 @@ REF_YEAR = SETTINGS.ref_year
 
 # Analyses that need a time of day run over the purchase events, whose star
 # has the same dimensions.
-BY_TIME_OF_DAY = ("daily_target_attainment", "trading_band_sales", "hourly_staffing")
+BY_TIME_OF_DAY = ("daily_target_attainment", "trading_band_sales", "hourly_staffing", "staff_reallocation")
 
 RATIO_PLACES = 6
 # Amounts computed in doubles keep fewer decimals than ratios do.
@@ -67,14 +67,14 @@ def _price_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(monitoring.price_string_clean(tpch.price_strings(spark, sf_dir)))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = spark.readStream.schema(tpch.table_schema("events"))
+    return source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads the purchase events as a stream until all are taken in."""
-    events = (
-        spark.readStream.schema(tpch.table_schema("events"))
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    daily = daily_revenue.stream_daily_revenue(tpch.purchases(events), DAILY_TARGET)
+    daily = daily_revenue.stream_daily_revenue(tpch.purchases(_event_stream(spark, sf_dir)), DAILY_TARGET)
     path = new_shared_path(spark, "daily-revenue")
     daily_revenue.start_daily_revenue(
         daily, f"{path}/table", f"{path}/checkpoint", available_now=True
@@ -82,6 +82,22 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(daily_revenue.read_daily_revenue(spark, f"{path}/table"))
 
 
+def _first_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads the purchase events as a stream; the days that its watermark has closed."""
+    alerts = first_reach.first_reached(tpch.purchases(_event_stream(spark, sf_dir)), DAILY_TARGET)
+    path = new_shared_path(spark, "first-reached")
+    first_reach.start_first_reached(alerts, f"{path}/table", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return comparable(first_reach.read_closed_days(spark, f"{path}/table"))
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads the purchase events as a stream that adds up its batches."""
+    path = new_shared_path(spark, "counted-revenue")
+    lines = tpch.purchases(_event_stream(spark, sf_dir))
+    late_rows.start_counted_revenue(lines, f"{path}/table", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return comparable(late_rows.read_counted_revenue(spark, f"{path}/table", DAILY_TARGET))
+
+
 QUERIES: dict[str, Query] = {
     name: _query(name, tpch.purchase_star if name in BY_TIME_OF_DAY else tpch.tpch_star)
     for name in ANALYSES
@@ -89,5 +105,7 @@ QUERIES: dict[str, Query] = {
     "rfm_scores_purchases": _query("rfm_scores", tpch.purchase_star),
     "scenario_impact": _scenario_impact,
     "stream_daily_revenue": _stream,
+    "stream_first_reached": _first_reached,
+    "stream_counted_revenue": _counted,
     "price_string_clean": _price_strings,
 }

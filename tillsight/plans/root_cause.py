@@ -1,8 +1,8 @@
-"""The root-cause run: one pass over the sale lines, then small frames.
+"""The root-cause run: findings over one small table of daily sums.
 
-Most of the analyses need the same rollup several times.  It is persisted, so
-the sale lines are folded once, and nothing is read before an action asks for
-it.  ``close`` lets go of what a run keeps.
+Of a stored star that table is kept, see ``daily_rollup``: only days whose sales
+have changed are folded.  Nothing is persisted in the session, so what others
+add to the sales is seen by the next run.
 """
 
 from __future__ import annotations
@@ -16,22 +16,18 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.recency import sold_before, sold_since
 from ..operators import root_cause as rca
 from ..sources.readers import Star
-
-_COLUMNS = ("branch_id", "product_id", "timestamp", "net_amount", "discount_amount")
+from .daily_rollup import COLUMNS, DailyRollup
 
 
 class RootCauseRun:
-    """Analyses over one persisted rollup of ``star``.
-
-    The worst branches and sections are persisted as well: they have a row per
-    calendar day at most, and every later step would compute them again.
-    """
+    """Analyses over one rollup of ``star``, brought up to date when the run first needs it."""
 
     def __init__(
         self,
         star: Star,
         monitored: Sequence[str] = rca.MONITORED_SECTIONS,
         days: tuple[dt.date, dt.date] | None = None,
+        rollup_path: str | None = None,
     ):
         """Judge every day, or only those from the first to the last of ``days``.
 
@@ -40,8 +36,8 @@ class RootCauseRun:
         """
         self.star = star
         self.monitored = tuple(monitored)
+        self.rollup_path = rollup_path
         self.days = days
-        self._persisted: list[DataFrame] = []
 
     def _sales(self, *columns: str) -> DataFrame:
         sales = self.star.dated_sales(*columns)
@@ -54,18 +50,19 @@ class RootCauseRun:
     def _judged(self, found: DataFrame) -> DataFrame:
         return found if self.days is None else found.filter(F.col("day") >= F.lit(self.days[0]))
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        self._persisted.append(df.persist())
-        return self._persisted[-1]
-
-    def close(self) -> None:
-        """Frees the persisted frames; results not yet computed would read the sales again."""
-        while self._persisted:
-            self._persisted.pop().unpersist()
-
     @cached_property
     def rollup(self) -> DataFrame:
-        return self._kept(rca.section_days(self._sales(*_COLUMNS), self.star.products, self.star.sections))
+        """The sums per branch, section and day; of a star that isn't stored they are folded by each action."""
+        if self.star.versions is None:
+            return rca.section_days(self._sales(*COLUMNS), self.star.products, self.star.sections)
+        kept = DailyRollup(self.star, self.rollup_path)
+        if self.days is None:
+            return kept.section_days()
+        first, last = self.days
+        window = first - dt.timedelta(days=rca.HISTORY_DAYS), last
+        # Sales that aren't stored by dates are kept as one.
+        found = kept.section_days(window if self.star.dated else None)
+        return found.filter(F.col("day").between(*map(F.lit, window)))
 
     def trigger(self) -> DataFrame:
         return self._judged(rca.profit_trigger(rca.daily_net(self.rollup)))
@@ -73,20 +70,12 @@ class RootCauseRun:
     def branch_drops(self) -> DataFrame:
         return rca.branch_drops(self.trigger(), self.rollup, self.star.branches)
 
-    @cached_property
-    def _worst_branch(self) -> DataFrame:
-        trigger = self.trigger()
-        return self._kept(rca.worst_branch(trigger, rca.branch_drops(trigger, self.rollup, self.star.branches)))
-
     def worst_branch(self) -> DataFrame:
-        return self._worst_branch
-
-    @cached_property
-    def _worst_section(self) -> DataFrame:
-        return self._kept(rca.worst_section(self._worst_branch, self.rollup))
+        trigger = self.trigger()
+        return rca.worst_branch(trigger, rca.branch_drops(trigger, self.rollup, self.star.branches))
 
     def worst_section(self) -> DataFrame:
-        return self._worst_section
+        return rca.worst_section(self.worst_branch(), self.rollup)
 
     def section_floor(self) -> DataFrame:
         return rca.section_floor(self.star.inventory, self.star.products, self.star.sections)
@@ -114,8 +103,9 @@ class RootCauseRun:
 
     def section_diagnosis(self) -> DataFrame:
         sales = self._sales("branch_id", "product_id", "timestamp", "employee_id", "transaction_id")
-        visits = rca.section_visits(sales, self.star.products, self.star.sections, self.monitored)
-        return rca.section_diagnosis(self.section_anomalies(), self.section_floor(), visits)
+        anomalies = self.section_anomalies()
+        visits = rca.section_visits(anomalies, sales, self.star.products, self.star.sections)
+        return rca.section_diagnosis(anomalies, self.section_floor(), visits)
 
     def anomaly_scope(self) -> DataFrame:
         return rca.anomaly_scope(self.branch_drops())

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import cached_property, partial
 
 from pyspark.errors import AnalysisException
@@ -110,6 +112,69 @@ def read_forecast_csv(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "date date, sales double")
 
 
+MALFORMED = "malformed_row"
+REASON = "reason"
+_VALID = "valid"
+
+
+@dataclass(frozen=True)
+class CsvLoad:
+    """What a CSV source held: ``rows`` in their types, and ``quarantine`` with each bad row's text and reason."""
+
+    rows: DataFrame
+    quarantine: DataFrame
+
+
+def csv_header(spark: SparkSession, path: str, separator: str = ",") -> list[str]:
+    """The names in the first line of a CSV, of which no more is read."""
+    lines = spark.read.text(path).limit(1).collect()
+    return next(csv.reader([line[0] for line in lines], delimiter=separator), [])
+
+
+def load_forecast_csv(spark: SparkSession, path: str, target: str, separator: str = ",") -> CsvLoad:
+    """Loads a CSV of dates and sales into ``target``, and sets its bad rows aside.
+
+    The schema comes from the header: the date and the sales column are found by
+    name (see ``resolve_forecast_columns``) and get their types, all others stay
+    text.  A row is bad if it has more or fewer fields than the header, or a date
+    or an amount that doesn't convert; missing ones (empty, ``NA``, ``NaN``) are
+    NULL.  The files are read once, and good and bad rows are written to
+    ``target`` in that pass, so the two always add up to what was read.
+    """
+    names = csv_header(spark, path, separator)
+    if len(names) < 2 or len(set(map(str.lower, names))) < len(names):
+        raise ValueError(f"a header with at least two different names is needed: {names}")
+    date, sales = resolve_forecast_columns(names)
+    kinds = {date: "date", sales: "double"}
+    read = T.StructType([T.StructField(name, T.StringType()) for name in [*names, MALFORMED]])
+    raw = spark.read.csv(
+        path, schema=read, header=True, sep=separator, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, enforceSchema=False
+    )
+
+    def cell(name: str) -> Column:
+        value = F.trim(F.col(f"`{name}`"))
+        return F.when(~F.lower(value).isin("", "na", "nan"), value)
+
+    typed = {name: cell(name).try_cast(kinds[name]) if name in kinds else F.col(f"`{name}`") for name in names}
+    reason = F.when(F.col(MALFORMED).isNotNull(), "fields")
+    for name in (date, sales):
+        reason = reason.when(cell(name).isNotNull() & typed[name].isNull(), f"{kinds[name]} {name}")
+    text = F.coalesce(F.col(MALFORMED), F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), {"sep": separator}))
+    judged = raw.select(*[typed[n].alias(n) for n in names], text.alias(MALFORMED), reason.alias(REASON))
+    bad = F.col(REASON).isNotNull()
+    kept = [F.when(~bad, F.col(f"`{n}`")).alias(n) for n in names]
+    judged.select(*kept, F.when(bad, F.col(MALFORMED)).alias(MALFORMED), REASON, (~bad).alias(_VALID)).write.mode(
+        "overwrite"
+    ).partitionBy(_VALID).parquet(target)
+    schema = T.StructType([T.StructField(n, T.DateType() if n == date else T.DoubleType() if n == sales else T.StringType()) for n in names])
+    schema = schema.add(MALFORMED, "string").add(REASON, "string").add(_VALID, "boolean")
+    stored = spark.read.schema(schema).parquet(target)
+    return CsvLoad(
+        stored.filter(F.col(_VALID)).drop(MALFORMED, REASON, _VALID),
+        stored.filter(~F.col(_VALID)).select(MALFORMED, REASON),
+    )
+
+
 def resolve_forecast_columns(columns: Sequence[str]) -> tuple[str, str]:
     """Names of the date and the sales column, guessed from the header.
 
@@ -131,6 +196,9 @@ class Star:
     ``sales(*columns)`` projects the fact table; ``read`` gives one of the
     other tables by name; ``partitions`` are the fact's partition columns, and
     ``last_day`` gives the latest day of a fact stored by days, else None.
+    ``location`` names a stored fact, and ``versions`` gives a frame with a row
+    for each of its sale dates (NULL if it is not stored by dates) and a
+    ``version`` that differs once the date's files do.
     """
 
     def __init__(
@@ -139,12 +207,21 @@ class Star:
         read: Callable[[str], DataFrame],
         partitions: Sequence[str] = (),
         last_day: Callable[[], dt.date | None] = lambda: None,
+        location: str | None = None,
+        versions: Callable[[], DataFrame] | None = None,
     ):
         self.sales = sales
         self.last_day = last_day
+        self.location = location
+        self.versions = versions
         self._read = read
         self._partitions = tuple(partitions)
 
+    @property
+    def dated(self) -> bool:
+        """Whether the fact is stored by sale dates."""
+        return SALE_DATE in self._partitions
+
     def dated_sales(self, *columns: str) -> DataFrame:
         """The columns and the partition columns, by which time windows skip whole folders."""
         return self.sales(*columns, *(p for p in self._partitions if p not in columns))
@@ -175,14 +252,34 @@ class Star:
 
 
 def parquet_star(spark: SparkSession, root: str) -> Star:
-    """A star stored as one Parquet folder per table below ``root``."""
+    """A star stored as one Parquet folder per table below ``root``.
+
+    The fact's files are listed anew whenever its lines are asked for, so what
+    others have added since is seen.
+    """
 
     def read(table: str) -> DataFrame:
         return read_parquet_table(spark, f"{root}/{table}", table)
 
-    fact = read("fact_sales")
-    stored = [c for c in fact.columns if c == SALE_DATE]
-    return Star(fact.select, read, stored, partial(_last_folder, spark, f"{root}/fact_sales") if stored else lambda: None)
+    path = f"{root}/fact_sales"
+    kind = spark.read.parquet(path).schema
+
+    def sales(*columns: str) -> DataFrame:
+        return conform(spark.read.schema(kind).parquet(path), STAR["fact_sales"]).select(*columns)
+
+    stored = [c for c in kind.fieldNames() if c == SALE_DATE]
+    last_day = partial(_last_folder, spark, path) if stored else lambda: None
+    return Star(sales, read, stored, last_day, path, partial(file_versions, spark, path))
+
+
+def file_versions(spark: SparkSession, *paths: str) -> DataFrame:
+    """sale_date and version of stored files, by their names, sizes and times; no file is opened."""
+    files = spark.read.format("binaryFile").load(list(paths))
+    date = F.col(SALE_DATE).cast("date") if SALE_DATE in files.columns else F.lit(None).cast("date")
+    mark = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    return files.groupBy(date.alias(SALE_DATE)).agg(
+        F.concat_ws("-", F.count("*"), F.sum("length"), F.bit_xor(mark)).alias("version")
+    )
 
 
 def _last_folder(spark: SparkSession, path: str) -> dt.date | None:

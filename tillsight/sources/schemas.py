@@ -78,3 +78,6 @@ STAR = {
 
 # Derived partition column of the stored fact table.
 SALE_DATE = "sale_date"
+# The folder of one load within a sale date, and the name of the folder of no date.
+LOAD_BATCH = "load_batch"
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"

@@ -13,7 +13,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .readers import Star
+from .readers import Star, file_versions
 from .schemas import MONEY, SCENARIOS
 
 MONITORED_SECTIONS = ("STANDARD", "ECONOMY", "MEDIUM")
@@ -66,7 +66,13 @@ def table_schema(name: str) -> str:
 
 def tpch_star(spark: SparkSession, sf_dir: str) -> Star:
     """A star over the test tables in ``sf_dir``."""
-    return Star(partial(_sales, spark, sf_dir), partial(_dimension, spark, sf_dir))
+    fact = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders", "supplier", "nation")]
+    return Star(
+        partial(_sales, spark, sf_dir),
+        partial(_dimension, spark, sf_dir),
+        location=sf_dir,
+        versions=partial(file_versions, spark, *fact),
+    )
 
 
 def purchase_star(spark: SparkSession, sf_dir: str) -> Star:
@@ -169,6 +175,7 @@ def purchases(events: DataFrame) -> DataFrame:
     return events.filter(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("transaction_id"),
         F.col("ts").alias("timestamp"),
+        (F.col("user_id") % 5 + FIRST_BRANCH).cast("int").alias("branch_id"),
         (F.col("user_id") % 25).alias("employee_id"),
         F.col("user_id").alias("customer_id"),
         F.lit(1).alias("quantity"),

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 WATERMARK = "1 day"
 _VERSION = "batch"
 
 
+def as_utc() -> Column:
+    """A sale's time as the zoned time that watermarks need.
+
+    Day windows start at midnight UTC, so the wall-clock time is read as UTC,
+    whatever zone the session is in.
+    """
+    wall_clock = F.col("timestamp").cast("timestamp_ntz").cast("timestamp")
+    return F.from_utc_timestamp(wall_clock, F.current_timezone())
+
+
 def stream_daily_revenue(sales: DataFrame, target: float, watermark: str = WATERMARK) -> DataFrame:
     """Gross sales per day of a stream; rows behind the watermark are dropped.
 
-    Watermarks need a zoned time and day windows start at midnight UTC, so
-    the wall-clock time is read as UTC, whatever zone the session is in.
+    ``late_rows`` keeps and counts them instead.
     """
-    wall_clock = F.col("timestamp").cast("timestamp_ntz").cast("timestamp")
-    as_utc = F.from_utc_timestamp(wall_clock, F.current_timezone())
     return (
-        sales.withColumn("event_time", as_utc)
+        sales.withColumn("event_time", as_utc())
         .withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", "1 day").alias("w"))
         .agg(F.coalesce(F.sum("gross_amount"), F.lit(0)).alias("gross_amount"))
