@@ -33,31 +33,53 @@ def _scratch(spark: SparkSession, label: str) -> Scratch:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what no language model explains; fills in a missing language."""
+    """Drops what no language model explains; fills in a missing language.
+
+    Null and empty texts, and those without a letter, go.  Rows without an id stay
+    if their text is known, repeated rows stay or go together.  All columns stay,
+    whatever their names.
+    """
     model = language_id.fit(docs.where(language_id.remainder(F.col("doc_id"), 4) != 2))
-    found = language_id.identify(docs, model).where("accepted")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("doc")
+    found = language_id.identify(docs.select(whole, "text"), model).where("accepted")
+    language = F.coalesce("doc.lang", "lang_pred").alias("lang")
+    return found.select(*[language if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
+    """Keeps the document with the smallest id of each group of near copies.
+
+    Rows without an id stay, and so do those without words; of rows that repeat id
+    and tokens one stays, different texts of one id are different documents (see
+    ``ngram_join.keep_one``).
+    """
     return ngram_join.keep_one(docs, COPY_WORDS, COPY_SIMILARITY, _scratch(spark, "copies"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, whether that has an id or not.
+
+    Null and empty texts hold none; repeated rows stay or go together.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets; the documents stay."""
+    """Masks secrets; the documents stay, null and empty texts as they are.
+
+    Rows that share an id, or have none, share their secrets.
+    """
     scratch = _scratch(spark, "secrets")
     secrets = scratch.table(secret_scan.scan(docs, scratch=scratch), "secrets")
     return secret_scan.redact(docs, secrets)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents by their calibrated probabilities."""
+    """Draws documents by their calibrated probabilities.
+
+    Null sources and languages are values of their own, rows that share an id, or
+    have none, are drawn together, and texts without words with their cell.
+    """
     return mixing.sample(docs, topic_of(F.col("text")), MIX, scratch=_scratch(spark, "mixing"))
 
 
