@@ -48,6 +48,16 @@ def test_empty_tables(spark):
     assert decontamination.decontaminate(documents(spark, [ITEM]), bench(spark, [])).count() == 1
 
 
+def test_items_without_an_id_repeated_ids_and_repeated_items(spark):
+    other = " ".join(f"other{i}" for i in range(30))
+    items = spark.createDataFrame([(None, ITEM, 1), (None, ITEM, 1), (7, other, 1), (7, "one two three four five six", 1), (8, None, 1)], "item_id long, text string, item int")
+    docs = documents(spark, [f"x {ITEM} y", f"a {other} b", "zero one two three four five six seven", None, "", "clean words only", f"x {ITEM} y"])
+    for block_chars in (8_000_000, 40):
+        found = decontamination.leaks(docs, items, block_chars=block_chars)
+        assert rows(found, "doc_id", "item_id") == sorted([(0, None), (1, 7), (2, 7), (6, None)], key=repr)
+        assert rows(decontamination.decontaminate(docs, items, block_chars=block_chars), "doc_id") == [(3,), (4,), (5,)]
+
+
 def plain_tiles(text, item, length):
     """Greedy tiling that searches all places anew for every tile."""
     marked_text, marked_item, out = set(), set(), []

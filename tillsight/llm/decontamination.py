@@ -19,7 +19,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from .storage import Shared, by_place
 
 SEED = 5
 COVERAGE = 0.6
@@ -173,10 +175,9 @@ def leaks(
     Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
 
     def against(items: ItemTables) -> DataFrame:
-        shared = context.broadcast(items)
+        shared = Shared(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in batches:
@@ -211,11 +212,10 @@ def decontaminate(
     empty texts stay, repeated rows stay or go together, and without items all
     documents stay.
     """
-    context = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
 
     def without(rest: DataFrame, items: ItemTables) -> DataFrame:
-        shared = context.broadcast(items)
+        shared = Shared(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in batches:
@@ -224,6 +224,7 @@ def decontaminate(
                 ]
                 yield block.filter(pa.array(clean, pa.bool_()))
 
-        return rest.mapInArrow(run, T.StructType(docs.schema.fields))
+        return rest.mapInArrow(run, rest.schema)
 
-    return reduce(without, item_blocks(benchmark, item_id_col, item_text_col, seed, block_chars), docs)
+    blocks = item_blocks(benchmark, item_id_col, item_text_col, seed, block_chars)
+    return reduce(without, blocks, by_place(docs)).toDF(*docs.columns)

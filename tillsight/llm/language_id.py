@@ -20,6 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .storage import Shared, by_place
+
 ORDER = 4
 # About so many labelled documents per language are learned from.
 TRAIN_DOCS = 1500
@@ -369,7 +371,7 @@ def fit(
 
 def _calibrate(model: LanguageModel, held: DataFrame) -> None:
     """Set the scale of scores and the limits by documents that weren't counted."""
-    shared = held.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(held.sparkSession, model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in batches:
@@ -429,7 +431,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     others are passed on.
     """
     kept = docs.drop(*[f.name for f in OUTPUT])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +445,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             ]
             yield pa.RecordBatch.from_arrays([*block.columns, *new], [*block.schema.names, *(f.name for f in OUTPUT)])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *OUTPUT]))
+    held = by_place(kept)
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, *OUTPUT])).toDF(*kept.columns, *[f.name for f in OUTPUT])
 
 
 def remainder(key: Column, divisor: int) -> Column:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .components import components
-from .storage import Scratch
+from .storage import Scratch, Shared, by_place
 
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
 # Tokens that a task holds of each side of a comparison.
@@ -482,7 +482,7 @@ def _packed(texts: DataFrame, candidates: DataFrame, words: int, pack) -> DataFr
 
     Few documents are candidates: only their sets are made and go into a join.
     """
-    wanted = texts.sparkSession.sparkContext.broadcast(_filter_of(candidates.select("first_doc")))
+    wanted = Shared(texts.sparkSession, _filter_of(candidates.select("first_doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in batches:
@@ -656,29 +656,29 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold(8
     found = scratch.table(found.select("doc_id", "print", stays.alias("stays")), "found")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.every("stays").alias("stays"))
     doubtful = scratch.table(ids.where("rows > 1 OR NOT stays").select("doc_id"), "doubtful")
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(doubtful))
-    # Names that no column has.
-    longest = max(docs.columns, key=len)
-    draw, mark, place = f"{longest}_draw", f"{longest}_print", f"{longest}_place"
+    wanted = Shared(docs.sparkSession, _filter_of(doubtful))
+    held = by_place(docs)
     at = docs.columns.index("text")
+    own_id, own_text = f"c{docs.columns.index('doc_id')}", f"c{at}"
 
     def part(inside: bool, made: T.StructType) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in batches:
-                held = wanted.value.holds(block.column(block.num_columns - 1).to_numpy())
-                some = block.filter(pa.array(held if inside else ~held, pa.bool_()))
+                passed = wanted.value.holds(block.column(block.num_columns - 1).to_numpy())
+                some = block.filter(pa.array(passed if inside else ~passed, pa.bool_()))
                 columns, names = some.columns[:-1], some.schema.names[:-1]
                 if inside:
                     prints = [_fingerprint(shingles(text, words)) for text in some.column(at).to_pylist()]
-                    columns, names = [*columns, pa.array(prints, pa.binary())], [*names, mark]
+                    columns, names = [*columns, pa.array(prints, pa.binary())], [*names, "print"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        named = docs.where("doc_id IS NOT NULL").withColumn(draw, F.xxhash64(F.col("doc_id").cast("long")))
+        named = held.where(F.col(own_id).isNotNull()).withColumn("draw", F.xxhash64(F.col(own_id).cast("long")))
         return named.mapInArrow(run, made)
 
-    marked = part(True, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
-    gone = found.where("NOT stays").select(F.col("doc_id").alias(place), F.col("print").alias(draw)).distinct()
-    left = marked.join(gone, (F.col("doc_id") == F.col(place)) & (F.col(mark) == F.col(draw)), "left_anti")
-    first = Window.partitionBy("doc_id", mark).orderBy("text")
-    kept = left.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])
-    return part(False, docs.schema).unionByName(kept).unionByName(docs.where("doc_id IS NULL"))
+    marked = part(True, T.StructType([*held.schema.fields, T.StructField("print", T.BinaryType())]))
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print")).distinct()
+    left = marked.join(gone, (F.col(own_id) == F.col("gone_id")) & (F.col("print") == F.col("gone_print")), "left_anti")
+    first = Window.partitionBy(own_id, "print").orderBy(own_text)
+    kept = left.withColumn("place", F.row_number().over(first)).where("place = 1").select(*held.columns)
+    whole = part(False, held.schema).unionByName(kept).unionByName(held.where(F.col(own_id).isNull()))
+    return whole.toDF(*docs.columns)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .hashed_text import SparseRows, bucket, chosen_features, labelled_sample, sigmoid
+from .storage import Shared, by_place
 
 # Rated documents of each grade that are learned from, at most about so many.
 TRAIN_ROWS = 4000
@@ -168,7 +169,7 @@ def grade(docs: DataFrame, model: OrdinalModel, text_col: str = "text", select_f
     new = [T.StructField(name, T.DoubleType(), False) for name in ("expected_grade", *tails)]
     new.append(T.StructField("selected", T.BooleanType(), False))
     kept = docs.drop(*[f.name for f in new])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,4 +179,5 @@ def grade(docs: DataFrame, model: OrdinalModel, text_col: str = "text", select_f
             made = [pa.array(p.sum(axis=1)), *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, 0] >= select_from)]
             yield pa.RecordBatch.from_arrays([*block.columns, *made], [*block.schema.names, *(f.name for f in new)])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
+    held = by_place(kept)
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, *new])).toDF(*kept.columns, *[f.name for f in new])

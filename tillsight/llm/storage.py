@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import drop_path, new_shared_path
@@ -31,5 +34,33 @@ class Scratch:
         drop_path(self.spark, self.path)
 
 
+class Shared:
+    """An object that is sent to every executor once.
+
+    It travels with the code of its class, so workers need no installed copy of
+    this package; a task unpacks it when it first asks for it.
+    """
+
+    def __init__(self, spark: SparkSession, value: Any) -> None:
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self) -> dict:
+        return {"_packed": self._packed}
+
+    @property
+    def value(self) -> Any:
+        if "_value" not in self.__dict__:
+            self._value = cloudpickle.loads(self._packed.value)
+        return self._value
+
+    def destroy(self) -> None:
+        self._packed.destroy()
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their place, so that Arrow batches can be made of columns of any name."""
+    return df.toDF(*[f"c{place}" for place in range(len(df.columns))])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .hashed_text import SparseRows, bucket, chosen_features, labelled_sample, sigmoid
+from .storage import Shared, by_place
 
 # Labelled rows of either class that are learned from, at most about so many.
 TRAIN_ROWS = 6000
@@ -205,7 +206,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     with the new names are replaced, all others are passed on.
     """
     kept = docs.drop(*[f.name for f in OUTPUT])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +216,5 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             new = [pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*block.columns, *new], [*block.schema.names, *(f.name for f in OUTPUT)])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *OUTPUT]))
+    held = by_place(kept)
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, *OUTPUT])).toDF(*kept.columns, *[f.name for f in OUTPUT])
