@@ -25,17 +25,25 @@ SMALL = f"{TESTDATA}/sf0.001"
 LAST = dt.date(1996, 5, 30)
 
 
-@pytest.fixture
-def stored(spark, tmp_path):
-    """A stored star of a few months, and where its sums are kept."""
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    """A stored star of two months."""
     star = tpch_star.tpch_star(spark, SMALL)
     window = f"timestamp BETWEEN TIMESTAMP_NTZ'1996-04-01' AND TIMESTAMP_NTZ'{LAST}'"
     lines = star.sales(*schemas.FACT_SALES.fieldNames()).filter(window)
-    root = str(tmp_path / "star")
+    root = str(tmp_path_factory.mktemp("star") / "star")
     writers.append_sales(lines, f"{root}/fact_sales")
     for name in ("products", "sections", "branches", "customers", "inventory"):
         table = "central_inventory" if name == "inventory" else f"dim_{name}"
         writers.write_result(getattr(star, name), f"{root}/{table}")
+    return root
+
+
+@pytest.fixture
+def stored(written, tmp_path):
+    """A copy of the star to change, and where its sums are kept."""
+    root = str(tmp_path / "star")
+    shutil.copytree(written, root)
     return root, str(tmp_path / "kept")
 
 
