@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import Shared, by_place
+from .storage import Shared, by_place, small_batches
 
 SEED = 5
 COVERAGE = 0.6
@@ -180,7 +180,7 @@ def leaks(
         shared = Shared(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in batches:
+            for block in small_batches(batches):
                 rows = [
                     (doc, *found)
                     for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)
@@ -218,7 +218,7 @@ def decontaminate(
         shared = Shared(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in batches:
+            for block in small_batches(batches):
                 clean = [
                     next(shared.value.matches(text, coverage), None) is None for text in block.column(at).to_pylist()
                 ]

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .storage import Shared, by_place
+from .storage import Shared, by_place, small_batches
 
 ORDER = 4
 # About so many labelled documents per language are learned from.
@@ -435,7 +435,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in batches:
+        for block in small_batches(batches):
             names, score, entropy, accepted = shared.value.predict(block.column(at).to_pylist())
             new = [
                 pa.array(names, pa.string()),

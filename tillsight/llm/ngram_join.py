@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .components import components
-from .storage import Scratch, Shared, by_place
+from .storage import Scratch, Shared, by_place, small_batches
 
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
 # Tokens that a task holds of each side of a comparison.
@@ -45,7 +45,7 @@ OUTLINE, LARGEST_BLOCK = 128, 4096
 # each side of a comparison.
 FINE_TOKENS, CHUNK_BYTES = 8, 8_000_000
 # Sets that a task remembers to sign equal ones only once.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 # Signatures, or those of 512 sets, that leave a task at a time.
 BATCH_ROWS = 65_536
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -146,7 +146,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, size, fingerprint and outline of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in batches:
+        for block in small_batches(batches):
             sets = [shingles(text, words) for text in block.column(1).to_pylist()]
             sizes = pa.array([len(tokens) for tokens in sets], pa.int64())
             prints = pa.array([_fingerprint(tokens) for tokens in sets], pa.binary())
@@ -176,7 +176,7 @@ def _signed(docs: DataFrame, words: int, threshold: Threshold) -> DataFrame:
             nodes.clear()
             return pa.RecordBatch.from_arrays(columns, ["mark", "node"])
 
-        for block in batches:
+        for block in small_batches(batches):
             for text in block.column(0).to_pylist():
                 tokens = shingles(text, words)
                 mark = _fingerprint(tokens)
@@ -485,7 +485,7 @@ def _packed(texts: DataFrame, candidates: DataFrame, words: int, pack) -> DataFr
     wanted = Shared(texts.sparkSession, _filter_of(candidates.select("first_doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in batches:
+        for block in small_batches(batches):
             some = block.filter(pa.array(wanted.value.holds(block.column(2).to_numpy()), pa.bool_()))
             sets = [shingles(text, words) for text in some.column(1).to_pylist()]
             prints = pa.array([_fingerprint(tokens) for tokens in sets], pa.binary())
@@ -663,7 +663,7 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold(8
 
     def part(inside: bool, made: T.StructType) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in batches:
+            for block in small_batches(batches):
                 passed = wanted.value.holds(block.column(block.num_columns - 1).to_numpy())
                 some = block.filter(pa.array(passed if inside else ~passed, pa.bool_()))
                 columns, names = some.columns[:-1], some.schema.names[:-1]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import drop_path, new_shared_path
 
+# Rows of texts that a task works on at a time.
+BATCH_ROWS = 512
+
 
 class Scratch:
     """One folder of an operator's run, below ``spark.checkpoint.dir``.
@@ -57,6 +62,13 @@ class Shared:
         self._packed.destroy()
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts are held as Python objects at a time."""
+    for block in batches:
+        for start in range(0, block.num_rows, rows):
+            yield block.slice(start, rows)
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """``df`` with its columns named by their place, so that Arrow batches can be made of columns of any name."""
     return df.toDF(*[f"c{place}" for place in range(len(df.columns))])
