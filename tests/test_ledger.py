@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillsight.operators import monitoring
+from tillsight.sources import tpch_star
 
 SNAPSHOT = dt.datetime(2024, 1, 1)
 
@@ -160,3 +161,24 @@ def test_moves_at_the_edges(frame):
     assert found == plain_moves(rows)
     assert {k[2]: v[1] for k, v in found.items()} == {9: -2, 16: 1, 17: 1, 18: 0, 19: 0}
     assert moves(frame, []) == {}
+
+
+def test_inventory_of_many_branches_is_not_broadcast(spark, frame, tmp_path):
+    parts, branches = 2_000, 100
+    spark.range(parts).selectExpr("id AS p_partkey", "'STANDARD' AS p_type").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(branches).selectExpr("CAST(id AS int) AS r_regionkey", "'' AS r_name").write.parquet(str(tmp_path / "region.parquet"))
+    inventory = tpch_star.tpch_star(spark, str(tmp_path)).inventory
+    stock = [item(r.product_id, r.floor_qty, r.total_qty, r.branch_id) for r in inventory.filter("product_id < 3").collect()]
+    sales = [line(day, product, 3, branch=101 + day) for day in range(2, 20) for product in range(3)]
+    lines = frame("fact_sales", sales).repartition(2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Less than the 200,000 rows take, more than 2,000 would.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+    try:
+        found = monitoring.replenishment_events(lines, inventory, F.lit(SNAPSHOT).cast("timestamp_ntz"))
+        assert sorted(tuple(r) for r in found.collect()) == plain_ledger(sales, stock)
+        plan = found._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    join = next(x for x in plan.splitlines() if "Join [branch_id" in x)
+    assert "BuildLeft" not in join

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import TESTDATA
 
-from tillsight.operators import segmentation
+from tillsight.operators import root_cause, segmentation
 from tillsight.plans.catalog import QUERIES, REF_YEAR
 from tillsight.sources import tpch_star
 
@@ -66,3 +66,10 @@ def test_sales_are_folded_before_the_customer_join(spark):
     join = next(i for i, line in enumerate(plan.splitlines()) if "Join [customer_id" in line)
     below = "\n".join(plan.splitlines()[join:])
     assert "partial_sum(quantity" in below
+
+
+def test_inventory_is_not_broadcast_by_an_estimate_of_one_row_per_part(spark):
+    star = tpch_star.tpch_star(spark, SMALL)
+    plan = plan_of(root_cause.section_floor(star.inventory, star.products, star.sections))
+    join = next(line for line in plan.splitlines() if "Join [product_id" in line)
+    assert "SortMergeJoin" in join

@@ -154,12 +154,16 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every branch stocks every product: one row per region and part."""
+    """Every branch stocks every product: one row per region and part.
+
+    The planner takes the exploded regions for one row per part.  By that estimate
+    it would broadcast an inventory many times as large, hence the hint.
+    """
     regions = _table(spark, sf_dir, "region").agg(F.array_sort(F.collect_set("r_regionkey"))).scalar()
     stocked = _table(spark, sf_dir, "part").select(
         "p_partkey", "p_type", F.explode(regions).alias("r_regionkey")
     )
-    return stocked.select(
+    return stocked.hint("merge").select(
         (F.col("r_regionkey") + FIRST_BRANCH).alias("branch_id"),
         F.col("p_partkey").alias("product_id"),
         ((F.col("r_regionkey") + F.length("p_type")) % 3 * 3 + F.col("p_partkey") % 3)
