@@ -106,6 +106,46 @@ def test_linked_sets_share_a_signature():
                 assert np.intersect1d(signatures(one, threshold), signatures(other, threshold)).size
 
 
+@pytest.mark.parametrize("turns", [1, 2, 6])
+def test_linked_sets_that_leave_many_buckets_empty_share_a_signature(monkeypatch, turns):
+    """Multiples of one number meet in few buckets, so sets deal their tokens anew."""
+    monkeypatch.setattr(ngram_join, "TURNS", turns)
+    draw = np.random.default_rng(6)
+    for num in (80, 90):
+        threshold, linked = Threshold(num, 100), 0
+        for _ in range(400):
+            n, factor = int(draw.integers(4, 400)), int(draw.choice([1, 12, 5040, 1 << 20]))
+            one = np.unique(draw.integers(0, 2**40, n).astype(np.uint64) * np.uint64(factor))
+            drop = int(draw.integers(0, max(1, n // 6)))
+            more = draw.integers(0, 2**40, int(draw.integers(0, max(2, n // 9)))).astype(np.uint64) * np.uint64(factor)
+            other = np.unique(np.concatenate([one[drop:], more]))
+            overlap = len(np.intersect1d(one, other))
+            if not np.array_equal(one, other) and threshold.links(overlap, len(one) + len(other)):
+                linked += 1
+                assert np.intersect1d(signatures(one, threshold), signatures(other, threshold)).size
+        assert linked > 50
+
+
+@pytest.mark.parametrize(("num", "low", "high"), [(80, 8, 30), (80, 500, 700), (80, 3000, 3300), (90, 9, 30), (90, 500, 700)])
+def test_unrelated_sets_share_no_signature(num, low, high):
+    """Signatures of empty buckets made blocks that grew with the number of sets, and their pairs with its square."""
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 2**64, int(draw.integers(low, high)), dtype=np.uint64)) for _ in range(300)]
+    signed = np.concatenate([np.unique(signatures(s, Threshold(num, 100))) for s in sets])
+    assert len(np.unique(signed)) == len(signed)
+
+
+def test_ties_of_a_block_reach_what_hangs_together():
+    """A chain of sets, each like the next only, and one set apart."""
+    threshold, draw = Threshold(80, 100), np.random.default_rng(7)
+    row = draw.integers(0, 2**64, 1400, dtype=np.uint64)
+    sets = [np.unique(row[at : at + 400]) for at in range(0, 700, 40)] + [np.unique(draw.integers(0, 2**64, 400, dtype=np.uint64))]
+    outlines = np.stack([np.frombuffer(ngram_join._outline(s), np.uint8) for s in sets])
+    edges = ngram_join._tied(outlines, np.array([len(s) for s in sets]), threshold)
+    assert len(edges) == len(sets) - 2
+    assert {i for e in edges for i in e} == set(range(len(sets) - 1))
+
+
 def test_a_bound_never_hides_a_pair():
     draw = np.random.default_rng(9)
     threshold = Threshold(1, 2)

@@ -4,7 +4,8 @@
    node from then on.
 2. Two linked sets of n and m tokens differ by at most (1 - t) / (1 + t) (n + m)
    tokens.  If the tokens are dealt to more buckets than that, at least one
-   bucket is equal.  Each set signs its buckets; sets that share a signature
+   bucket is equal.  Each set signs its buckets that aren't empty, of which one
+   is equal as well if there are some buckets more; sets that share a signature
    are a block.  Bands of sizes fix the number of buckets, and a set signs
    for its own band and for the next.  Within a block those pairs are tied whose
    outlines, counts of tokens by pattern, leave a link possible.
@@ -20,6 +21,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +41,8 @@ CHUNK_TOKENS = 1_000_000
 # Bits, and the parts of a hash that pick them, of the filter of candidates' ids.
 FILTER_BITS, FILTER_TURNS = 26, (0, 19, 38)
 GROUP_SETS = 24
+# Times that a set with many empty buckets deals its tokens, at most.
+TURNS = 6
 # Counts in the outline of a set, and sets of a block that a task holds.
 OUTLINE, LARGEST_BLOCK = 128, 4096
 # Tokens for each count of a fine outline, and bytes of them that a task holds of
@@ -107,13 +111,52 @@ class Threshold:
         return self.den * overlap >= self.num * (total - overlap)
 
 
+def _spare(differ: int, least: int) -> tuple[int, bool]:
+    """Buckets beyond those that may differ and one more, and whether sets rarely leave more of them empty.
+
+    ``least`` is the size of the smallest set that signs.  The number has room for
+    two standard deviations of its empty buckets, or for their mean at least; where
+    buckets outnumber the tokens there is none.  Sums and products alone give
+    the same number on every machine.
+    """
+
+    def empty(spare: int, deviations: int) -> float:
+        buckets = differ + 1 + spare
+        load, term, whole = least / buckets, 1.0, 1.0
+        for turn in range(1, 20):
+            term *= load / turn
+            whole += term
+        share = 1 / whole
+        spread = max(0.0, share - (1 + load) * share * share)
+        return buckets * share + deviations * math.sqrt(buckets * spread)
+
+    for deviations in (2, 0):
+        low, high = 0, differ + 2
+        while low < high:
+            middle = (low + high) // 2
+            if empty(middle, deviations) <= middle:
+                high = middle
+            else:
+                low = middle + 1
+        if empty(low, deviations) <= low:
+            return low, True
+    return (2 if differ >= 8 else 1 if differ >= 3 else 0), False
+
+
+# What a worker has worked out so far, a few numbers for each band.
+_spares: dict[tuple[int, int], tuple[int, bool]] = {}
+
+
 def signatures(tokens: np.ndarray, threshold: Threshold) -> np.ndarray:
     """What a set signs in its own band and in the next.
 
-    A few buckets more than needed make it possible to leave out empty ones,
-    which would tie unrelated sets: with ``spare`` buckets more, ``spare + 1``
-    are equal, so one that isn't empty is left if at most ``spare`` are empty.
-    A band whose sets may not differ signs nothing: equal sets are one already.
+    Empty buckets aren't signed, as they tie unrelated sets, more of them the
+    more sets there are.  With ``spare`` buckets more than needed ``spare + 1`` are
+    equal, so one that isn't empty is equal if either set leaves at most ``spare``
+    empty.  A set that leaves more deals its tokens anew and signs those buckets
+    as well, and so does any set that it could miss.  Only what is left after the
+    last turn signs its empty buckets too.  A band whose sets may not differ signs
+    nothing: equal sets are one already.
     """
     number, high, next_high = threshold.band(len(tokens))
     low_half = (tokens & np.uint64(0xFFFFFFFF)).astype(np.float64)
@@ -123,18 +166,26 @@ def signatures(tokens: np.ndarray, threshold: Threshold) -> np.ndarray:
         differ = threshold.difference(2 * last)
         if not differ:
             continue
-        spare = 2 if differ >= 8 else 1 if differ >= 3 else 0
+        # The smallest set that can be linked to one of the band.
+        least = threshold.least_size(threshold.least_size(last))
+        if (differ, least) not in _spares:
+            _spares[differ, least] = _spare(differ, least)
+        spare, rarely = _spares[differ, least]
         buckets = differ + 1 + spare
-        at = (tokens % np.uint64(buckets)).astype(np.int64)
-        # Sums of halves stay below 2**53 and are exact in doubles.
-        low = np.bincount(at, low_half, buckets).astype(np.uint64)
-        top = np.bincount(at, high_half, buckets).astype(np.uint64)
-        label = np.arange(buckets, dtype=np.uint64) + np.uint64(band << 32)
-        signed = _mix(_mix(low * P1 + label) + top)
-        full = np.bincount(at, minlength=buckets) > 0
-        if (~full).sum() <= spare:
-            signed = signed[full]
-        out.append(signed)
+        turns = TURNS if rarely else 1
+        for turn in range(turns):
+            dealt = _mix(tokens + np.uint64(turn * int(P1) & 0xFFFFFFFFFFFFFFFF)) if turn else tokens
+            at = (dealt % np.uint64(buckets)).astype(np.int64)
+            # Sums of halves stay below 2**53 and are exact in doubles.
+            low = np.bincount(at, low_half, buckets).astype(np.uint64)
+            top = np.bincount(at, high_half, buckets).astype(np.uint64)
+            label = np.arange(buckets, dtype=np.uint64) + np.uint64((turn << 56) + (band << 32))
+            signed = _mix(_mix(low * P1 + label) + top)
+            full = np.bincount(at, minlength=buckets) > 0
+            enough = (~full).sum() <= spare
+            out.append(signed[full] if enough or turn + 1 < turns else signed)
+            if enough:
+                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -246,14 +297,18 @@ def _shared_at_most(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def _tied(outlines: np.ndarray, sizes: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
     """A forest over the sets of a block that ties all pairs whose outlines leave a link possible."""
-    label, edges = np.arange(len(sizes)), []
-    for i in range(1, len(sizes)):
-        others = np.flatnonzero(label[:i] != label[i])
-        bound = _shared_at_most(outlines[others], outlines[i])
-        for other in others[bound >= threshold.needed(sizes[others] + sizes[i])]:
-            if label[other] != label[i]:
-                edges.append((i, int(other)))
-                label[label == label[other]] = label[i]
+    edges = []
+    left = np.arange(len(sizes))
+    while len(left) > 1:
+        near, left = [int(left[0])], left[1:]
+        while near and len(left):
+            i = near.pop()
+            bound = _shared_at_most(outlines[left], outlines[i])
+            reached = bound >= threshold.needed(sizes[left] + sizes[i])
+            found = left[reached].tolist()
+            edges.extend((other, i) for other in found)
+            near += found
+            left = left[~reached]
     return edges
 
 
